@@ -135,3 +135,19 @@ def daily_mean(body: str, block: int = 30, n_boot: int = 5000, seed: int = 7) ->
  totals AS (SELECT cell, count(*) AS n, avg(v) AS point FROM days GROUP BY cell)
  SELECT t.cell, t.n, R6(t.point) AS point, R6(b.low) AS low, R6(b.high) AS high, R6(b.p_value) AS p_value
  FROM totals t LEFT JOIN bounds b ON t.cell = b.cell"""
+
+
+def rolling(agg: str, x: str, n: int, end: int = 0, by: str = "symbol", order: str = "day") -> str:
+    """Trailing aggregate of ``n`` rows ending ``-end`` rows back, null unless all are non-null."""
+    hi = "CURRENT ROW" if end == 0 else f"{-end} PRECEDING"
+    over_ = f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {n - 1 - end} PRECEDING AND {hi})"
+    return f"CASE WHEN count({x}) {over_} = {n} THEN {agg}({x}) {over_} END"
+
+
+def percentile_rank(x: str, n: int, by: str = "symbol", order: str = "day") -> str:
+    """Share of the last ``n + 1`` values at or below the current one (series without nulls)."""
+    o = f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
+    return (
+        f"CASE WHEN row_number() OVER (PARTITION BY {by} ORDER BY {order}) > {n} THEN "
+        f"CAST(len(list_filter(list({x}) {o}, lambda v: v <= {x})) AS DOUBLE) / {n + 1} END"
+    )
