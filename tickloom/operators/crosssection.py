@@ -157,13 +157,24 @@ def in_force(universe: DataFrame) -> DataFrame:
     return universe.select("effective", "symbol").join(spans, "effective")
 
 
-def mask_members(panel: DataFrame, universe: DataFrame, every: int, start: str) -> DataFrame:
+def mask_members(panel: DataFrame, universe: DataFrame, every: int, start: str, end: str) -> DataFrame:
     """Keep panel rows whose symbol is in the universe in force that day.
 
-    Reselection dates sit on a grid, so the date in force is arithmetic and the lookup is a
-    plain equi semi join; days before the first selection keep nothing.
+    Reselection dates sit on a grid that stops at ``end``, so the date in force is arithmetic
+    and the lookup is a plain equi semi join; days before the first selection keep nothing. A
+    date that selected nothing leaves the previous universe in force.
     """
     first = F.lit(start).cast("date")
-    slot = F.date_add(first, (F.floor(F.datediff("day", first) / every) * every).cast("int"))
-    keyed = panel.where(F.col("day") >= first).withColumn("effective", slot)
-    return keyed.join(universe.select("effective", "symbol"), ["effective", "symbol"], "left_semi")
+    last = F.floor(F.datediff(F.lit(end).cast("date"), first) / every)
+    slot = F.least(F.floor(F.datediff("day", first) / every), last).cast("int")
+    chosen = universe.select("effective").distinct()
+    spans = chosen.select(
+        "effective",
+        F.floor(F.datediff("effective", first) / every).cast("int").alias("k"),
+        F.lead("effective").over(W.orderBy("effective")).alias("next"),
+    )
+    upto = F.coalesce(F.floor(F.datediff("next", first) / every).cast("int") - 1, last.cast("int"))
+    slots = spans.select("effective", F.explode(F.sequence("k", F.greatest(upto, F.col("k")))).alias("slot"))
+    members = universe.select("effective", "symbol").join(slots, "effective").select("slot", "symbol")
+    keyed = panel.where(F.col("day") >= first).withColumn("slot", slot)
+    return keyed.join(members, ["slot", "symbol"], "left_semi").drop("slot")
