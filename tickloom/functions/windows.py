@@ -68,21 +68,21 @@ def robust_z(
 ) -> DataFrame:
     """Add ``out``: distance from the trailing median in units of 1.4826 x trailing MAD.
 
-    Both trailing statistics cover the ``window`` rows before the current one. Spark has no
-    windowed median, so the frame is collected (bounded by ``window``) and its middle taken;
-    the MAD window runs over the absolute deviations from each row's own trailing median.
+    The median covers the ``window`` rows before the current one. A row's deviation is that of
+    the previous value from this median, and the MAD is the median of the last ``window``
+    deviations, so nothing of the current value enters its own baseline. Spark has no windowed
+    median, so each frame is collected (bounded by ``window``) and its middle taken.
     """
     w = w or by_symbol()
     med, dev, mad = f"__{out}_m", f"__{out}_d", f"__{out}_mad"
-    frame = w.rowsBetween(-window, -1)
 
-    def rolling_median(x: str) -> Column:
+    def rolling_median(x: str, frame: WindowSpec) -> Column:
         return F.when(F.count(x).over(frame) == window, median_of(F.collect_list(x).over(frame)))
 
     return (
-        df.withColumn(med, rolling_median(value))
-        .withColumn(dev, F.abs(F.col(value) - F.col(med)))
-        .withColumn(mad, rolling_median(dev))
+        df.withColumn(med, rolling_median(value, w.rowsBetween(-window, -1)))
+        .withColumn(dev, F.abs(F.lag(value).over(w) - F.col(med)))
+        .withColumn(mad, rolling_median(dev, w.rowsBetween(-(window - 1), 0)))
         .withColumn(out, F.try_divide(F.col(value) - F.col(med), F.col(mad) * 1.4826))
         .drop(med, dev, mad)
     )
