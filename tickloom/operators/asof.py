@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.windows import by_symbol
 from tickloom.operators.bars import with_ordinal
+from tickloom.operators.skew import with_facts
 
 
 def carry_forward(df: DataFrame) -> DataFrame:
@@ -73,10 +74,10 @@ def assert_no_lookahead(state: DataFrame, as_of: str) -> DataFrame:
 def first_after(events: DataFrame, observations: DataFrame, key: str, at: str, obs_at: str, values: list[str]) -> DataFrame:
     """First observation strictly after each key's event time, as columns.
 
-    The equi-join on the key is filtered in flight and reduced map-side by ``min_by``, so a key
-    with very many observations leaves its map task as one row.
+    Observations of a busy key are spread over salts for the join, filtered, and reduced
+    map-side, so no task sees a whole key. Expects one event per key.
     """
-    later = observations.join(events.select(key, at), key).where(F.col(obs_at) > F.col(at))
+    later = with_facts(observations, events.select(key, at), key).where(F.col(obs_at) > F.col(at))
     packed = F.struct(obs_at, *values)
     return later.groupBy(key, at).agg(F.min(packed).alias("e")).select(key, at, "e.*")
 

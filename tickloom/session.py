@@ -42,19 +42,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df, eager: bool = True):
-    """Checkpoint to the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    The folder is only set here when the session has none (tests, local runs).
+    Only where that is unset (tests, local runs) is a scratch folder made and set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None:
+        import tempfile
 
-            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
+    return named or sc.getCheckpointDir()
+
+
+def cut_lineage(df, eager: bool = True):
+    """Reliable checkpoint into the shared folder; survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
