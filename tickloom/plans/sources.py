@@ -94,7 +94,7 @@ WITH a AS (SELECT symbol, day, close, open, volume, close / lag(close) OVER w -
  b AS (SELECT *, {rolling('stddev_samp', 'ret', 20, -1)} AS vol_before, {rolling('stddev_samp', 'ret', 20)} AS vol_through, {rolling('avg', 'close', 20)} AS ma20, {rolling('max', 'close', 60)} AS hi60, {rolling('max', 'ret', 20)} AS maxret,
   {rolling('avg', 'tr', 14)} AS atr14, {rolling('avg', 'abs(ret) / (close * volume)', 20)} AS illiq, volume / {rolling('avg', 'volume', 20)} AS vshock, {rolling('avg', 'CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END', 20)} AS up FROM a)
 SELECT symbol, CAST(day AS VARCHAR) AS day, R6(ret) AS ret, R6(r30) AS r30, R6(r30skip7) AS r30skip7, R6(fwd7) AS fwd7, R6(rel_ratio) AS rel_ratio, R6(rel_diff) AS rel_diff, R6(tr) AS tr, R6(vol_before) AS vol_before, R6(vol_through) AS vol_through,
- R6(ma20) AS ma20, R6(hi60) AS hi60, R6(maxret) AS maxret, R6(atr14) AS atr14, R6(illiq * 1000000000) AS illiq, R6(vshock) AS vshock, R6(up) AS up, R6(close / hi60) AS hi_ratio FROM b WHERE r30 IS NOT NULL"""))
+ R6(ma20 / close) AS ma20, R6(hi60) AS hi60, R6(maxret) AS maxret, R6(atr14 / close) AS atr14, R6(illiq * 1000000000) AS illiq, R6(vshock) AS vshock, R6(up) AS up, R6(close / hi60) AS hi_ratio FROM b WHERE r30 IS NOT NULL"""))
 def feature_panel(spark, sf_dir):
     """Every plain feature side by side, in two stages."""
     p = X.panel(
@@ -110,4 +110,5 @@ def feature_panel(spark, sf_dir):
         ],
         base=("symbol", "day", "open", "high", "low", "close", "volume", "ret"), drop_nulls=["r30"],
     )
-    return p.withColumn("illiq", F.col("illiq") * 1e9).drop("open", "high", "low", "close", "volume")
+    close = F.col("close")
+    return p.withColumns({"illiq": F.col("illiq") * 1e9, "ma20": F.col("ma20") / close, "atr14": F.col("atr14") / close}).drop("open", "high", "low", "close", "volume")
