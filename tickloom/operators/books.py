@@ -178,27 +178,34 @@ def reselection_due(last_selected: Column, today: Column, every: int = 90) -> Co
 # --- several names in one book ---------------------------------------------------------------------
 
 
+def _by_day(pdf: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int, list[np.ndarray]]:
+    """Sorted columns of one book with its day boundaries and symbol numbers."""
+    pdf = pdf.sort_values(["day", "symbol"])
+    days = pdf["day"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, days[1:] != days[:-1]])
+    names, codes = np.unique(pdf["symbol"].to_numpy(str), return_inverse=True)
+    return days, np.r_[starts, len(days)], len(names), [codes, *(pdf[c].to_numpy() for c in columns)]
+
+
 def _multi_ledger(pdf: pd.DataFrame, cash: float, fee: float, half: float, impact: float, dust: float) -> pd.DataFrame:
     """One book over its days: fills at the open, equity at the close, orders beyond the dust."""
-    names = {s: j for j, s in enumerate(sorted(pdf["symbol"].unique()))}
-    pos, last, pending = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+    days, cuts, n, (code, open_, close, volume, weight) = _by_day(pdf, ["open", "close", "volume", "weight"])
+    pos, last, pending = np.zeros(n), np.zeros(n), np.zeros(n)
     out = []
-    for day, rows in pdf.sort_values(["day", "symbol"]).groupby("day", sort=True):
-        j = rows["symbol"].map(names).to_numpy()
-        o, c, v = (rows[x].to_numpy(float) for x in ("open", "close", "volume"))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        j, o, c, v = code[lo:hi], open_[lo:hi], close[lo:hi], volume[lo:hi]
         d = pending[j]
         part = np.where(v > 0, np.minimum(np.abs(d) / np.where(v > 0, v, 1.0), 1.0), 1.0)
         price = o * (1 + np.sign(d) * (half + impact * part) * 1e-4)
         fees = np.abs(d) * price * fee * 1e-4
         cash -= float((d * price + fees).sum())
         pos[j] += d
-        pending[j] = 0.0
         last[j] = c
         equity = cash + float(pos @ last)
-        want = rows["weight"].to_numpy(float) * equity / c - pos[j]
+        want = weight[lo:hi] * equity / c - pos[j]
         pending[j] = np.where(np.abs(want) * c < equity * dust, 0.0, want)
         gross = float(np.abs(pos) @ last)
-        out.append((day, equity, gross / equity if equity > 0 else 0.0, float(fees.sum()), int((d != 0).sum())))
+        out.append((days[lo], equity, gross / equity if equity > 0 else 0.0, float(fees.sum()), int((d != 0).sum())))
     res = pd.DataFrame(out, columns=["day", "equity", "exposure", "fees", "fills"])
     res.insert(0, "book", pdf["book"].iloc[0])
     return res
@@ -275,25 +282,23 @@ def carry_gross(frame: DataFrame, collateral: float = 0.5, over: str = "present"
 
 def _carry_book(pdf: pd.DataFrame, rate: float, collateral: float, over: str, cash: float) -> pd.DataFrame:
     """Daily attribution of one carry book; drifted notional is the next day's turnover."""
-    names = {s: j for j, s in enumerate(sorted(pdf["symbol"].unique()))}
-    held, equity, out = np.zeros(len(names)), cash, []
-    for day, rows in pdf.groupby("day", sort=True):
-        j = rows["symbol"].map(names).to_numpy()
-        on = rows["hold"].to_numpy(bool)
-        n = int(on.sum()) if over == "held" else len(j)
+    days, cuts, n, (code, spot, perp, fund_rate, hold) = _by_day(pdf, ["r_spot", "r_perp", "funding", "hold"])
+    held, equity, out = np.zeros(n), cash, []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        j, on = code[lo:hi], hold[lo:hi].astype(bool)
+        k = int(on.sum()) if over == "held" else hi - lo
         before = equity
-        if n == 0:
-            out.append((day, 0.0, 0.0, 0.0, 0.0, 0, before))
+        if k == 0:
+            out.append((days[lo], 0.0, 0.0, 0.0, 0.0, 0, before))
             equity -= float(np.abs(held[j]).sum()) * rate * 2
             held[j] = 0.0
             continue
-        notional = np.where(on, before / n * collateral, 0.0)
+        notional = np.where(on, before / k * collateral, 0.0)
         cost = float(np.abs(notional - held[j]).sum()) * rate * 2
-        rs, rp, f = (rows[x].to_numpy(float) for x in ("r_spot", "r_perp", "funding"))
-        basis, fund = float((notional * (rs - rp)).sum()), float((notional * f).sum())
-        held[j] = notional * (1 + rs)
+        basis, fund = float((notional * (spot[lo:hi] - perp[lo:hi])).sum()), float((notional * fund_rate[lo:hi]).sum())
+        held[j] = notional * (1 + spot[lo:hi])
         equity = before + basis + fund - cost
-        out.append((day, (equity - before) / before, fund / before, basis / before, -cost / before, len(j), equity))
+        out.append((days[lo], (equity - before) / before, fund / before, basis / before, -cost / before, int(hi - lo), equity))
     res = pd.DataFrame(out, columns=["day", "ret", "funding_ret", "basis_ret", "cost_ret", "n_symbols", "equity"])
     res.insert(0, "book", pdf["book"].iloc[0])
     return res

@@ -6,7 +6,9 @@ A study reduces its panel to one row per (cell, day) first. From there:
   (a forward row frame), so one draw costs one lookup per block, not ``block`` rows;
 * ``starts`` makes the (cell, draw, block start) table, hashed from (seed, draw, block)
   so it needs no state and can be produced on any executor;
-* the two meet in an equi-join, and draws are map-side-combined sums.
+* the two meet in an equi-join. The day table is settled first, so the size of the block sums
+  is known: they are broadcast below a limit and merge-joined above it. Draws are partitioned
+  by (cell, draw) before they are expanded, so with a broadcast they are summed in place.
 
 No draw ever reaches the driver. The resampled length is ``(n // block + 1) * block`` and
 interval ends are order statistics at ``int(.025 m)`` and ``int(.975 m)``.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.session import shared
+from tickloom.session import settled, sided
 
 DRAWS = 5000
 BLOCK = 30
@@ -87,11 +89,11 @@ def _twister_starts(cells: DataFrame, block: int, n_boot: int, seed: int) -> Dat
 
 
 def resample(
-    days: DataFrame, sums: Sequence[str], block: int, n_boot: int, seed: int, draws: str = "hash"
+    days: DataFrame, rows: int, sums: Sequence[str], block: int, n_boot: int, seed: int, draws: str = "hash"
 ) -> DataFrame:
-    """(cell, draw, summed columns, blocks): one row per draw."""
+    """(cell, draw, summed columns, blocks): one row per draw. ``rows`` is the size of ``days``."""
     picked = starts(days, block, n_boot, seed, draws).join(
-        block_sums(days, sums, block), ["cell", "start"]
+        sided(block_sums(days, sums, block), rows), ["cell", "start"]
     )
     return picked.groupBy("cell", "draw").agg(
         F.count(F.lit(1)).alias("blocks"), *(F.sum(c).alias(c) for c in sums)
@@ -124,7 +126,7 @@ def two_group_ci(
 ) -> DataFrame:
     """mean(a) - mean(b) over ``(cell, day, a_sum, a_n, b_sum, b_n)``, observation weighted."""
     sums = ["a_sum", "a_n", "b_sum", "b_n"]
-    days = shared(days)
+    days, rows = settled(days)
     point = days.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n_days"), *(F.sum(c).alias(c) for c in sums)
     )
@@ -137,7 +139,7 @@ def two_group_ci(
             F.col("a_sum") / F.greatest("a_n", F.lit(1)) - F.col("b_sum") / F.greatest("b_n", F.lit(1))
         ).alias("point"),
     )
-    drawn = resample(days, sums, block, n_boot, seed, draws)
+    drawn = resample(days, rows, sums, block, n_boot, seed, draws)
     diff = F.when(
         (F.col("a_n") > 0) & (F.col("b_n") > 0),
         F.try_divide("a_sum", "a_n") - F.try_divide("b_sum", "b_n"),
@@ -149,13 +151,13 @@ def event_mean_ci(
     days: DataFrame, block: int = BLOCK, n_boot: int = DRAWS, seed: int = 7, draws: str = "hash"
 ) -> DataFrame:
     """Mean of pooled events over ``(cell, day, v_sum, v_n)``: busy days weigh more."""
-    days = shared(days)
+    days, rows = settled(days)
     point = days.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n_days"),
         F.sum("v_n").alias("n"),
         (F.sum("v_sum") / F.greatest(F.sum("v_n"), F.lit(1))).alias("point"),
     )
-    drawn = resample(days, ["v_sum", "v_n"], block, n_boot, seed, draws)
+    drawn = resample(days, rows, ["v_sum", "v_n"], block, n_boot, seed, draws)
     mean = F.when(F.col("v_n") > 0, F.try_divide("v_sum", "v_n"))
     return point.join(_interval(drawn, mean, n_boot), "cell", "left")
 
@@ -164,9 +166,9 @@ def daily_mean_ci(
     days: DataFrame, block: int = BLOCK, n_boot: int = DRAWS, seed: int = 7, draws: str = "hash"
 ) -> DataFrame:
     """Unweighted mean of one value per day over ``(cell, day, v)``."""
-    days = shared(days)
+    days, rows = settled(days)
     point = days.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("point"))
-    drawn = resample(days, ["v"], block, n_boot, seed, draws)
+    drawn = resample(days, rows, ["v"], block, n_boot, seed, draws)
     return point.join(_interval(drawn, F.col("v") / (F.col("blocks") * block), n_boot), "cell", "left")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.normal import EULER_GAMMA, wilson
 from tickloom.operators.bootstrap import hashed_start
+from tickloom.session import settled, sided
 
 
 def by_factor(m: Column) -> Column:
@@ -177,20 +178,20 @@ def path_days(days: DataFrame, n_paths: int, block: int, horizon: int, seed: int
     Each path's block starts are hashed; a block is expanded to its days by an equi-join on the
     day position, so the work is spread over (path, block) rows.
     """
+    days, n = settled(days.select("day", "ret"))
     series = days.select((F.row_number().over(W.orderBy("day")) - 1).alias("pos"), "ret")  # one row per day
-    total = days.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
     spark = days.sparkSession
     blocks = -(-horizon // block)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     picks = (
-        spark.range(0, n_paths, 1, tasks).withColumn("k", F.lit(1)).join(total, "k")
-        .select(F.col("id").cast("int").alias("path"), "n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
-        .select("path", "blk", hashed_start(seed, F.col("path"), F.col("blk"), F.col("n") - block + 1).alias("start"))
+        spark.range(0, n_paths, 1, tasks)
+        .select(F.col("id").cast("int").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
+        .select("path", "blk", hashed_start(seed, F.col("path"), F.col("blk"), F.lit(n - block + 1)).alias("start"))
     )
     rows = picks.select("path", "blk", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")).select(
         "path", (F.col("blk") * block + F.col("j") + 1).alias("d"), (F.col("start") + F.col("j")).alias("pos")
     ).where(F.col("d") <= horizon)
-    return rows.join(series, "pos").select("path", "d", F.col("ret").alias("r"))
+    return rows.join(sided(series, n), "pos").select("path", "d", F.col("ret").alias("r"))
 
 
 def barrier_outcomes(

@@ -16,7 +16,7 @@ from tickloom.plans.oracle import hash_start, over, rolling, two_group
 from tickloom.plans.studies_daily import _case, _obs
 from tickloom.plans.studies_more import _OVER, overlay_book
 from tickloom.registry import query
-from tickloom.session import shared
+from tickloom.session import settled, shared
 from tickloom.sources import market
 
 # --- families of tests ---------------------------------------------------------------------------------
@@ -66,7 +66,7 @@ def _family_sql(tail: str) -> str:
 SELECT cell, R6(point) AS point, R6(low) AS low, R6(high) AS high, R6(p_value) AS p_value, low > 0 OR high < 0 AS excludes_zero, rk AS rank, coalesce(rk <= cut, FALSE) AS discovery FROM rk, lim""")))
 def relation_family_fdr(spark, sf_dir):
     """Effects with intervals, p-values and step-up discoveries; eight cells were declared."""
-    fam = relation_family(relation_panel(spark, sf_dir), 21)
+    fam, _ = settled(relation_family(relation_panel(spark, sf_dir), 21))
     t = fam.select(F.col("cell").alias("test_id"), "point", "low", "high", "p_value", F.lit(8).alias("declared"))
     out = I.step_up(t, 0.4, declared="declared")
     return out.select(

@@ -109,30 +109,33 @@ def funding_gross_premium(spark, sf_dir):
 # --- calendar ---------------------------------------------------------------------------------
 
 
-@query("study_calendar", "E09a-c B9 S4 E20", over("walk_1d bars_1h", two_group("""
-WITH d AS (SELECT symbol, day, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM walk_1d),
- h AS (SELECT symbol, ts, CAST(ts AS DATE) AS day, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars_1h), """ + _obs(
+@query("study_calendar", "E09a-c B9 S4", over("walk_1d", two_group("""
+WITH d AS (SELECT symbol, day, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM walk_1d), """ + _obs(
     ("turn_of_month", "d WHERE ret IS NOT NULL", _case("day(day) <= 2 OR day(day) >= day(last_day(day)) - 1", "ret"), _case("NOT (day(day) <= 2 OR day(day) >= day(last_day(day)) - 1)", "ret")),
     ("weekend", "d WHERE ret IS NOT NULL", _case("isodow(day) >= 6", "ret"), _case("isodow(day) < 6", "ret")),
-    ("settlement_hours", "h WHERE ret IS NOT NULL", _case("hour(ts) IN (0, 8, 16)", "ret"), _case("hour(ts) NOT IN (0, 8, 16)", "ret")),
-    *[(f"session{i}", "h WHERE ret IS NOT NULL", _case(f"hour(ts) // 8 = {i}", "ret"), _case(f"hour(ts) // 8 <> {i}", "ret")) for i in range(3)],
-), block=5, seed=9)))
+), seed=9)))
 def study_calendar(spark, sf_dir):
-    """Turn of month, weekend, settlement hours and the three sessions."""
+    """Turn of month and weekend on daily returns."""
     daily = X.panel(market.walk_1d(spark, sf_dir), [], base=("symbol", "day", "ret"), drop_nulls=["ret"])
-    hourly = B.intraday(market.bars_1h(spark, sf_dir))
-    hourly = hourly.withColumn("ret", X.ret(w=V.by_symbol("ts")).expr).dropna(subset=["ret"])
     y = F.col("ret")
     days = two_group_days(
         B.calendar_flags(daily), [Cell("turn_of_month", y, F.col("turn_of_month")), Cell("weekend", y, F.col("weekend"))]
-    ).unionByName(
-        two_group_days(
-            hourly,
-            [Cell("settlement_hours", y, F.col("hh").isin(0, 8, 16))]
-            + [Cell(f"session{i}", y, F.col("session") == i) for i in range(3)],
-        )
     )
-    return R.two_group_ci(days, block=5, seed=9)
+    return R.two_group_ci(days, seed=9)
+
+
+@query("study_sessions", "E09a-c E20 A4 B9", over("bars_1h", two_group("""
+WITH h AS (SELECT symbol, ts, CAST(ts AS DATE) AS day, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars_1h), """ + _obs(
+    ("settlement_hours", "h WHERE ret IS NOT NULL", _case("hour(ts) IN (0, 8, 16)", "ret"), _case("hour(ts) NOT IN (0, 8, 16)", "ret")),
+    *[(f"session{i}", "h WHERE ret IS NOT NULL", _case(f"hour(ts) // 8 = {i}", "ret"), _case(f"hour(ts) // 8 <> {i}", "ret")) for i in range(3)],
+), block=5, seed=9)))
+def study_sessions(spark, sf_dir):
+    """Settlement hours and the three sessions on hourly returns (thirty days: short blocks)."""
+    hourly = B.intraday(market.bars_1h(spark, sf_dir))
+    hourly = hourly.withColumn("ret", X.ret(w=V.by_symbol("ts")).expr).dropna(subset=["ret"])
+    y = F.col("ret")
+    cells = [Cell("settlement_hours", y, F.col("hh").isin(0, 8, 16))] + [Cell(f"session{i}", y, F.col("session") == i) for i in range(3)]
+    return R.two_group_ci(two_group_days(hourly, cells), block=5, seed=9)
 
 
 # --- shocks and breakouts ---------------------------------------------------------------------

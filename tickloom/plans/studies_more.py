@@ -18,7 +18,7 @@ from tickloom.operators.cells import Cell, two_group_days
 from tickloom.plans.oracle import hash_start, over, percentile_rank, rolling, two_group
 from tickloom.plans.studies_daily import _case, _obs
 from tickloom.registry import query
-from tickloom.session import shared
+from tickloom.session import settled, shared, sided
 from tickloom.sources import market
 
 # --- incremental features inside momentum subsets ---------------------------------------------------
@@ -450,6 +450,7 @@ def resampled_paths(days, k: int, block: int, n_boot: int, seed: int):
     Only ceil(k / block) blocks are drawn; the last one is cut to length, so a path is a join of
     its (start, length) pieces with a table of block growths.
     """
+    days, n = settled(days)
     w = W.orderBy("day")  # one row per calendar day
     n_blocks = -(-k // block)
     tail = k - (n_blocks - 1) * block
@@ -457,16 +458,12 @@ def resampled_paths(days, k: int, block: int, n_boot: int, seed: int):
         (F.row_number().over(w) - 1).alias("start"),
         F.sum(F.log1p("ret")).over(w.rowsBetween(0, block - 1)).alias("g_full"),
         F.sum(F.log1p("ret")).over(w.rowsBetween(0, tail - 1)).alias("g_tail"),
-        F.count(F.lit(1)).over(W.partitionBy()).alias("n"),
     )
     spark = days.sparkSession
-    total = days.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
     draws = spark.range(n_boot).select(F.col("id").cast("int").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("blk"))
-    picks = draws.withColumn("k", F.lit(1)).join(total, "k").select(
-        "draw", "blk", R.hashed_start(seed, F.col("draw"), F.col("blk"), F.col("n") - block + 1).alias("start")
-    )
+    picks = draws.select("draw", "blk", R.hashed_start(seed, F.col("draw"), F.col("blk"), F.lit(n - block + 1)).alias("start"))
     g = F.when(F.col("blk") == n_blocks - 1, F.col("g_tail")).otherwise(F.col("g_full"))
-    return picks.join(pieces, "start").groupBy("draw").agg((F.exp(F.sum(g)) - 1).alias("ret"))
+    return picks.join(sided(pieces, n), "start").groupBy("draw").agg((F.exp(F.sum(g)) - 1).alias("ret"))
 
 
 LIVE_DAYS = 26

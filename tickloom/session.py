@@ -6,6 +6,7 @@ import os
 
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on. On a cluster they belong in spark-defaults.
 SETTINGS = {
@@ -71,3 +72,23 @@ def shared(df):
     executor's blocks are recomputed from the lineage.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def settled(df):
+    """:func:`shared`, computed now: the frame and its row count."""
+    kept = shared(df)
+    return kept, kept.count()
+
+
+# Rows of a few numbers each: tens of megabytes on an executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sided(df, rows: int):
+    """The lookup side of a join whose row count has been measured.
+
+    Broadcast up to the limit; beyond it a sort-merge join, so neither side is ever sent whole
+    to an executor. Without this the planner would judge the other side, which is exploded from
+    a few rows, by its size before the explode.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
