@@ -190,12 +190,15 @@ def verdict(notional: Column, reserve: Column, ceiling: float = CEILING) -> dict
 
 
 def viable_notionals(reserve: Column, ceiling: float = CEILING) -> tuple[Column, Column]:
-    """Smallest and largest notional inside the ceiling: the roots of the friction quadratic."""
+    """Smallest and largest notional inside the ceiling: the roots of the friction quadratic.
+
+    Where no size fits, the smallest is null and the largest zero.
+    """
     a, b = 4.0 / reserve, 2.0 * (VENUE_FEE + SLIPPAGE) - ceiling
     disc = b * b - 4.0 * a * FEE_PAID
     root = F.sqrt(F.when((reserve > 0) & (disc >= 0), disc))
     low, high = (-b - root) / (2.0 * a), (-b + root) / (2.0 * a)
-    return F.greatest(F.lit(0.0), low), F.coalesce(F.greatest(F.lit(0.0), F.when(high > 0, high).otherwise(low)), F.lit(0.0))
+    return F.when(root.isNotNull(), F.greatest(F.lit(0.0), low)), F.coalesce(F.greatest(F.lit(0.0), F.when(high > 0, high).otherwise(low)), F.lit(0.0))
 
 
 def tradable(out: DataFrame, tickets: Sequence[float]) -> DataFrame:

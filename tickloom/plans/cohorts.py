@@ -93,7 +93,7 @@ WITH t AS (SELECT event_id, liquidity AS r, 25.0 + event_id % 7 * 100 AS n FROM
  f AS (SELECT *, {_FRAC.format(n='n', r='r')} AS fr FROM t), g AS (SELECT *, 2.0 / 0.95 * 0.40 / (fr * n) AS fs, 4.0 / NULLIF(r, 0) AS a, 2 * 0.0125 - 0.15 AS b FROM f),
  h AS (SELECT *, CASE WHEN r > 0 AND b * b - 4 * a * (2.0 / 0.95 * 0.40) >= 0 THEN sqrt(b * b - 4 * a * (2.0 / 0.95 * 0.40)) END AS sq FROM g)
 SELECT CASE WHEN fr <= 0.15 THEN 'within ceiling' WHEN fs > 0.5 THEN 'flat fees dominate' ELSE 'pool too thin' END AS verdict, count(*) AS rows, R6(avg(fr)) AS friction, R6(avg(fs)) AS fee_share,
- R6(avg(greatest(0, (-b - sq) / (2 * a)))) AS min_notional, R6(avg(coalesce(greatest(0, CASE WHEN (-b + sq) / (2 * a) > 0 THEN (-b + sq) / (2 * a) ELSE (-b - sq) / (2 * a) END), 0))) AS max_notional FROM h GROUP BY 1"""))
+ R6(avg(CASE WHEN sq IS NOT NULL THEN greatest(0, (-b - sq) / (2 * a)) END)) AS min_notional, R6(avg(coalesce(greatest(0, CASE WHEN (-b + sq) / (2 * a) > 0 THEN (-b + sq) / (2 * a) ELSE (-b - sq) / (2 * a) END), 0))) AS max_notional FROM h GROUP BY 1"""))
 def ticket_verdicts(spark, sf_dir):
     """Friction, reason and the viable band of sizes at every sighting's depth."""
     s = market.sightings(spark, sf_dir).select("event_id", F.col("liquidity").alias("r"), (25.0 + F.col("event_id") % 7 * 100).alias("n"))

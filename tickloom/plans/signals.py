@@ -10,6 +10,7 @@ from tickloom.operators import crosssection as K
 from tickloom.operators import signals as S
 from tickloom.plans.oracle import over, rolling
 from tickloom.registry import query
+from tickloom.session import shared
 from tickloom.sources import market
 
 _RET = "WITH a AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY day) AS rn FROM {src})"
@@ -183,7 +184,7 @@ def crash_bounce_weights(spark, sf_dir):
 SELECT CAST(day AS VARCHAR) AS day, symbol, R6(sum(weight)) AS weight FROM al GROUP BY day, symbol"""))
 def combined_weights(spark, sf_dir):
     """A 60% equal-weight base with the crash overlay on the idle cash."""
-    bars = market.walk_1d(spark, sf_dir)
+    bars = shared(market.walk_1d(spark, sf_dir))
     base = S.combine([(S.equal_weight_live(bars), 0.6)])
     return S.overlay_idle(base, S.crash_bounce(bars, "AF", -0.015))
 
@@ -214,7 +215,7 @@ def universe_turnover(spark, sf_dir):
  sp AS (SELECT eff, coalesce(lead(eff) OVER (ORDER BY eff), DATE '2100-01-01') AS until FROM (SELECT DISTINCT eff FROM uni) d)
 SELECT u.symbol, count(*) AS days, CAST(min(w.day) AS VARCHAR) AS first, CAST(max(w.day) AS VARCHAR) AS last FROM walk_wk w JOIN sp ON w.day >= sp.eff AND w.day < sp.until JOIN uni u ON u.eff = sp.eff AND u.symbol = w.symbol GROUP BY u.symbol"""))
 def universe_masked_panel(spark, sf_dir):
-    bars = market.walk_wk(spark, sf_dir)
+    bars = shared(market.walk_wk(spark, sf_dir))
     kept = K.mask_members(bars, K.universes(bars, **UNIVERSE), UNIVERSE["every"], UNIVERSE["start"], UNIVERSE["end"])
     return kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
 
@@ -222,7 +223,7 @@ def universe_masked_panel(spark, sf_dir):
 @query("rotation_book", "P21 P12 P13 P18")
 def rotation_book(spark, sf_dir):
     """Multi-name ledgers of four books side by side (ordered feedback: checked by brute force in tests)."""
-    bars = market.walk_wk(spark, sf_dir)
+    bars = shared(market.walk_wk(spark, sf_dir))
     sets = {
         "rotation": S.rotation(bars, 12, 2),
         "vol_target": S.vol_target_rotation(bars, 12, 2),
@@ -320,7 +321,7 @@ def carry_gross_attribution(spark, sf_dir):
 @query("carry_book_daily", "P23 P24")
 def carry_book_daily(spark, sf_dir):
     """Always-on and gated carry books with costs (ordered feedback: checked by brute force in tests)."""
-    legs, funding = _carry_legs(spark, sf_dir), market.funding(spark, sf_dir)
+    legs, funding = shared(_carry_legs(spark, sf_dir)), shared(market.funding(spark, sf_dir))
     frame = books.carry_frame(legs, funding).withColumn("book", F.lit("always")).unionByName(
         books.carry_frame(legs, funding, gate=30).withColumn("book", F.lit("gated"))
     )
@@ -345,8 +346,8 @@ WITH cal AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS t FROM (SELECT
  sp AS (SELECT regime, sa, sb, max(n_obs) AS n_obs, max(hedge) AS hedge, max(icpt) AS icpt, stddev_samp(s) AS sd FROM s0 GROUP BY 1, 2, 3)"""
 
 
-def _pair_stats(spark, sf_dir):
-    placed = pairs.complete_windows(market.walk_wk(spark, sf_dir), FORMATION, TRADING)
+def _pair_stats(prices):
+    placed = pairs.complete_windows(prices, FORMATION, TRADING)
     return pairs.engle_granger(pairs.log_pairs(placed, ["regime"]), ["regime"])
 
 
@@ -354,7 +355,7 @@ def _pair_stats(spark, sf_dir):
 SELECT st.regime, st.sa, st.sb, sp.n_obs, R6(hedge) AS hedge, R6(icpt) AS intercept, R6(adf) AS adf, R6(sd) AS spread_std FROM st JOIN sp ON st.regime = sp.regime AND st.sa = sp.sa AND st.sb = sp.sb"""))
 def pair_cointegration(spark, sf_dir):
     """Formation statistics of every gap-free pair in every formation window."""
-    return _pair_stats(spark, sf_dir).drop("spread_mean")
+    return _pair_stats(market.walk_wk(spark, sf_dir)).drop("spread_mean")
 
 
 @query("pairs_book_grid", "P25 R27")
@@ -362,8 +363,8 @@ def pairs_book_grid(spark, sf_dir):
     """Slot-limited pairs books over an entry/exit/hold grid (checked by brute force in tests)."""
     from tickloom.operators.bars import with_ordinal
 
-    prices = market.walk_wk(spark, sf_dir).select("symbol", "day", "close")
-    admitted = pairs.formed(_pair_stats(spark, sf_dir), ["regime"], alpha=0.10)
+    prices = shared(market.walk_wk(spark, sf_dir).select("symbol", "day", "close"))
+    admitted = pairs.formed(_pair_stats(prices), ["regime"], alpha=0.10)
     t = with_ordinal(prices).select("day", (F.col("ord") - 1).alias("t")).distinct()
     cal = t.where(F.col("t") >= FORMATION).withColumn("regime", F.floor((F.col("t") - FORMATION) / TRADING).cast("int"))
     days = pairs.pair_days(prices, admitted, FORMATION, TRADING)

@@ -300,9 +300,9 @@ def implied_vs_realised(spark, sf_dir):
 # --- a base book, its overlay and its tails ------------------------------------------------------------------
 
 
-def base_book(spark, sf_dir):
+def base_book(bars):
     """(day, ret, exposure): equal-weight screen of the single-name momentum signal."""
-    s = market.walk_1d(spark, sf_dir).select(
+    s = bars.select(
         "symbol", "day", S.ret().alias("ret"), S.ts_momentum(30).alias("target")
     )
     held = F.coalesce(F.lag("target").over(V.by_symbol()), F.lit(0.0))
@@ -320,8 +320,9 @@ def overlay_book(spark, sf_dir, cost: float = 0.0022, trigger: float = -0.01, vo
 
     Day windows without a key run over one row per calendar day.
     """
-    base = base_book(spark, sf_dir)
-    r = market.walk_1d(spark, sf_dir).select("symbol", "day", S.ret().alias("ret"))
+    bars = shared(market.walk_1d(spark, sf_dir).select("symbol", "day", "close"))
+    base = base_book(bars)
+    r = bars.select("symbol", "day", S.ret().alias("ret"))
     lead = r.where("symbol = 'AF'").select("day", F.col("ret").alias("lead_ret"))
     rest = r.where("symbol <> 'AF' and ret is not null").groupBy("day").agg(F.avg("ret").alias("rest_ret"))
     w = W.orderBy("day")
@@ -502,7 +503,7 @@ def live_window_consistency(spark, sf_dir):
 
 def dominance_frame(spark, sf_dir):
     """(day, lead, rest, market, dominance): one row per day the leader trades."""
-    bars = market.walk_1d(spark, sf_dir).select("symbol", "day", "close")
+    bars = shared(market.walk_1d(spark, sf_dir).select("symbol", "day", "close"))
     level = lambda df, n: B.chained_index(df).select("day", F.col("level").alias(n))
     lead = bars.where("symbol = 'AF'").select("day", F.col("close").alias("lead"))
     df = lead.join(level(bars.where("symbol <> 'AF'"), "rest"), "day").join(level(bars, "market"), "day")
