@@ -137,3 +137,18 @@ def test_independent_support_is_greedy_in_order(spark):
         if not any(frozenset((n, k)) in high for k in kept):
             kept.append(n)
     assert got["names"] == kept and got["discounted"] == 12 - len(kept)
+
+
+def test_exact_percentiles_match_a_sort(spark):
+    rng = random.Random(6)
+    xs = [rng.choice([0.0, 0.0, rng.gauss(0, 3), rng.gauss(50, 1)]) for _ in range(777)]
+    df = spark.createDataFrame([("k", x) for x in xs], "k string, x double")
+    got = skew.exact_percentiles(df, ["k"], "x", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}, buckets=16).first()
+    xs.sort()
+
+    def linear(q):
+        h = q * (len(xs) - 1)
+        lo = int(h)
+        return xs[lo] + (h - lo) * (xs[min(lo + 1, len(xs) - 1)] - xs[lo])
+
+    assert got[1:] == pytest.approx([linear(q) for q in (0.0, 0.25, 0.5, 0.99, 1.0)])

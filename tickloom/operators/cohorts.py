@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.operators.skew import with_facts
+from tickloom.operators.skew import exact_percentiles, with_facts
+from tickloom.session import shared
 
 # Horizons in minutes, share of a horizon that must be observed, losses.
 HORIZONS = (15, 60, 240, 1440)
@@ -151,14 +153,15 @@ def long_outcomes(out: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFra
 def base_rates(long: DataFrame, upside: Sequence[float] = (0.5, 1.0, 4.0, 9.0)) -> DataFrame:
     """Per horizon: counts, median, mean, p90, p99, share up, upside tail and downside shares."""
     share = lambda c: F.avg(c.cast("double"))
-    # Percentiles here are linear; `percentile` keeps value counts, so its state is distinct values.
-    return long.where("ret is not null").groupBy("horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("ret", F.lit(0.5)).alias("median"), F.avg("ret").alias("mean"),
-        F.percentile("ret", F.lit(0.9)).alias("p90"), F.percentile("ret", F.lit(0.99)).alias("p99"), share(F.col("ret") > 0).alias("up"),
+    rows = shared(long.where("ret is not null"))
+    rates = rows.groupBy("horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), share(F.col("ret") > 0).alias("up"),
         *(share(F.col("mfe") >= t).alias(f"mfe_ge_{int(t * 100)}") for t in upside),
-        F.percentile("mae", F.lit(0.5)).alias("mae_median"), share(F.col("mae") <= -0.5).alias("mae_half"), share(F.col("mae") <= -0.9).alias("mae_dead"),
+        share(F.col("mae") <= -0.5).alias("mae_half"), share(F.col("mae") <= -0.9).alias("mae_dead"),
         F.count_if((F.abs("ret") < 1e-9) & (F.abs("mfe") < 1e-9) & (F.abs("mae") < 1e-9)).alias("never_moved"),
     )
+    ret = exact_percentiles(rows, ["horizon"], "ret", {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    return rates.join(ret, "horizon").join(exact_percentiles(rows, ["horizon"], "mae", {"mae_median": 0.5}), "horizon")
 
 
 # --- costs ------------------------------------------------------------------------------------------------
@@ -221,30 +224,34 @@ def net_outcomes(long: DataFrame, notional: float) -> DataFrame:
 def trimmed_summary(net: DataFrame, share: float = 0.01, least: int = 40, buckets: int = 512) -> DataFrame:
     """Per horizon: n, median, mean, win share, and the mean without ``share`` of rows at each end.
 
-    Trimming applies above ``least`` rows. Ranks come from bucket counts plus an inner rank, so a
-    horizon's rows are never sorted in one task.
+    Trimming applies above ``least`` rows. Ranks come from bucket counts plus an order inside the
+    bucket, over distinct values with their counts, so a horizon is never sorted in one task.
     """
+    net = shared(net)
     squashed = F.col("net") / (1 + F.abs("net"))  # monotone map of returns onto (-1, 1)
-    rows = net.withColumn("__b", F.floor((squashed + 1) / 2 * buckets).cast("int"))
-    from pyspark.sql import Window as W
-
-    counts = rows.groupBy("horizon", "__b").agg(F.count(F.lit(1)).alias("__c"))
+    # Equal values are one row with a count: trimming takes values, so their order is free.
+    per_value = net.groupBy("horizon", "net").agg(F.count(F.lit(1)).alias("__c"))
+    per_value = per_value.withColumn("__b", F.floor((squashed + 1) / 2 * buckets).cast("int"))
+    counts = per_value.groupBy("horizon", "__b").agg(F.sum("__c").alias("__t"))
     run = W.partitionBy("horizon").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    placed = counts.select("horizon", "__b", F.coalesce(F.sum("__c").over(run), F.lit(0)).alias("__before"), F.sum("__c").over(W.partitionBy("horizon")).alias("__n"))
-    inner = W.partitionBy("horizon", "__b").orderBy("net", "pool")
-    r = rows.join(placed, ["horizon", "__b"]).withColumn("__r", F.col("__before") + F.row_number().over(inner))
+    placed = counts.select(
+        "horizon", "__b", F.coalesce(F.sum("__t").over(run), F.lit(0)).alias("__before"), F.sum("__t").over(W.partitionBy("horizon")).alias("__n")
+    )
+    inner = W.partitionBy("horizon", "__b").orderBy("net").rowsBetween(W.unboundedPreceding, 0)
+    r = per_value.join(placed, ["horizon", "__b"]).withColumn("__hi", F.col("__before") + F.sum("__c").over(inner))
     cut = F.when(F.col("__n") > least, F.floor(F.col("__n") * share)).otherwise(0)
-    keep = (F.col("__r") > cut) & (F.col("__r") <= F.col("__n") - cut)
-    return r.groupBy("horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile("net", F.lit(0.5)).alias("median"), F.avg("net").alias("mean"),
-        F.avg(F.when(keep, F.col("net"))).alias("trimmed_mean"), F.avg((F.col("net") > 0).cast("double")).alias("win_share"),
+    lo, hi = F.greatest(F.col("__hi") - F.col("__c"), cut), F.least(F.col("__hi"), F.col("__n") - cut)
+    kept = F.greatest(hi - lo, F.lit(0))
+    out = r.groupBy("horizon").agg(
+        F.sum("__c").alias("n"), F.try_divide(F.sum(F.col("net") * F.col("__c")), F.sum("__c").cast("double")).alias("mean"),
+        F.try_divide(F.sum(F.col("net") * kept), F.sum(kept).cast("double")).alias("trimmed_mean"),
+        F.try_divide(F.sum(F.when(F.col("net") > 0, F.col("__c")).otherwise(0)), F.sum("__c").cast("double")).alias("win_share"),
     )
+    return out.join(exact_percentiles(net, ["horizon"], "net", {"median": 0.5}), "horizon")
 
 
 def best_peaks(out: DataFrame, ks: Sequence[int] = (1, 5, 10, 25, 50)) -> DataFrame:
     """(k, peak): the k-th best peak return, as an ordered limit of the largest ``max(ks)``."""
-    from pyspark.sql import Window as W
-
     top = out.where("peak_return is not null").select("peak_return", "pool").orderBy(F.col("peak_return").desc(), "pool").limit(max(ks))
     # The window runs over the limited rows only.
     ranked = top.withColumn("k", F.row_number().over(W.orderBy(F.col("peak_return").desc(), "pool")))

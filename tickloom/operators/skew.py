@@ -36,3 +36,34 @@ def running_total(df: DataFrame, value: Column, order: Sequence[str], bucket: Co
     )
     inside = rows.withColumn("__in", F.coalesce(F.sum("__v").over(inner), F.lit(0)))
     return inside.join(offsets, "__b").withColumn(out, F.col("__off") + F.col("__in")).drop("__b", "__v", "__in", "__off")
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """Exact linear percentiles per key, with no task or buffer holding a whole key.
+
+    Equal values are counted map-side first, so a value shared by a third of the rows is one row.
+    Distinct values are bucketed by a monotone map, bucket totals (one row per key and bucket)
+    give each bucket its starting rank, and values are ranked inside their bucket only.
+    """
+    keys = list(keys)
+    v = F.col(value)
+    vals = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    squashed = F.col("__v") / (1 + F.abs("__v"))
+    vals = vals.withColumn("__b", F.floor((squashed + 1) / 2 * buckets).cast("int"))
+    totals = vals.groupBy(*keys, "__b").agg(F.sum("__c").alias("__t"))
+    run = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("__t").over(run.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = totals.select(*keys, "__b", before.alias("__before"), F.sum("__t").over(run).alias("__n"))
+    inner = W.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    r = vals.join(placed, [*keys, "__b"]).withColumn("__hi", F.col("__before") + F.sum("__c").over(inner))
+
+    def at(rank: Column) -> Column:
+        here = (F.col("__hi") - F.col("__c") <= rank) & (rank < F.col("__hi"))
+        return F.max(F.when(here, F.col("__v")))
+
+    aggs = []
+    for name, q in qs.items():
+        h = F.lit(q) * (F.col("__n") - 1)
+        lo, hi = at(F.floor(h)), at(F.ceil(h))
+        aggs.append((lo + F.max(h - F.floor(h)) * (hi - lo)).alias(name))
+    return r.groupBy(*keys).agg(*aggs)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import asof
 from tickloom.operators import cohorts as C
-from tickloom.operators.skew import with_facts
+from tickloom.operators.skew import exact_percentiles, with_facts
 from tickloom.plans.oracle import over
 from tickloom.registry import query
 from tickloom.session import shared
@@ -120,8 +120,8 @@ def tradable_universe(spark, sf_dir):
 SELECT R6(quantile_cont(el, 0.1)) AS p10, R6(quantile_cont(el, 0.25)) AS p25, R6(quantile_cont(el, 0.5)) AS p50, R6(quantile_cont(el, 0.75)) AS p75, R6(quantile_cont(el, 0.9)) AS p90 FROM oc WHERE ep IS NOT NULL"""))
 def depth_deciles(spark, sf_dir):
     qs = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
-    live = _outcomes(spark, sf_dir).where("entry_price is not null")
-    return live.agg(*(F.percentile("entry_liquidity", F.lit(q)).alias(n) for n, q in qs.items()))
+    live = _outcomes(spark, sf_dir).where("entry_price is not null").select(F.lit("all").alias("cohort"), "entry_liquidity")
+    return exact_percentiles(live, ["cohort"], "entry_liquidity", qs).drop("cohort")
 
 
 @query("net_outcomes", "L9 G4", over("sightings", _LONG + f""",
