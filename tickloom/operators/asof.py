@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.windows import by_symbol
-from tickloom.operators.bars import with_ordinal
+from tickloom.operators.bars import calendar
 from tickloom.operators.skew import with_facts
+from tickloom.session import shared
 
 
 def carry_forward(df: DataFrame) -> DataFrame:
@@ -17,15 +18,11 @@ def carry_forward(df: DataFrame) -> DataFrame:
     A row answers for its own day and the timeline rows up to the symbol's next bar, which is
     a bounded explode of row positions. Adds ``as_of`` (the day answered) and ``fresh``.
     """
-    placed = with_ordinal(df)
-    calendar = placed.select(F.col("ord").alias("at"), F.col("day").alias("as_of")).distinct()
-    spans = placed.select("symbol", "ord").withColumn("until", F.lead("ord").over(by_symbol("ord")) - 1)
-    end = calendar.agg(F.max("at").alias("last")).withColumn("k", F.lit(1))
-    spans = spans.withColumn("k", F.lit(1)).join(end, "k").select(
-        "symbol", "ord", F.explode(F.sequence("ord", F.coalesce("until", "last"))).alias("at")
-    )
-    full = placed.join(spans, ["symbol", "ord"]).join(calendar, "at")
-    return full.withColumn("fresh", F.col("as_of") == F.col("day")).drop("at", "ord")
+    days = shared(calendar(df))
+    placed = df.join(days, "day").withColumn("__until", F.lead("ord").over(by_symbol("ord")) - 1)
+    full = placed.withColumn("__at", F.explode(F.sequence("ord", F.coalesce("__until", "days")))).drop("ord", "days", "__until")
+    at = days.select(F.col("ord").alias("__at"), F.col("day").alias("as_of"))
+    return full.join(at, "__at").withColumn("fresh", F.col("as_of") == F.col("day")).drop("__at")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, on: str, right_on: str, values: list[str], strict: bool = False) -> DataFrame:

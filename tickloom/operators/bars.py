@@ -52,11 +52,17 @@ def resample(bars: DataFrame, source: str, target: str, keep_partial: bool = Fal
     return (out if keep_partial else out.where(F.col("n") == b // a)).drop("n")
 
 
+def calendar(bars: DataFrame) -> DataFrame:
+    """(day, ord, days): union timeline of all symbols with positions and length; one row per day."""
+    distinct = bars.select("day").distinct()
+    return distinct.withColumns(
+        {"ord": F.row_number().over(W.orderBy("day")), "days": F.count(F.lit(1)).over(W.partitionBy())}
+    )
+
+
 def with_ordinal(bars: DataFrame) -> DataFrame:
     """Add ``ord``: the position of the day on the union timeline of all symbols."""
-    calendar = bars.select("day").distinct()
-    calendar = calendar.withColumn("ord", F.row_number().over(W.orderBy("day")))  # one row per day
-    return bars.join(calendar, "day")
+    return bars.join(calendar(bars).drop("days"), "day")
 
 
 def union_lag(df: DataFrame, value: str, n: int = 1) -> Column:

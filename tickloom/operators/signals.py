@@ -14,6 +14,7 @@ from pyspark.sql.window import WindowSpec
 from tickloom.functions import features as X
 from tickloom.functions.windows import by_symbol, full
 from tickloom.operators.asof import carry_forward
+from tickloom.session import shared
 
 # Stop windows and multiple, blend horizons, exposure step, days per year.
 HIGH_WINDOW, ATR_WINDOW, ATR_MULT = 30, 14, 2.0
@@ -168,7 +169,7 @@ def vol_target_rotation(
     if stops:
         extra["stopped"] = F.col("stopped")
     scores = _as_of_scores(df, lookback, extra)
-    picked = _top(scores.where("not stopped") if stops else scores, k)
+    picked = shared(_top(scores.where("not stopped") if stops else scores, k))  # k rows per day
     short = picked.groupBy("day").agg(F.min(F.size("recent")).alias("least"))
     lags = picked.select("day", F.posexplode("recent").alias("lag", "r"))
     basket = lags.groupBy("day", "lag").agg(F.avg("r").alias("r")).groupBy("day").agg(F.stddev_samp("r").alias("sd"))
