@@ -13,7 +13,7 @@ from tickloom.operators import crosssection as K
 from tickloom.operators.cells import Cell, Event, event_days, two_group_days
 from tickloom.plans.oracle import daily_mean, event_mean, over, percentile_rank, rolling, two_group
 from tickloom.registry import query
-from tickloom.session import shared
+from tickloom.session import settled
 from tickloom.sources import market
 
 HORIZONS = (1, 7, 30)
@@ -404,7 +404,7 @@ def daily_dials(p):
 
     Days with fewer than ten names are left out, so dispersion and spread are always defined.
     """
-    p = shared(p)
+    p, _ = settled(p)
     base = p.dropna(subset=["r90", "fwd7"])
     r = K.ranked(base, "r90", min_symbols=10)
     day = W.partitionBy("day")
@@ -459,7 +459,7 @@ def tercile_days(dials, dial: str, y: str):
     ("pick_corr", "dl, t3 WHERE pick_corr IS NOT NULL", _case("pick_corr <= q", "top2"), _case("pick_corr > q", "top2"))), seed=3710)))
 def study_dials(spark, sf_dir):
     """Breadth and dispersion terciles, and low against high correlation of the two picks."""
-    dials = shared(daily_dials(trend_panel(spark, sf_dir)))
+    dials, _ = settled(daily_dials(trend_panel(spark, sf_dir)))
     corr = dials.dropna(subset=["pick_corr", "top2"])
     mid = corr.agg(F.percentile("pick_corr", F.lit(0.5)).alias("q")).withColumn("k", F.lit(1))
     corr = corr.withColumn("k", F.lit(1)).join(mid, "k")
