@@ -46,11 +46,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local runs) is a scratch folder made and set.
+    Where that is unset a scratch folder is made and set, but only for a local master: on a
+    cluster a machine's own folder would lose rows, so the setting is asked for.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None and sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
