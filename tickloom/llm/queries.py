@@ -8,17 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, token_counts
-from tickloom.llm.common import table, whole
+from tickloom.llm import byte_bpe, mixing, token_counts, token_files
+from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    # Sizes are read twice, by the totals and by the mix: the texts are counted once.
+    sized = cut(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    counted = mixing.with_copies(sized, "size", [5, 2, 1])
+    return counted.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.encode(docs, path, public_tokenizers.PATTERN, carry=["doc_id"], ids=False)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-files")
+    stored = token_files.write(docs, folder, path, end_id=2)
+    back = token_files.read_checksums(spark, folder, path, stored.select("key", "copy"))
+    return back.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.octet_length(whole(F.col("text"))).cast("long").alias("n_bytes"))
@@ -27,7 +43,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-_QUERIES = [op3_byte_bpe, op9_token_counts]
+_QUERIES = [op2_source_mix, op3_byte_bpe, op8_token_files, op9_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -35,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mix": mixing.SQL}
