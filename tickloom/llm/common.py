@@ -37,3 +37,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read back, without its lineage."""
     return cut_lineage(df)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

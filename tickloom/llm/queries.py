@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, mixing, token_counts, token_files
+from tickloom.llm import byte_bpe, mixing, quality_rules, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
@@ -27,6 +27,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, path, public_tokenizers.PATTERN, carry=["doc_id"], ids=False)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    rows = quality_rules.ledger(docs)
+    base_failed = ~quality_rules.passes("base-1")
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select("doc_id", *measures, base_failed.alias("base_failed"), quality_rules.passes("prose-1").alias("kept"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-files")
@@ -43,7 +51,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-_QUERIES = [op2_source_mix, op3_byte_bpe, op8_token_files, op9_token_counts]
+_QUERIES = [op2_source_mix, op3_byte_bpe, op5_quality_rules, op8_token_files, op9_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -51,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.SQL}
+    return {"op2_source_mix": mixing.SQL, "op5_quality_rules": quality_rules.SQL}
