@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, mixing, quality_rules, token_counts, token_files
+from tickloom.llm import byte_bpe, license_scan, mixing, quality_rules, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
@@ -35,6 +35,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, base_failed.alias("base_failed"), quality_rules.passes("prose-1").alias("kept"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs).select("doc_id", "scan.*")
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-files")
@@ -51,7 +58,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-_QUERIES = [op2_source_mix, op3_byte_bpe, op5_quality_rules, op8_token_files, op9_token_counts]
+_QUERIES = [op2_source_mix, op3_byte_bpe, op5_quality_rules, op7_license_scan, op8_token_files, op9_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
