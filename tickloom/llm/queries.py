@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, license_scan, mixing, quality_rules, token_counts, token_files
+from tickloom.llm import byte_bpe, license_scan, mixing, quality_rules, simhash, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
@@ -35,6 +35,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, base_failed.alias("base_failed"), quality_rules.passes("prose-1").alias("kept"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, shingle=3, radius=3)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     found = license_scan.scan(docs).select("doc_id", "scan.*")
@@ -58,7 +64,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-_QUERIES = [op2_source_mix, op3_byte_bpe, op5_quality_rules, op7_license_scan, op8_token_files, op9_token_counts]
+_QUERIES = [op2_source_mix, op3_byte_bpe, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
