@@ -7,8 +7,13 @@ every range is known to start with the row of its cut, which neighbours can be t
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 OVER = 16
 # Null keys sort first.
@@ -42,3 +47,44 @@ def range_of(key: Column, cut: list[int]) -> Column:
     row = F.size(F.filter(heads, lambda c: c <= key))
     inner = F.size(F.filter(F.get(F.array(*[F.lit(r) for r in rows]), row - 1), lambda c: c <= key))
     return ((row - 1) * step + inner - 1).cast("int")
+
+
+def map_with_next(docs: DataFrame, key: str, text: str, row_of: Callable, kept_of: Callable, schema: str) -> DataFrame:
+    """``row_of(key, text, next text, kept, next kept)`` for every row and the one after it.
+
+    Rows are ascending by key (nulls first, equal keys by text, nulls as the empty text); the last
+    row is followed by the first, a single row by itself. ``kept_of(text)`` is worked out once a
+    row and handed over with it. Each range also gets a copy of the row that starts the next one,
+    as a guest, so a task needs nothing from another; one shuffle of the texts.
+    """
+    n = ranges(docs)
+    bounds = cuts(docs, key, n)
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    if not bounds:
+        return slim.sparkSession.createDataFrame([], schema)
+    last = len(bounds) - 1
+    at = slim.withColumn("at", range_of(key_of("key"), bounds))
+    starts = key_of("key") == F.get(F.lit(bounds), F.col("at"))
+    before = F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.lit(last))
+    places = F.when(starts, F.array(F.struct(F.col("at").alias("range"), F.lit(0).alias("guest")), F.struct(before.alias("range"), F.lit(1).alias("guest"))))
+    places = places.otherwise(F.array(F.struct(F.col("at").alias("range"), F.lit(0).alias("guest"))))
+    dealt = at.select("key", "text", F.inline(places)).repartition(n, "range").sortWithinPartitions("range", "guest", "key", "text")
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = None, None  # the row that waits for its next one; the range
+        for batch in batches:
+            out = []
+            for k, t, r, guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != now:
+                    now, held = r, None
+                elif held is None:
+                    continue  # more guests with the same key
+                kept = kept_of(t)
+                if held is not None:
+                    out.append(row_of(held[0], held[1], t, held[2], kept))
+                held = None if guest else (k, t, kept)
+            columns = zip(*out, strict=True) if out else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return dealt.mapInArrow(run, schema)

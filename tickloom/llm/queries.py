@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, license_scan, mixing, quality_rules, simhash, token_counts, token_files
+from tickloom.llm import byte_bpe, license_scan, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
@@ -64,7 +64,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-_QUERIES = [op2_source_mix, op3_byte_bpe, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts]
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.against_edits(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+
+
+_QUERIES = [op2_source_mix, op3_byte_bpe, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
