@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, license_scan, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
+from tickloom.llm import byte_bpe, html_text, license_scan, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
@@ -27,6 +27,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(docs, path, public_tokenizers.PATTERN, carry=["doc_id"], ids=False)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(prepare(spark), sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     rows = quality_rules.ledger(docs)
@@ -68,7 +72,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.against_edits(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op2_source_mix, op3_byte_bpe, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash]
+_QUERIES = [op2_source_mix, op3_byte_bpe, op4_html_text, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
