@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, html_text, license_scan, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
+from tickloom.llm import byte_bpe, html_text, license_scan, line_dedup, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     # Sizes are read twice, by the totals and by the mix: the texts are counted once.
@@ -72,7 +77,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.against_edits(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op2_source_mix, op3_byte_bpe, op4_html_text, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash]
+_QUERIES = [op1_line_dedup, op2_source_mix, op3_byte_bpe, op4_html_text, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
