@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tickloom.llm import byte_bpe, html_text, license_scan, line_dedup, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
@@ -81,8 +82,9 @@ _QUERIES = [op1_line_dedup, op2_source_mix, op3_byte_bpe, op4_html_text, op5_qua
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": mixing.SQL, "op5_quality_rules": quality_rules.SQL}
+    found = {"op2_source_mix": mixing.SQL, "op5_quality_rules": quality_rules.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql is not None}
