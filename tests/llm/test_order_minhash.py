@@ -49,14 +49,14 @@ def test_sketches_equal_their_definition():
         assert O.sketch(text).tolist() == plain(text)
 
 
-def test_order_counts_and_edits_lower_likeness_bit_by_bit():
+def test_edits_and_moves_lower_likeness_by_degrees():
     text = prose(4, 600)
     half = len(text) // 2
     own = O.sketch(text)
     moved = O.likeness(own, O.sketch(text[half:] + text[:half]))
-    one = O.likeness(own, O.sketch(text[:500] + "x" + text[501:]))
+    few = O.likeness(own, O.sketch("".join("#" if i % 150 == 75 else c for i, c in enumerate(text))))
     other = O.likeness(own, O.sketch(prose(5, 600)))
-    assert 1 > one > 0.9 and other < 0.1 and other < moved < one
+    assert 1 > few > 0.8 and other < 0.1 and other < moved < few
 
 
 def test_rows_and_clashing_names(docs):
