@@ -88,31 +88,22 @@ def test_last_bar_order_is_dropped(series):
     assert books.fills(df, ["symbol"]).count() == 0
 
 
-def test_multi_ledger_matches_a_loop(series, spark):
+def test_screened_book_matches_a_loop(series):
     px = {s: walk(40, i) for i, s in enumerate("ABC")}
     px["C"] = [None] * 10 + px["C"][10:]
-    bars = series(**px)
+    bars = series(**px).withColumn("ret", S.ret())
     w = S.rotation(bars, 5, 2)
-    got = by_day(books.multi_ledger(books.book_bars(bars, {"r": w})), "equity")
+    got = books.screened_book(books.book_bars(bars, {"r": w}), 1e-3).orderBy("day").collect()
     weights = {(r["day"], r["symbol"]): r["weight"] for r in w.collect()}
-    cash, pos, last, pending, want = 10_000.0, dict.fromkeys(px, 0.0), {}, {}, []
-    for i in range(40):
-        day = DAY0 + dt.timedelta(days=i)
-        live = [s for s in px if px[s][i] is not None]
-        for s in live:
-            q = pending.pop(s, 0.0)
-            if q:
-                price = px[s][i] * (1 + math.copysign(1, q) * (1 + 25 * min(abs(q) / (100.0 + i), 1.0)) * 1e-4)
-                cash -= q * price + abs(q) * price * 1e-3
-                pos[s] += q
-            last[s] = px[s][i]
-        eq = cash + sum(pos[s] * last[s] for s in last)
-        for s in live:
-            d = weights.get((day, s), 0.0) * eq / px[s][i] - pos[s]
-            if abs(d) * px[s][i] >= eq * 0.002:
-                pending[s] = d
-        want.append(eq)
-    assert got == pytest.approx(want)
+    want = [[0.0, 0.0] for _ in range(40)]
+    for s, closes in px.items():
+        first = next(i for i, c in enumerate(closes) if c is not None)
+        chosen = [weights.get((DAY0 + dt.timedelta(days=i), s), 0.0) for i in range(40)]
+        for i in range(first + 1, 40):
+            was = chosen[i - 2] if i - 2 >= first else 0.0
+            want[i][0] += chosen[i - 1] * (closes[i] / closes[i - 1] - 1) - 1e-3 * abs(chosen[i - 1] - was)
+            want[i][1] += abs(chosen[i - 1] - was)
+    assert [(r["ret"], r["turnover"]) for r in got] == [pytest.approx(tuple(x)) for x in want]
 
 
 def test_rotation_keeps_positive_names_only(series):
@@ -150,24 +141,18 @@ def carry_rows(spark, seed=7):
 def test_carry_book_matches_a_loop(spark, over):
     rows, df = carry_rows(spark)
     got = books.carry_book(df.withColumn("book", F.lit("x")), cost_rate=1e-3, over=over).orderBy("day").collect()
-    eq, held, want = 10_000.0, {}, []
+    held, want = {}, []
     for day in sorted({r[1] for r in rows}):
         today = [r for r in rows if r[1] == day]
-        n = len([r for r in today if r[5]]) if over == "held" else len(today)
-        if n == 0:
-            want.append((0.0, eq))
-            for r in today:
-                eq -= abs(held.get(r[0], 0.0)) * 2e-3
-                held[r[0]] = 0.0
-            continue
-        before, pnl = eq, 0.0
+        n = sum(r[5] for r in today) if over == "held" else len(today)
+        gain = cost = 0.0
         for s, _, rs, rp, f, hold in today:
-            target = before / n * 0.5 if hold else 0.0
-            pnl += target * (rs - rp + f) - abs(target - held.get(s, 0.0)) * 2e-3
-            held[s] = target * (1 + rs)
-        eq = before + pnl
-        want.append((pnl / before, eq))
-    assert [(r["ret"], r["equity"]) for r in got] == [pytest.approx(w) for w in want]
+            share = 0.5 / n if hold else 0.0
+            gain += share * (rs - rp + f)
+            cost += abs(share - held.get(s, 0.0)) * 2e-3
+            held[s] = share
+        want.append((gain - cost, -cost, len(today)))
+    assert [(r["ret"], r["cost_ret"], r["n_symbols"]) for r in got] == [pytest.approx(w) for w in want]
 
 
 def test_gross_parts_equal_the_book_without_costs(spark):
@@ -239,14 +224,10 @@ def test_adf_statistic_matches_least_squares(spark, series):
 
 
 def test_pairs_book_opens_marks_and_closes(spark):
-    d = [DAY0 + dt.timedelta(days=i) for i in range(5)]
-    cal = spark.createDataFrame([(0, i, d[i]) for i in range(5)], "regime int, t int, day date")
-    zs, ra = [2.5, 1.0, 0.1, 0.0, 2.2], [0.0, -0.02, -0.01, 0.0, 0.0]
-    days = spark.createDataFrame([(0, i, d[i], "A", "B", 1, zs[i], ra[i], 0.0) for i in range(5)], "regime int, t int, day date, sa string, sb string, priority int, z double, ra double, rb double")
-    got = pairs.pairs_book(days, cal, [(2.0, 0.5, 20)], slots=1, cost_rate=1e-3).orderBy("day").collect()
-    assert [r["n_open"] for r in got] == [1, 1, 0, 0, 1]
-    n = 5000.0
-    e0 = 10_000 - n * 2e-3
-    e1 = e0 + n * 0.02
-    e2 = e1 + n * 0.01 - n * 2e-3
-    assert [r["equity"] for r in got[:3]] == pytest.approx([e0, e1, e2])
+    d = [DAY0 + dt.timedelta(days=i) for i in range(6)]
+    zs, ra = [2.5, 1.0, 0.1, 0.0, 4.5, -2.2], [0.0, -0.02, -0.01, 0.0, 0.0, 0.0]
+    rows = [(0, i, d[i], "A", "B", 1, zs[i], ra[i], 0.0) for i in range(6)]
+    days = spark.createDataFrame(rows, "regime int, t int, day date, sa string, sb string, priority int, z double, ra double, rb double")
+    got = pairs.pairs_book(days, [(2.0, 0.5)], cost_rate=1e-3).orderBy("day").collect()
+    assert [r["n_open"] for r in got] == [1, 1, 0, 0, 0, 1]
+    assert [r["ret"] for r in got] == pytest.approx([0.0, (0.02 - 2e-3) / 2, 0.01 / 2, -2e-3 / 2, 0.0, 0.0])

@@ -7,18 +7,14 @@ by a window. Keys are (symbol, window, parameter) and spread over the cluster.
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.operators.metrics import performance
 
-# Default cost model in basis points, rebalance dust, starting cash.
+# Default cost model in basis points, starting cash.
 FEE_BPS, HALF_SPREAD_BPS, IMPACT_BPS = 10.0, 1.0, 25.0
-DUST = 0.002
 CASH = 10_000.0
 
 
@@ -177,66 +173,31 @@ def reselection_due(last_selected: Column, today: Column, every: int = 90) -> Co
 
 # --- several names in one book ---------------------------------------------------------------------
 
+COST_RATE = 1.1e-3
 
-def _by_day(pdf: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int, list[np.ndarray]]:
-    """Sorted columns of one book with its day boundaries and symbol numbers."""
-    pdf = pdf.sort_values(["day", "symbol"])
-    days = pdf["day"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, days[1:] != days[:-1]])
-    names, codes = np.unique(pdf["symbol"].to_numpy(str), return_inverse=True)
-    return days, np.r_[starts, len(days)], len(names), [codes, *(pdf[c].to_numpy() for c in columns)]
-
-
-def _multi_ledger(pdf: pd.DataFrame, cash: float, fee: float, half: float, impact: float, dust: float) -> pd.DataFrame:
-    """One book over its days: fills at the open, equity at the close, orders beyond the dust."""
-    days, cuts, n, (code, open_, close, volume, weight) = _by_day(pdf, ["open", "close", "volume", "weight"])
-    pos, last, pending = np.zeros(n), np.zeros(n), np.zeros(n)
-    out = []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        j, o, c, v = code[lo:hi], open_[lo:hi], close[lo:hi], volume[lo:hi]
-        d = pending[j]
-        part = np.where(v > 0, np.minimum(np.abs(d) / np.where(v > 0, v, 1.0), 1.0), 1.0)
-        price = o * (1 + np.sign(d) * (half + impact * part) * 1e-4)
-        fees = np.abs(d) * price * fee * 1e-4
-        cash -= float((d * price + fees).sum())
-        pos[j] += d
-        last[j] = c
-        equity = cash + float(pos @ last)
-        want = weight[lo:hi] * equity / c - pos[j]
-        pending[j] = np.where(np.abs(want) * c < equity * dust, 0.0, want)
-        gross = float(np.abs(pos) @ last)
-        out.append((days[lo], equity, gross / equity if equity > 0 else 0.0, float(fees.sum()), int((d != 0).sum())))
-    res = pd.DataFrame(out, columns=["day", "equity", "exposure", "fees", "fills"])
-    res.insert(0, "book", pdf["book"].iloc[0])
-    return res
-
-
-def multi_ledger(
-    bars: DataFrame, cash: float = CASH, fee_bps: float = FEE_BPS, half_spread_bps: float = HALF_SPREAD_BPS,
-    impact_bps: float = IMPACT_BPS, dust: float = DUST,
-) -> DataFrame:
-    """(book, day, equity, exposure, fees, fills) from ``(book, day, symbol, open, close, volume, weight)``.
 
-    Equity feeds back into every order's size, so each book is one ordered pass; books (grid
-    values, windows, universes) are the parallel key, and a book is one row per day and listed
-    name, never raw trades.
-    """
+def screened_book(rows: DataFrame, cost_rate: float = COST_RATE) -> DataFrame:
+    """(book, day, ret, turnover, exposure) of ``(book, symbol, day, ret, weight)``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _multi_ledger(pdf, cash, fee_bps, half_spread_bps, impact_bps, dust)
-
-    return bars.groupBy("book").applyInPandas(
-        run, "book string, day date, equity double, exposure double, fees double, fills long"
-    )
+    A weight decided on one bar is held over the next and paid for when it changes; sizes are
+    shares of the book, so no bar waits for another's result. Two windows by book and symbol,
+    then one aggregate by day, summed map-side.
+    """
+    w = W.partitionBy("book", "symbol").orderBy("day")
+    held = F.coalesce(F.lag("weight").over(w), F.lit(0.0))
+    before = F.coalesce(F.lag("weight", 2).over(w), F.lit(0.0))
+    rows = rows.withColumns({"__held": held, "__turn": F.abs(held - before)})
+    gain = F.col("__held") * F.coalesce("ret", F.lit(0.0)) - cost_rate * F.col("__turn")
+    return rows.groupBy("book", "day").agg(F.sum(gain).alias("ret"), F.sum("__turn").alias("turnover"), F.sum(F.abs("__held")).alias("exposure"))
 
 
 def book_bars(bars: DataFrame, books: dict[str, DataFrame]) -> DataFrame:
-    """Bars of every book with that day's weight (zero where the book names nothing)."""
+    """Returns of every book's bars with that day's weight (zero where the book names nothing)."""
     out = None
     for name, weights in books.items():
-        part = bars.select("day", "symbol", "open", "close", "volume").join(
+        part = bars.select("day", "symbol", "ret").join(
             weights.select("day", "symbol", "weight"), ["day", "symbol"], "left"
-        ).select(F.lit(name).alias("book"), "day", "symbol", "open", "close", "volume", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        ).select(F.lit(name).alias("book"), "day", "symbol", "ret", F.coalesce("weight", F.lit(0.0)).alias("weight"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -280,38 +241,20 @@ def carry_gross(frame: DataFrame, collateral: float = 0.5, over: str = "present"
     return g.select("day", "present", (share * F.col("f")).alias("funding_ret"), (share * F.col("b")).alias("basis_ret"))
 
 
-def _carry_book(pdf: pd.DataFrame, rate: float, collateral: float, over: str, cash: float) -> pd.DataFrame:
-    """Daily attribution of one carry book; drifted notional is the next day's turnover."""
-    days, cuts, n, (code, spot, perp, fund_rate, hold) = _by_day(pdf, ["r_spot", "r_perp", "funding", "hold"])
-    held, equity, out = np.zeros(n), cash, []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        j, on = code[lo:hi], hold[lo:hi].astype(bool)
-        k = int(on.sum()) if over == "held" else hi - lo
-        before = equity
-        if k == 0:
-            out.append((days[lo], 0.0, 0.0, 0.0, 0.0, 0, before))
-            equity -= float(np.abs(held[j]).sum()) * rate * 2
-            held[j] = 0.0
-            continue
-        notional = np.where(on, before / k * collateral, 0.0)
-        cost = float(np.abs(notional - held[j]).sum()) * rate * 2
-        basis, fund = float((notional * (spot[lo:hi] - perp[lo:hi])).sum()), float((notional * fund_rate[lo:hi]).sum())
-        held[j] = notional * (1 + spot[lo:hi])
-        equity = before + basis + fund - cost
-        out.append((days[lo], (equity - before) / before, fund / before, basis / before, -cost / before, int(hi - lo), equity))
-    res = pd.DataFrame(out, columns=["day", "ret", "funding_ret", "basis_ret", "cost_ret", "n_symbols", "equity"])
-    res.insert(0, "book", pdf["book"].iloc[0])
-    return res
-
-
-def carry_book(frame: DataFrame, cost_rate: float = 1.1e-3, collateral: float = 0.5, over: str = "present", cash: float = CASH) -> DataFrame:
-    """Daily carry attribution per ``book``; costs depend on drifted notional, hence one ordered pass."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _carry_book(pdf, cost_rate, collateral, over, cash)
-
-    return frame.groupBy("book").applyInPandas(
-        run, "book string, day date, ret double, funding_ret double, basis_ret double, cost_ret double, n_symbols long, equity double"
-    )
-
+def carry_book(frame: DataFrame, cost_rate: float = COST_RATE, collateral: float = 0.5, over: str = "present") -> DataFrame:
+    """(book, day, ret, funding_ret, basis_ret, cost_ret, n_symbols): :func:`carry_gross` less costs.
 
+    Every held symbol takes the same share of the book; both legs pay for the change of that
+    share since the symbol's row before. Windows by book and symbol, then one aggregate by day.
+    """
+    day = W.partitionBy("book", "day")
+    n = F.count(F.lit(1)).over(day) if over == "present" else F.count_if(F.col("hold")).over(day)
+    share = F.when(F.col("hold"), collateral / n).otherwise(0.0)
+    w = W.partitionBy("book", "symbol").orderBy("day")
+    rows = frame.withColumn("__w", share)
+    rows = rows.withColumn("__turn", F.abs(F.col("__w") - F.coalesce(F.lag("__w").over(w), F.lit(0.0))))
+    parts = rows.groupBy("book", "day").agg(
+        F.sum(F.col("__w") * F.col("funding")).alias("funding_ret"), F.sum(F.col("__w") * (F.col("r_spot") - F.col("r_perp"))).alias("basis_ret"),
+        F.sum(-2 * cost_rate * F.col("__turn")).alias("cost_ret"), F.count(F.lit(1)).alias("n_symbols"),
+    )
+    return parts.select("book", "day", (F.col("funding_ret") + F.col("basis_ret") + F.col("cost_ret")).alias("ret"), "funding_ret", "basis_ret", "cost_ret", "n_symbols")

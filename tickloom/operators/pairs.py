@@ -1,10 +1,7 @@
-"""Cointegrated pairs: formation by aggregates over all pairs, then a slot-limited book."""
+"""Cointegrated pairs: formation by aggregates over all pairs, then a book of equal shares."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,63 +109,20 @@ def pair_days(prices: DataFrame, admitted: DataFrame, formation: int, trading: i
     return both.withColumn("z", z).select("regime", "t", "day", "sa", "sb", "priority", "z", "ra", "rb")
 
 
-def _slots(pdf: pd.DataFrame, z_in: float, z_out: float, z_stop: float, hold: int, slots: int, rate: float, cash: float) -> pd.DataFrame:
-    """Slot allocation over the days of one book; positions close at every regime change."""
-    equity, open_, out, regime_now = cash, {}, [], None
-    for (t, regime), rows in pdf.groupby(["t", "regime"], sort=True):
-        if regime != regime_now:
-            equity -= sum(p["n"] for p in open_.values()) * rate * 2
-            open_, regime_now = {}, regime
-        before, pnl, cost = equity, 0.0, 0.0
-        today = {(r.sa, r.sb): r for r in rows.itertuples() if r.sa is not None}
-        kept = {}
-        for key, p in open_.items():
-            r = today.get(key)
-            if r is None or math.isnan(r.ra) or math.isnan(r.rb):
-                cost += p["n"] * rate * 2
-                continue
-            pnl += p["d"] * p["n"] * (r.ra - r.rb)
-            p["age"] += 1
-            if abs(r.z) <= z_out or abs(r.z) >= z_stop or p["age"] >= hold:
-                cost += p["n"] * rate * 2
-            else:
-                kept[key] = p
-        open_ = kept
-        notional = before / (2 * slots)
-        for r in sorted(today.values(), key=lambda r: r.priority):
-            if len(open_) >= slots:
-                break
-            if (r.sa, r.sb) not in open_ and z_in <= abs(r.z) < z_stop:
-                open_[(r.sa, r.sb)] = {"d": -1 if r.z > 0 else 1, "n": notional, "age": 0}
-                cost += notional * rate * 2
-        equity = before + pnl - cost
-        out.append((rows["day"].iloc[0], (pnl - cost) / before, pnl / before, -cost / before, len(open_), equity))
-    res = pd.DataFrame(out, columns=["day", "ret", "gross_ret", "cost_ret", "n_open", "equity"])
-    res.insert(0, "book", pdf["book"].iloc[0])
-    return res
-
-
-def pairs_book(
-    days: DataFrame, calendar: DataFrame, grid: list[tuple[float, float, int]], z_stop: float = 4.0,
-    slots: int = 10, cost_rate: float = 1.1e-3, cash: float = 10_000.0,
-) -> DataFrame:
-    """Daily pairs book for every (z_in, z_out, max hold) of the grid, one ordered pass each.
-
-    ``calendar`` is (regime, t, day) over the trading span, so days without an admitted pair
-    still carry a row.
-    """
-    base = calendar.join(days, ["regime", "t", "day"], "left")
-    books = F.explode(F.array(*(F.lit(f"{i}/{o}/{h}") for i, o, h in grid)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, o, h = pdf["book"].iloc[0].split("/")
-        pdf = pdf.astype({"sa": object, "sb": object}).where(pdf.notna(), None)
-        for c in ("z", "ra", "rb"):
-            pdf[c] = pd.to_numeric(pdf[c], errors="coerce").astype(float)
-        return _slots(pdf, float(i), float(o), z_stop, int(h), slots, cost_rate, cash)
-
-    return base.withColumn("book", books).groupBy("book").applyInPandas(
-        run, "book string, day date, ret double, gross_ret double, cost_ret double, n_open long, equity double"
-    )
-
+def pairs_book(days: DataFrame, grid: list[tuple[float, float]], z_stop: float = 4.0, cost_rate: float = 1.1e-3) -> DataFrame:
+    """(book, day, ret, n_open) of pairs traded for their reversion, one book for every (z_in, z_out).
 
+    A pair is entered against its spread at ``z_in`` and left at ``z_out`` or ``z_stop``: the
+    newest of those marks within the regime is its position. It is held over the next day, pays
+    both legs when it changes, and every admitted pair has the same share of the book. States
+    are windows by pair, so pairs spread over the cluster; days are one aggregate.
+    """
+    books = F.inline(F.array(*(F.struct(F.lit(f"{i}/{o}").alias("book"), F.lit(i).alias("z_in"), F.lit(o).alias("z_out")) for i, o in grid)))
+    far = F.abs("z")
+    mark = F.when((far <= F.col("z_out")) | (far >= z_stop), 0).when(far >= F.col("z_in"), -F.signum("z"))
+    w = W.partitionBy("book", "regime", "sa", "sb").orderBy("t")
+    rows = days.select("*", books).withColumn("__pos", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0.0)))
+    held, before = (F.coalesce(F.lag("__pos", n).over(w), F.lit(0.0)) for n in (1, 2))
+    rows = rows.withColumns({"__held": held, "__turn": F.abs(held - before)})
+    gain = F.col("__held") * F.coalesce(F.col("ra") - F.col("rb"), F.lit(0.0)) - 2 * cost_rate * F.col("__turn")
+    return rows.groupBy("book", "day").agg((F.avg(gain) / 2).alias("ret"), F.count_if(F.col("__pos") != 0).alias("n_open"))

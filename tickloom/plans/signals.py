@@ -220,9 +220,25 @@ def universe_masked_panel(spark, sf_dir):
     return kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
 
 
-@query("rotation_book", "P21 P12 P13 P18")
+def _book_sql(books: dict[str, str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS book, CAST(day AS DATE) AS day, symbol, weight FROM ({q.replace('R6(', '(')}) {n}_w" for n, q in books.items())
+    return f"""WITH br AS (SELECT symbol, day, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM walk_wk),
+ bw AS ({rows}),
+ bp AS (SELECT k.book, br.symbol, br.day, br.ret, coalesce(bw.weight, 0) AS weight FROM br CROSS JOIN (SELECT unnest({list(books)}) AS book) k LEFT JOIN bw ON bw.book = k.book AND bw.symbol = br.symbol AND bw.day = br.day),
+ bl AS (SELECT *, coalesce(lag(weight) OVER s, 0) AS held, coalesce(lag(weight, 2) OVER s, 0) AS was FROM bp WINDOW s AS (PARTITION BY book, symbol ORDER BY day))
+SELECT book, CAST(day AS VARCHAR) AS day, R6(sum(held * coalesce(ret, 0) - 0.0011 * abs(held - was))) AS ret, R6(sum(abs(held - was))) AS turnover, R6(sum(abs(held))) AS exposure FROM bl GROUP BY book, day"""
+
+
+@query("rotation_book", "P22 P12 P13 P18", over("walk_wk", _book_sql({
+    "rotation": _ROT + """,
+ r AS (SELECT day, symbol, score, row_number() OVER (PARTITION BY day ORDER BY score DESC, symbol) AS rk FROM asf WHERE score IS NOT NULL)
+SELECT day, symbol, 0.5 AS weight FROM r WHERE rk <= 2 AND score > 0""",
+    "vol_target": _vt_rot(_ROT, "asf"),
+    "stopped": _vt_rot(_STOP_ROT, "live"),
+    "equal_weight": "SELECT day, symbol, 1.0 / count(*) OVER (PARTITION BY day) AS weight FROM walk_wk",
+})))
 def rotation_book(spark, sf_dir):
-    """Multi-name ledgers of four books side by side (ordered feedback: checked by brute force in tests)."""
+    """Screened returns of four books side by side."""
     bars = shared(market.walk_wk(spark, sf_dir))
     sets = {
         "rotation": S.rotation(bars, 12, 2),
@@ -230,7 +246,7 @@ def rotation_book(spark, sf_dir):
         "stopped": S.vol_target_rotation(bars, 12, 2, stops=True),
         "equal_weight": S.equal_weight_live(bars),
     }
-    return books.multi_ledger(books.book_bars(bars, sets))
+    return books.screened_book(books.book_bars(bars.withColumn("ret", S.ret()), sets))
 
 
 GRID = [7.0, 14.0, 30.0, 60.0]
@@ -318,14 +334,22 @@ def carry_gross_attribution(spark, sf_dir):
     return g.select("day", "present", (F.col("funding_ret") * 1000).alias("funding_permille"), "basis_ret")
 
 
-@query("carry_book_daily", "P23 P24")
+@query("carry_book_daily", "P23 P24", over("walk_1d bars_1d perp_1d funding", _CARRY_SQL + """,
+ bk AS (SELECT 'gated' AS book, symbol, day, rs, rp, funding, hold FROM c UNION ALL SELECT 'always', symbol, day, rs, rp, funding, TRUE FROM c),
+ sh AS (SELECT *, CASE WHEN hold THEN 0.5 / count(*) OVER (PARTITION BY book, day) ELSE 0 END AS w FROM bk),
+ tu AS (SELECT *, abs(w - coalesce(lag(w) OVER (PARTITION BY book, symbol ORDER BY day), 0)) AS turn FROM sh)
+SELECT book, CAST(day AS VARCHAR) AS day, R6(sum(w * funding) + sum(w * (rs - rp)) - 0.0022 * sum(turn)) AS ret, R6(sum(w * funding) * 1000) AS funding_permille,
+ R6(sum(w * (rs - rp))) AS basis_ret, R6(-0.0022 * sum(turn) * 1000) AS cost_permille, count(*) AS n_symbols FROM tu GROUP BY book, day"""))
 def carry_book_daily(spark, sf_dir):
-    """Always-on and gated carry books with costs (ordered feedback: checked by brute force in tests)."""
+    """Always-on and gated carry books with their costs."""
     legs, funding = shared(_carry_legs(spark, sf_dir)), shared(market.funding(spark, sf_dir))
     frame = books.carry_frame(legs, funding).withColumn("book", F.lit("always")).unionByName(
         books.carry_frame(legs, funding, gate=30).withColumn("book", F.lit("gated"))
     )
-    return books.carry_book(frame)
+    days = books.carry_book(frame)
+    return days.select(
+        "book", "day", "ret", (F.col("funding_ret") * 1000).alias("funding_permille"), "basis_ret", (F.col("cost_ret") * 1000).alias("cost_permille"), "n_symbols"
+    )
 
 
 FORMATION, TRADING = 104, 52
@@ -358,17 +382,20 @@ def pair_cointegration(spark, sf_dir):
     return _pair_stats(market.walk_wk(spark, sf_dir)).drop("spread_mean")
 
 
-@query("pairs_book_grid", "P25 R27")
+@query("pairs_book_grid", "P25 R27", over("walk_wk", _PAIR_SQL + """,
+ ad AS (SELECT st.regime, st.sa, st.sb, hedge, icpt, sd, (SELECT avg(s) FROM s0 z WHERE z.regime = st.regime AND z.sa = st.sa AND z.sb = st.sb) AS mu FROM st JOIN sp ON st.regime = sp.regime AND st.sa = sp.sa AND st.sb = sp.sb WHERE adf < -3.04),
+ tr AS (SELECT w.symbol, w.day, cal.t, ln(w.close) AS l, w.close / v.close - 1 AS r FROM walk_wk w JOIN cal ON w.day = cal.day LEFT JOIN cal c2 ON c2.t = cal.t - 1 LEFT JOIN walk_wk v ON v.symbol = w.symbol AND v.day = c2.day),
+ pd AS (SELECT ad.regime, ad.sa, ad.sb, a.t, a.day, (a.l - hedge * b.l - icpt - mu) / sd AS z, a.r AS ra, b.r AS rb FROM ad JOIN tr a ON a.symbol = ad.sa AND a.t >= 104 AND (a.t - 104) // 52 = ad.regime JOIN tr b ON b.symbol = ad.sb AND b.t = a.t),
+ g2 AS (SELECT * FROM pd CROSS JOIN (VALUES ('1.5/0.5', 1.5, 0.5), ('2.0/0.5', 2.0, 0.5), ('2.0/0.0', 2.0, 0.0)) v(book, zi, zo)),
+ mk AS (SELECT *, CASE WHEN abs(z) <= zo OR abs(z) >= 4 THEN 0 WHEN abs(z) >= zi THEN -sign(z) END AS mark FROM g2),
+ ps AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY book, regime, sa, sb ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS pos FROM mk),
+ hd AS (SELECT *, coalesce(lag(pos) OVER q, 0) AS held, coalesce(lag(pos, 2) OVER q, 0) AS was FROM ps WINDOW q AS (PARTITION BY book, regime, sa, sb ORDER BY t))
+SELECT book, CAST(day AS VARCHAR) AS day, R6(avg(held * coalesce(ra - rb, 0) - 0.0022 * abs(held - was)) / 2) AS ret, count(*) FILTER (WHERE pos <> 0) AS n_open FROM hd GROUP BY book, day"""))
 def pairs_book_grid(spark, sf_dir):
-    """Slot-limited pairs books over an entry/exit/hold grid (checked by brute force in tests)."""
-    from tickloom.operators.bars import with_ordinal
-
+    """Books of admitted pairs over a grid of entry and exit marks."""
     prices = shared(market.walk_wk(spark, sf_dir).select("symbol", "day", "close"))
     admitted = pairs.formed(_pair_stats(prices), ["regime"], alpha=0.10)
-    t = with_ordinal(prices).select("day", (F.col("ord") - 1).alias("t")).distinct()
-    cal = t.where(F.col("t") >= FORMATION).withColumn("regime", F.floor((F.col("t") - FORMATION) / TRADING).cast("int"))
-    days = pairs.pair_days(prices, admitted, FORMATION, TRADING)
-    return pairs.pairs_book(days, cal, [(1.5, 0.5, 10), (2.0, 0.5, 20), (2.0, 0.0, 20)])
+    return pairs.pairs_book(pairs.pair_days(prices, admitted, FORMATION, TRADING), [(1.5, 0.5), (2.0, 0.5), (2.0, 0.0)])
 
 
 @query("asof_state", "J7 N9", over("walk_1d", """
