@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.session import cut_lineage, shared
 
 
-def reach(edges: DataFrame, starts: DataFrame, forward: bool = True, max_depth: int = 1000) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:
     """(start, node, depth): everything reachable from each start, itself excluded.
 
     ``edges`` is (src, dst); ``starts`` is (start). Rounds stop when nothing new appears.
@@ -21,15 +21,15 @@ def reach(edges: DataFrame, starts: DataFrame, forward: bool = True, max_depth:
     e = shared(e.distinct())
     frontier = starts.select("start", F.col("start").alias("node"))
     seen = cut_lineage(frontier.withColumn("depth", F.lit(0)))
-    frontier = seen.select("start", "node")
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen.select("start", "node"), 0
+    while True:
+        depth += 1
         step = frontier.join(e, frontier["node"] == e["a"]).select("start", F.col("b").alias("node")).distinct()
         fresh = cut_lineage(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
-            break
+            return seen.where("depth > 0")
         seen = seen.unionByName(fresh)
         frontier = fresh.select("start", "node")
-    return seen.where("depth > 0")
 
 
 def impact(depends: DataFrame, supports: DataFrame, starts: DataFrame) -> DataFrame:
@@ -39,16 +39,16 @@ def impact(depends: DataFrame, supports: DataFrame, starts: DataFrame) -> DataFr
     return back.unionByName(ahead).distinct()
 
 
-def cyclic_edges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def cyclic_edges(edges: DataFrame) -> DataFrame:
     """Edges left after repeatedly dropping edges into nodes without outgoing edges.
 
     Empty exactly when the graph is acyclic; otherwise the cycles (and what leads into them).
+    Each round is a job and takes one link off the end of every chain, so there are as many as
+    the longest chain that ends outside a cycle has links.
     """
     left = cut_lineage(edges.select("src", "dst").distinct())
     n = left.count()
-    for _ in range(max_rounds):
-        if n == 0:
-            break
+    while n:
         alive = left.select(F.col("src").alias("dst")).distinct()
         left = cut_lineage(left.join(alive, "dst", "left_semi").select("src", "dst"))
         m = left.count()

@@ -17,12 +17,12 @@ from tickloom.session import settled, sided
 def by_factor(m: Column) -> Column:
     """Sum of 1/i for i up to m: the step-up penalty under any dependence.
 
-    Beyond a thousand terms the asymptotic series is exact to double precision.
+    One formula for every m: the series for large arguments, sixteen terms further on, where it
+    is exact to double precision, less those sixteen terms.
     """
-    x = m.cast("double")
-    exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1000)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1.0 / i)
-    series = F.log(x) + EULER_GAMMA + 1 / (2 * x) - 1 / (12 * x * x)
-    return F.when(m <= 1000, exact).otherwise(series)
+    x = m.cast("double") + 16
+    series = F.log(x) + EULER_GAMMA + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, 4)) - 1 / (252 * F.pow(x, 6))
+    return series - reduce(lambda a, b: a + b, [1.0 / (m + i) for i in range(16, 0, -1)])
 
 
 def step_up(

@@ -42,7 +42,7 @@ def _rel_obs():
         for n, c in CONDS.items() for h in HZ])
 
 
-def relation_family(panel, seed: int, n_boot: int = 2000):
+def relation_family(panel, seed: int, n_boot: int = 5000):
     """Every condition by horizon as one table of effects, intervals and p-values."""
     ready = F.col("r30").isNotNull() & F.col("vol90").isNotNull()
     cells = [
@@ -53,7 +53,7 @@ def relation_family(panel, seed: int, n_boot: int = 2000):
 
 
 def _family_sql(tail: str) -> str:
-    sql = two_group(_REL + _rel_obs(), n_boot=2000, seed=21)
+    sql = two_group(_REL + _rel_obs(), n_boot=5000, seed=21)
     cut = sql.rindex("SELECT t.cell")
     return f"""{sql[:cut].rstrip()},
  fam AS (SELECT t.cell, t.point, b.low, b.high, b.p_value FROM totals t LEFT JOIN bounds b ON t.cell = b.cell),
@@ -85,7 +85,7 @@ SELECT cell, R6(point) AS point, ok AS survived FROM v""")(two_group(_REL + ", "
     ("early", f"c WHERE r30 IS NOT NULL AND fwd7 IS NOT NULL AND day < DATE '{_SPLIT}'", _case("r30 > 0", "fwd7"), _case("r30 <= 0", "fwd7")),
     ("late", f"c WHERE r30 IS NOT NULL AND fwd7 IS NOT NULL AND day >= DATE '{_SPLIT}'", _case("r30 > 0", "fwd7"), _case("r30 <= 0", "fwd7")),
     ("long", "c WHERE r30 IS NOT NULL AND fwd30 IS NOT NULL", _case("r30 > 0", "fwd30"), _case("r30 <= 0", "fwd30")),
-    ("no_leader", "c WHERE r30 IS NOT NULL AND fwd7 IS NOT NULL AND symbol <> 'AF'", _case("r30 > 0", "fwd7"), _case("r30 <= 0", "fwd7"))), n_boot=2000, seed=22))))
+    ("no_leader", "c WHERE r30 IS NOT NULL AND fwd7 IS NOT NULL AND symbol <> 'AF'", _case("r30 > 0", "fwd7"), _case("r30 <= 0", "fwd7"))), n_boot=5000, seed=22))))
 def replication_outcomes(spark, sf_dir):
     """Variations of one claim in period, horizon and universe, all from one pass."""
     up, base = F.col("r30") > 0, F.col("r30").isNotNull() & F.col("fwd7").isNotNull()
@@ -96,7 +96,7 @@ def replication_outcomes(spark, sf_dir):
         Cell("long", F.col("fwd30"), up, None, F.col("r30").isNotNull() & F.col("fwd30").isNotNull()),
         Cell("no_leader", y, up, None, base & (F.col("symbol") != "AF")),
     ]
-    r = shared(R.two_group_ci(two_group_days(relation_panel(spark, sf_dir), cells), n_boot=2000, seed=22))
+    r = shared(R.two_group_ci(two_group_days(relation_panel(spark, sf_dir), cells), n_boot=5000, seed=22))
     original = r.where("cell = 'base'").select(F.lit("claim").alias("cell"), "point")
     variants = r.where("cell <> 'base'").select(F.lit("claim").alias("cell"), F.col("cell").alias("variant"), "point", "low", "high")
     out = I.replication_outcomes(original, variants)

@@ -39,7 +39,7 @@ SELECT p_partkey AS trial_id, concat('H', p_partkey) AS hypothesis, concat(CASE
  p_retailprice / 10000 AS p_value, p_name AS evidence FROM part"""),
     "edges": ((), """
 SELECT DISTINCT concat('N', a.l_suppkey) AS src, concat('N', b.l_suppkey) AS dst FROM lineitem a JOIN lineitem b
- ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE a.l_suppkey % 5 = 0 AND a.l_linenumber = 1 AND b.l_linenumber = 2"""),
+ ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey AND abs(a.l_linenumber - b.l_linenumber) = 1"""),
 }
 
 _WALK = """

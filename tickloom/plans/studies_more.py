@@ -108,10 +108,10 @@ def _venue_cells():
 
 @query("study_cross_venue", "E68 F30 F31 S10 G1 J1", over("venue_1d peg_1d", two_group(_VENUE + ", " + _obs(*[
     (f"{s}_{h}d", f"v WHERE fwd{h} IS NOT NULL AND pct_{s} IS NOT NULL", _case(f"pct_{s} >= 0.90", f"fwd{h}"), _case(f"pct_{s} <= 0.10", f"fwd{h}"))
-    for s in SIGNALS for h in VENUE_H]), n_boot=2000, seed=68)))
+    for s in SIGNALS for h in VENUE_H]), n_boot=5000, seed=68)))
 def study_cross_venue(spark, sf_dir):
     """Four signals by two horizons, high against low readings."""
-    return R.two_group_ci(two_group_days(venue_panel(spark, sf_dir), _venue_cells()), n_boot=2000, seed=68)
+    return R.two_group_ci(two_group_days(venue_panel(spark, sf_dir), _venue_cells()), n_boot=5000, seed=68)
 
 
 @query("venue_breadth", "G8 E68", over("venue_1d peg_1d", _VENUE + ", e AS (" + " UNION ALL ".join(
@@ -475,7 +475,7 @@ LIVE_DAYS = 26
  live AS (SELECT exp(sum(ln(1 + ret))) - 1 AS live FROM d WHERE i >= n - {LIVE_DAYS}),
  h AS (SELECT day, ret, i, count(*) OVER () AS n FROM d WHERE i < n - {LIVE_DAYS}),
  o AS (SELECT exp(sum(ln(1 + ret)) OVER f) - 1 AS r, count(*) OVER f AS c FROM h WINDOW f AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND {LIVE_DAYS - 1} FOLLOWING)),
- p AS (SELECT draw, blk, {hash_start(59, '(SELECT max(n) FROM h)', 5)} AS s FROM (SELECT unnest(range(2000)) AS draw) a, (SELECT unnest(range(6)) AS blk) b),
+ p AS (SELECT draw, blk, {hash_start(59, '(SELECT max(n) FROM h)', 5)} AS s FROM (SELECT unnest(range(10000)) AS draw) a, (SELECT unnest(range(6)) AS blk) b),
  bs AS (SELECT draw, exp(sum(ln(1 + ret))) - 1 AS r FROM p JOIN h ON h.i BETWEEN p.s AND p.s + CASE WHEN blk = 5 THEN 0 ELSE 4 END GROUP BY draw)
 SELECT R6((SELECT live FROM live)) AS live, (SELECT count(*) FROM o WHERE c = {LIVE_DAYS}) AS windows, R6((SELECT avg(CASE WHEN r <= live THEN 1.0 ELSE 0.0 END) FROM o, live WHERE c = {LIVE_DAYS})) AS overlap_share,
  R6((SELECT avg(CASE WHEN r <= live THEN 1.0 ELSE 0.0 END) FROM bs, live)) AS resampled_share,
@@ -489,7 +489,7 @@ def live_window_consistency(spark, sf_dir):
     live = d.where(F.col("left") <= LIVE_DAYS).agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("live")).withColumn("k", F.lit(1))
     ahead = w.rowsBetween(0, LIVE_DAYS - 1)
     overlap = hist.select(F.when(F.count("ret").over(ahead) == LIVE_DAYS, F.exp(F.sum(F.log1p("ret")).over(ahead)) - 1).alias("r")).dropna()
-    drawn = resampled_paths(hist, LIVE_DAYS, 5, 2000, 59)
+    drawn = resampled_paths(hist, LIVE_DAYS, 5, 10_000, 59)
     both = overlap.select(F.lit("overlap").alias("kind"), "r").unionByName(drawn.select(F.lit("drawn").alias("kind"), F.col("ret").alias("r")))
     j = both.withColumn("k", F.lit(1)).join(live, "k")
     at = lambda kind: F.avg(F.when(F.col("kind") == kind, (F.col("r") <= F.col("live")).cast("double")))
@@ -535,13 +535,13 @@ _DOM = f"""WITH {_idx('a', "symbol <> 'AF'")}, {_idx('b', "TRUE")},
 
 
 @query("study_dominance", "EV2 B3 B4 F6 R5", over("walk_1d", two_group(_DOM + ", " + _obs(*[
-    (f"rise{n}", f"g WHERE fr IS NOT NULL AND rise{n} IS NOT NULL", _case(f"rise{n}", "fr"), _case(f"NOT rise{n}", "fr")) for n in (7, 30, 90)]), block=60, n_boot=2000, seed=2)))
+    (f"rise{n}", f"g WHERE fr IS NOT NULL AND rise{n} IS NOT NULL", _case(f"rise{n}", "fr"), _case(f"NOT rise{n}", "fr")) for n in (7, 30, 90)]), block=60, n_boot=5000, seed=2)))
 def study_dominance(spark, sf_dir):
     """Relative forward return when dominance rises against when it falls."""
     df = dominance_labels(dominance_frame(spark, sf_dir))
     rows = [F.struct(F.lit(f"rise{n}").alias("cell"), F.col(f"rise{n}").alias("flag")) for n in (7, 30, 90)]
     obs = df.select("day", F.col("fwd_rel").alias("v"), F.inline(F.array(*rows))).dropna(subset=["v", "flag"])
-    return R.flag_split_ci(obs, block=60, n_boot=2000, seed=2)
+    return R.flag_split_ci(obs, block=60, n_boot=5000, seed=2)
 
 
 @query("dominance_quadrants", "G10 EV2", over("walk_1d", _DOM + """

@@ -198,15 +198,14 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependency edges: suppliers met on one order, lower key to higher, so acyclic."""
+    """Dependency edges: suppliers of neighbouring lines of an order, lower key to higher, so acyclic."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    a = line.where((F.col("l_suppkey") % 5 == 0) & (F.col("l_linenumber") == 1)).select(
-        "l_orderkey", F.col("l_suppkey").alias("a")
-    )
-    b = line.where(F.col("l_linenumber") == 2).select("l_orderkey", F.col("l_suppkey").alias("b"))
+    a = line.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("a"))
+    b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("b"))
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     return (
-        a.distinct()
-        .join(b.distinct(), "l_orderkey")
+        a.join(b, ["l_orderkey", "l_linenumber"])
+        .select(*pair)
         .where("a < b")
         .select(F.concat(F.lit("N"), "a").alias("src"), F.concat(F.lit("N"), "b").alias("dst"))
         .distinct()
