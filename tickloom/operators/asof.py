@@ -60,11 +60,17 @@ def latest_state(known: DataFrame, values: list[str]) -> DataFrame:
     )
 
 
-def assert_no_lookahead(state: DataFrame, as_of: str) -> DataFrame:
-    """(latest, violations): availability after ``as_of`` anywhere is a violation."""
-    return state.agg(
+def lookahead(uses: DataFrame, source_day: str, as_of: str, interval_days: int = 1) -> DataFrame:
+    """(symbol, uses, latest, violations): source rows used before their bar had closed.
+
+    ``uses`` has one row for each source row a decision read: ``source_day``, the bar's day, and
+    ``as_of``, the time of the decision.
+    """
+    known = uses.withColumn("available_at", F.date_add(source_day, interval_days))
+    return known.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("uses"),
         F.max("available_at").alias("latest"),
-        F.count_if(F.col("available_at") > F.lit(as_of).cast("date")).alias("violations"),
+        F.count_if(F.col("available_at") > F.col(as_of)).alias("violations"),
     )
 
 
@@ -77,10 +83,3 @@ def first_after(events: DataFrame, observations: DataFrame, key: str, at: str, o
     later = with_facts(observations, events.select(key, at), key).where(F.col(obs_at) > F.col(at))
     packed = F.struct(obs_at, *values)
     return later.groupBy(key, at).agg(F.min(packed).alias("e")).select(key, at, "e.*")
-
-
-def timeline_intersection(panel: DataFrame) -> DataFrame:
-    """Days on which every symbol of the panel has a row."""
-    total = panel.agg(F.count_distinct("symbol").alias("total")).withColumn("k", F.lit(1))
-    per = panel.groupBy("day").agg(F.count_distinct("symbol").alias("n")).withColumn("k", F.lit(1))
-    return per.join(total, "k").where("n = total").select("day")

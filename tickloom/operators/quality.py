@@ -44,6 +44,22 @@ def schema_drift(df: DataFrame, want: StructType) -> list[str]:
     return out
 
 
+def set_findings(df: DataFrame, want: StructType, expected: DataFrame) -> DataFrame:
+    """(symbol, check, severity, count, detail) of whole sets: drifted schema, or no rows at all.
+
+    ``expected`` names the symbols that should have rows. A schema that differs is found for
+    each of them, one row a difference, and nothing else is looked at.
+    """
+    severity = lambda check: F.lit(SEVERITY[check]).alias("severity")
+    drift = schema_drift(df, want)
+    if drift:
+        found = expected.select("symbol", F.lit("schema").alias("check"), severity("schema"), F.explode(F.lit(drift)).alias("detail"))
+    else:
+        present = df.select("symbol").distinct()
+        found = expected.join(present, "symbol", "left_anti").select("symbol", F.lit("empty").alias("check"), severity("empty"), F.lit("no rows").alias("detail"))
+    return found.withColumn("count", F.lit(1).cast("long"))
+
+
 def incoherent(open_="open", high="high", low="low", close="close", volume="volume") -> Column:
     o, h, lo, c, v = (F.col(x) for x in (open_, high, low, close, volume))
     return (lo > F.least(o, c)) | (h < F.greatest(o, c)) | (F.least(o, h, lo, c) <= 0) | (v < 0)

@@ -39,7 +39,18 @@ def bars_upsert(spark, sf_dir):
     return lake.upsert(old, new, ["symbol", "day"])
 
 
-@query("bars_resample_6h", "B1 B2 A5", over("bars_1h", """
+@query("bars_from_epochs", "A5", over("bars_1h", """
+SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", R6(open) AS open, R6(high) AS high, R6(low) AS low, R6(close) AS close, R6(volume) AS volume FROM bars_1h"""))
+def bars_from_epochs(spark, sf_dir):
+    """Rows of epoch milliseconds and text prices, as a venue sends them, to typed bars."""
+    sent = market.bars_1h(spark, sf_dir).select(
+        "symbol", F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("epoch_ms"),
+        *(F.col(name).cast("string").alias(name[0]) for name in ("open", "high", "low", "close", "volume")),
+    )
+    return lake.bars_from_rows(sent, keep=["symbol"])
+
+
+@query("bars_resample_6h", "B1 B2", over("bars_1h", """
 SELECT symbol, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, R6(open) AS open, R6(high) AS high, R6(low) AS low, R6(close) AS close, R6(volume) AS volume FROM
  (SELECT symbol, date_trunc('day', ts) + INTERVAL 6 HOUR * CAST(floor(hour(ts) / 6) AS INTEGER) AS b, min_by(open, ts) AS open, max(high) AS high,
   min(low) AS low, max_by(close, ts) AS close, sum(volume) AS volume, count(*) AS n FROM bars_1h GROUP BY 1, 2) x WHERE n = 6"""))
@@ -170,13 +181,28 @@ def quality_findings(spark, sf_dir):
     return found.withColumn("examples", F.array_join(F.transform("examples", lambda d: d.cast("string")), ","))
 
 
-@query("quality_report", "Q2 Q12 Q1", over("ticks_1d", _RAW_SQL + """
+@query("quality_report", "Q12", over("ticks_1d", _RAW_SQL + """
 SELECT symbol, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
  count(*) FILTER (WHERE severity = 'error') = 0 AS storable FROM found GROUP BY symbol"""))
 def quality_report(spark, sf_dir):
     return Q.report(_found(spark, sf_dir))
 
 
+@query("quality_sets", "Q1 Q2", """
+WITH k AS (SELECT concat('C', c_custkey) AS symbol FROM customer),
+ gone AS (SELECT symbol FROM k WHERE symbol NOT IN (SELECT concat('C', o_custkey) FROM orders WHERE o_totalprice > 400000))
+SELECT 'whole' AS "set", symbol, 'empty' AS "check", 'error' AS severity, 'no rows' AS detail, CAST(1 AS BIGINT) AS "count" FROM gone
+UNION ALL SELECT 'drifted', symbol, 'schema', 'error', unnest(['missing open', 'extra opened', 'retyped close']), CAST(1 AS BIGINT) FROM k""")
+def quality_sets(spark, sf_dir):
+    """One series of large orders a customer: those without one are empty; a copy with other columns has drifted."""
+    orders, customers = (market.table(spark, sf_dir, n) for n in ("orders", "customer"))
+    rows = orders.where("o_totalprice > 400000").select(F.concat(F.lit("C"), "o_custkey").alias("symbol"), F.col("o_orderdate").alias("open"), F.col("o_totalprice").cast("double").alias("close"))
+    drifted = rows.select("symbol", F.col("open").alias("opened"), F.col("close").cast("string").alias("close"))
+    expected = customers.select(F.concat(F.lit("C"), "c_custkey").alias("symbol"))
+    whole = Q.set_findings(rows, rows.schema, expected).withColumn("set", F.lit("whole"))
+    return whole.unionByName(Q.set_findings(drifted, rows.schema, expected).withColumn("set", F.lit("drifted")))
+
+
 @query("quality_coverage", "Q10 A11", over("bars_1d", """
 SELECT symbol, count(*) AS rows, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last,
  R6(count(*) * 100.0 / (date_diff('day', min(day), max(day)) + 1)) AS complete_pct,

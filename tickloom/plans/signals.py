@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions import features as X
@@ -308,6 +309,20 @@ def current_target_table(spark, sf_dir):
     )
 
 
+@query("rebalance_orders", "P28", over("walk_1d", _SIG + """,
+ x AS (SELECT symbol, max_by(close, day) AS close, max_by(vol_target, day) AS target FROM e GROUP BY symbol),
+ h AS (SELECT symbol, 2000 * max_by(vol_target, day) / max_by(close, day) AS units FROM e WHERE day <= DATE '2001-01-01' GROUP BY symbol HAVING max_by(vol_target, day) > 0),
+ o AS (SELECT x.symbol, target, close, target * 10000 - coalesce(units, 0) * close AS notional FROM x LEFT JOIN h ON x.symbol = h.symbol)
+SELECT symbol, R6(target) AS target, R6(close) AS close, R6(notional) AS notional FROM o WHERE abs(notional) >= 50"""))
+def rebalance_orders(spark, sf_dir):
+    """Orders from what earlier decisions hold to the newest targets, above the dust share."""
+    s = S.single_name_signals(market.walk_1d(spark, sf_dir))
+    names = {"target": "vol_target"}
+    then = books.current_targets(s.where("day <= date'2001-01-01'"), names)
+    held = then.where("target > 0").select("symbol", (2000 * F.col("target") / F.col("close")).alias("units"))
+    return books.rebalance_orders(books.current_targets(s, names), held, F.lit(10_000.0))
+
+
 # --- carry and pairs ----------------------------------------------------------------------------------
 
 
@@ -407,9 +422,17 @@ def asof_state(spark, sf_dir):
 
 
 @query("lookahead_check", "N9", over("walk_1d", """
-SELECT CAST(max(CAST(day + INTERVAL 1 DAY AS DATE)) AS VARCHAR) AS latest, CAST(0 AS BIGINT) AS violations FROM walk_1d WHERE day + INTERVAL 1 DAY <= DATE '1999-03-15'"""))
+WITH u AS (SELECT symbol, day, lead(day) OVER (PARTITION BY symbol ORDER BY day) AS next, row_number() OVER (PARTITION BY symbol ORDER BY day) AS rn FROM walk_1d),
+ d AS (SELECT symbol, day AS src, CAST(day + INTERVAL 1 DAY AS DATE) AS as_of FROM u UNION ALL SELECT symbol, next, CAST(day + INTERVAL 1 DAY AS DATE) FROM u WHERE rn % 10 = 0 AND next IS NOT NULL)
+SELECT symbol, count(*) AS uses, CAST(CAST(max(src) + INTERVAL 1 DAY AS DATE) AS VARCHAR) AS latest, count(*) FILTER (WHERE src + INTERVAL 1 DAY > as_of) AS violations FROM d GROUP BY symbol"""))
 def lookahead_check(spark, sf_dir):
-    return asof.assert_no_lookahead(asof.known_at(market.walk_1d(spark, sf_dir), "1999-03-15"), "1999-03-15")
+    """Decisions that read their own bar, and every tenth the next one too, which is looking ahead."""
+    w = W.partitionBy("symbol").orderBy("day")
+    bars = market.walk_1d(spark, sf_dir).select("symbol", "day", F.lead("day").over(w).alias("next"), F.row_number().over(w).alias("rn"))
+    planted = (F.col("rn") % 10 == 0) & F.col("next").isNotNull()
+    read = F.when(planted, F.array("day", "next")).otherwise(F.array("day"))
+    uses = bars.select("symbol", F.date_add("day", 1).alias("as_of"), F.explode(read).alias("source_day"))
+    return asof.lookahead(uses, "source_day", "as_of")
 
 
 @query("asof_leader_price", "J6 J7", over("bars_1h", """

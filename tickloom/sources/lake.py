@@ -25,10 +25,11 @@ _PARTITIONS = [
 LAKE_SCHEMA = T.StructType([*BAR_SCHEMA.fields, *_PARTITIONS])
 
 
-def bars_from_rows(rows: DataFrame) -> DataFrame:
-    """``epoch_ms, o, h, l, c, v`` columns to typed bars."""
+def bars_from_rows(rows: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """``epoch_ms, o, h, l, c, v`` columns to typed bars, beside the columns to keep."""
     names = ("open", "high", "low", "close", "volume")
     return rows.select(
+        *keep,
         F.timestamp_millis(F.col("epoch_ms").cast("long")).alias("timestamp"),
         *(F.col(short).cast("double").alias(name) for short, name in zip("ohlcv", names, strict=True)),
     )
