@@ -39,8 +39,6 @@ def step_up(
     """
     keys = list(group)
     rows = tests.withColumn("__b", F.least(F.floor(F.col("p_value") * buckets), F.lit(buckets - 1)).cast("int"))
-    rows = rows if keys else rows.withColumn("__g", F.lit(0))
-    keys = keys or ["__g"]
     extra = [F.max(declared).alias("__decl")] if declared else []
     counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"), *extra)
     run = W.partitionBy(*keys)
@@ -58,14 +56,14 @@ def step_up(
     penalty = by_factor(F.col("__m")) if dependent else F.lit(1.0)
     t = t.withColumn("threshold", F.col("rank") * q / (F.col("__m") * penalty))
     cut = t.groupBy(*keys).agg(F.max(F.when(F.col("p_value") <= F.col("threshold"), F.col("rank"))).alias("__cut"))
-    out = t.join(cut, keys).withColumn("discovery", F.coalesce(F.col("rank") <= F.col("__cut"), F.lit(False)))
-    return out.drop("__b", "__before", "__m", "__cut", "__g")
+    out = t.join(cut, keys) if keys else t.withColumn("__cut", cut.scalar())
+    out = out.withColumn("discovery", F.coalesce(F.col("rank") <= F.col("__cut"), F.lit(False)))
+    return out.drop("__b", "__before", "__m", "__cut")
 
 
 def family_budget(families: DataFrame, q: float) -> DataFrame:
     """Add each family's share of the level (q m / M) and its first-discovery line (share / m)."""
-    total = families.agg(F.sum("cells").alias("__total")).withColumn("__k", F.lit(1))
-    out = families.withColumn("__k", F.lit(1)).join(total, "__k").drop("__k")
+    out = families.withColumn("__total", families.agg(F.sum("cells")).scalar())
     out = out.withColumn("budget", q * F.col("cells") / F.col("__total"))
     return out.withColumns(
         {"first_line": F.col("budget") / F.col("cells"), "by_factor": by_factor(F.col("cells"))}
@@ -78,9 +76,9 @@ def decide(low: Column, high: Column, one_sided: bool = False) -> Column:
 
 
 def replication_outcomes(original: DataFrame, variants: DataFrame) -> DataFrame:
-    """(cell, variant, survived): interval excludes zero in the original's direction."""
-    o = original.select("cell", F.signum("point").alias("direction"))
-    v = variants.join(o, "cell")
+    """(claim, variant, survived): interval excludes zero in the direction of the claim's original."""
+    o = original.select("claim", F.signum("point").alias("direction"))
+    v = variants.join(o, "claim")
     return v.withColumn("survived", decide(F.col("low"), F.col("high")) & (F.signum("point") == F.col("direction")))
 
 

@@ -97,8 +97,10 @@ def replication_outcomes(spark, sf_dir):
         Cell("no_leader", y, up, None, base & (F.col("symbol") != "AF")),
     ]
     r = shared(R.two_group_ci(two_group_days(relation_panel(spark, sf_dir), cells), n_boot=5000, seed=22))
-    original = r.where("cell = 'base'").select(F.lit("claim").alias("cell"), "point")
-    variants = r.where("cell <> 'base'").select(F.lit("claim").alias("cell"), F.col("cell").alias("variant"), "point", "low", "high")
+    # The claim is what the base cell was run for; its variations carry its name.
+    claim = F.when(F.col("n_days") > 0, "uptrend_7d").alias("claim")
+    original = r.where("cell = 'base'").select(claim, "point")
+    variants = r.where("cell <> 'base'").select(claim, F.col("cell").alias("variant"), "point", "low", "high")
     out = I.replication_outcomes(original, variants)
     return out.select(F.col("variant").alias("cell"), "point", "survived")
 

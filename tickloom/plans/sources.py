@@ -26,10 +26,9 @@ def series_round_trip(spark, sf_dir):
     legs = market.spot_perp_1d(spark, sf_dir).select(F.lit("perp").alias("kind"), F.col("symbol").alias("key"), F.col("day").cast("timestamp").alias("day"), "perp_close")
     legs.repartition("kind", "key").write.partitionBy("kind", "key").parquet(root)
     out = None
-    for key in ("AF", "AO", "NF", "NO", "RF", "RO"):
+    for (key,) in sorted(legs.select("key").distinct().collect()):  # one row a series, as the lake lists them
         s = landing.read_series(spark, root, "perp", key)
-        one = landing.series_faults(s, "perp").withColumn("symbol", F.lit(key)).withColumn("k", F.lit(1))
-        part = one.join(s.agg(F.avg("perp_close").alias("mean")).withColumn("k", F.lit(1)), "k").drop("k")
+        part = landing.series_faults(s, "perp").withColumns({"symbol": F.lit(key), "mean": s.agg(F.avg("perp_close")).scalar()})
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -69,8 +68,8 @@ def csv_bars_round_trip(spark, sf_dir):
         F.col("day").alias("Date"), "open", "high", "low", "close", "volume", F.lit("x").alias("note")
     ).write.option("header", True).csv(root)
     bars = landing.read_csv_bars(spark, root)
-    totals = bars.agg(F.count(F.lit(1)).alias("rows"), F.sum("close").alias("close")).withColumn("k", F.lit(1))
-    return landing.csv_faults(bars).withColumn("k", F.lit(1)).join(totals, "k").drop("k")
+    rows, close = bars.agg(F.count(F.lit(1))), bars.agg(F.sum("close"))
+    return landing.csv_faults(bars).withColumns({"rows": rows.scalar(), "close": close.scalar()})
 
 
 def horizontal_mean(*cols: str) -> Column:

@@ -445,8 +445,7 @@ def daily_dials_query(spark, sf_dir):
 def tercile_days(dials, dial: str, y: str):
     """Top against bottom third of days by ``dial``; the cut points are exact, linear quantiles."""
     d = dials.dropna(subset=[dial, y])
-    cuts = d.agg(F.percentile(dial, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    d = d.withColumn("k", F.lit(1)).join(cuts.withColumn("k", F.lit(1)), "k")
+    d = d.withColumn("q", d.agg(F.percentile(dial, F.array(F.lit(1 / 3), F.lit(2 / 3)))).scalar())
     return two_group_days(d, [Cell(dial, F.col(y), F.col(dial) > F.col("q")[1], F.col(dial) <= F.col("q")[0])])
 
 
@@ -461,8 +460,7 @@ def study_dials(spark, sf_dir):
     """Breadth and dispersion terciles, and low against high correlation of the two picks."""
     dials, _ = settled(daily_dials(trend_panel(spark, sf_dir)))
     corr = dials.dropna(subset=["pick_corr", "top2"])
-    mid = corr.agg(F.percentile("pick_corr", F.lit(0.5)).alias("q")).withColumn("k", F.lit(1))
-    corr = corr.withColumn("k", F.lit(1)).join(mid, "k")
+    corr = corr.withColumn("q", corr.agg(F.percentile("pick_corr", F.lit(0.5))).scalar())
     low = F.col("pick_corr") <= F.col("q")
     days = (
         tercile_days(dials, "breadth", "top2")

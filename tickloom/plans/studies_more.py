@@ -194,8 +194,7 @@ SELECT R6(corr(CASE WHEN trail7 IS NOT NULL THEN raw_premium END, trail1)) AS co
 def venue_momentum_overlap(spark, sf_dir):
     """Correlation with trailing returns, and the effect with the extreme deciles removed."""
     p = shared(venue_panel(spark, sf_dir))
-    cuts = p.agg(F.percentile("trail7", F.array(F.lit(0.1), F.lit(0.9))).alias("q")).withColumn("k", F.lit(1))
-    t = p.withColumn("k", F.lit(1)).join(cuts, "k")
+    t = p.withColumn("q", p.agg(F.percentile("trail7", F.array(F.lit(0.1), F.lit(0.9)))).scalar())
     mid = F.coalesce(F.col("trail7").between(F.col("q")[0], F.col("q")[1]), F.lit(False))
     pct, y = F.col("pct_raw_premium"), F.col("fwd7")
     return t.agg(
@@ -408,9 +407,9 @@ def tail_dependence(spark, sf_dir):
     other = market.walk_1d(spark, sf_dir).groupBy("day").agg(F.avg(F.try_divide("close", "open") - 1).alias("b"))
     j = shared(base.join(other, "day"))
     qs = (0.10, 0.05, 0.01)
-    cuts = j.agg(F.percentile("a", F.array(*(F.lit(q) for q in qs))).alias("th")).withColumn("k", F.lit(1))
+    cuts = j.agg(F.percentile("a", F.array(*(F.lit(q) for q in qs))))
     rows = [F.struct(F.lit(q).alias("q"), F.col("th")[i].alias("cut")) for i, q in enumerate(qs)]
-    t = j.withColumn("k", F.lit(1)).join(cuts, "k").select("a", "b", F.inline(F.array(*rows)))
+    t = j.withColumn("th", cuts.scalar()).select("a", "b", F.inline(F.array(*rows)))
     bad = F.col("a") <= F.col("cut")
     lose = lambda c: (F.col(c) < 0).cast("double")
     return t.groupBy("q").agg(
@@ -486,12 +485,12 @@ def live_window_consistency(spark, sf_dir):
     d = overlay_book(spark, sf_dir).select("day", "ret")
     d = shared(d.withColumn("left", F.count(F.lit(1)).over(w.rowsBetween(0, W.unboundedFollowing))))
     hist = d.where(F.col("left") > LIVE_DAYS).select("day", "ret")
-    live = d.where(F.col("left") <= LIVE_DAYS).agg((F.exp(F.sum(F.log1p("ret"))) - 1).alias("live")).withColumn("k", F.lit(1))
+    live = d.where(F.col("left") <= LIVE_DAYS).agg(F.exp(F.sum(F.log1p("ret"))) - 1)
     ahead = w.rowsBetween(0, LIVE_DAYS - 1)
     overlap = hist.select(F.when(F.count("ret").over(ahead) == LIVE_DAYS, F.exp(F.sum(F.log1p("ret")).over(ahead)) - 1).alias("r")).dropna()
     drawn = resampled_paths(hist, LIVE_DAYS, 5, 10_000, 59)
     both = overlap.select(F.lit("overlap").alias("kind"), "r").unionByName(drawn.select(F.lit("drawn").alias("kind"), F.col("ret").alias("r")))
-    j = both.withColumn("k", F.lit(1)).join(live, "k")
+    j = both.withColumn("live", live.scalar())
     at = lambda kind: F.avg(F.when(F.col("kind") == kind, (F.col("r") <= F.col("live")).cast("double")))
     out = j.agg(F.first("live").alias("live"), F.count_if(F.col("kind") == "overlap").alias("windows"), at("overlap").alias("overlap_share"), at("drawn").alias("resampled_share"))
     p = F.col("resampled_share")
