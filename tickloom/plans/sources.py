@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tickloom.functions import features as X
+from tickloom.operators.bars import wide
 from tickloom.plans.oracle import over, rolling
 from tickloom.registry import query
 from tickloom.session import shared_folder
@@ -59,14 +60,14 @@ def json_registry_round_trip(spark, sf_dir):
 
 
 @query("csv_bars_round_trip", "A6", over("walk_1d", """
-SELECT count(*) - count(DISTINCT day) AS repeated, count(*) FILTER (WHERE close IS NULL OR least(open, high, low, close) <= 0) AS bad_price, count(*) FILTER (WHERE low > least(open, close) OR high < greatest(open, close)) AS incoherent,
- count(*) FILTER (WHERE volume < 0) AS bad_volume, count(*) AS rows, R6(sum(close)) AS close FROM walk_1d WHERE symbol = 'AF'"""))
+SELECT count(*) - count(DISTINCT (symbol, day)) AS repeated, count(*) FILTER (WHERE close IS NULL OR least(open, high, low, close) <= 0) AS bad_price, count(*) FILTER (WHERE low > least(open, close) OR high < greatest(open, close)) AS incoherent,
+ count(*) FILTER (WHERE volume < 0) AS bad_volume, count(*) AS rows, R6(sum(close)) AS close FROM walk_1d"""))
 def csv_bars_round_trip(spark, sf_dir):
-    """One symbol's bars through CSV with a stray column, faults counted."""
+    """All bars through CSV, a folder a symbol, with a stray column; faults counted."""
     root = _scratch(spark)
-    market.walk_1d(spark, sf_dir).where("symbol = 'AF'").select(
-        F.col("day").alias("Date"), "open", "high", "low", "close", "volume", F.lit("x").alias("note")
-    ).write.option("header", True).csv(root)
+    market.walk_1d(spark, sf_dir).select(
+        "symbol", F.col("day").alias("Date"), "open", "high", "low", "close", "volume", F.lit("x").alias("note")
+    ).write.partitionBy("symbol").option("header", True).csv(root)
     bars = landing.read_csv_bars(spark, root)
     rows, close = bars.agg(F.count(F.lit(1))), bars.agg(F.sum("close"))
     return landing.csv_faults(bars).withColumns({"rows": rows.scalar(), "close": close.scalar()})
@@ -79,11 +80,13 @@ def horizontal_mean(*cols: str) -> Column:
 
 
 @query("horizontal_stats", "S3 B7 J3", over("walk_1d", """
-SELECT CAST(day AS VARCHAR) AS day, R6(avg(close)) AS mean, R6(min(close)) AS low, R6(max(close)) AS high FROM walk_1d WHERE symbol IN ('AF', 'NO', 'RO') GROUP BY day"""))
+SELECT CAST(day AS VARCHAR) AS day, R6(list_reduce(list(close ORDER BY symbol), lambda a, b: a + b) / count(*)) AS mean, R6(min(close)) AS low, R6(max(close)) AS high FROM walk_1d GROUP BY day"""))
 def horizontal_stats(spark, sf_dir):
     """Mean, least and greatest over the columns of a wide close matrix."""
-    w = market.walk_1d(spark, sf_dir).groupBy("day").pivot("symbol", ["AF", "NO", "RO"]).agg(F.first("close")).where("AF is not null or NO is not null or RO is not null")
-    return w.select("day", horizontal_mean("AF", "NO", "RO").alias("mean"), F.least("AF", "NO", "RO").alias("low"), F.greatest("AF", "NO", "RO").alias("high"))
+    bars = market.walk_1d(spark, sf_dir)
+    names = sorted(r[0] for r in bars.select("symbol").distinct().collect())  # the columns of the matrix
+    w = wide(bars, "close", names)
+    return w.select("day", horizontal_mean(*names).alias("mean"), F.least(*names).alias("low"), F.greatest(*names).alias("high"))
 
 
 @query("feature_panel", "F1 F2 F3 F4 F5 F6 F7 F8 F9 F10 F11 F12 F13 F14 F15 F16 F33 S1", over("walk_1d", f"""

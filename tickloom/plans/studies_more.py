@@ -604,9 +604,9 @@ def condition_matrix(spark, sf_dir):
 
 
 @query("guarded_window", "N8", over("walk_1d", """
-SELECT CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, min(day) <= DATE '1999-07-31' AND max(day) >= DATE '1999-07-01' AS refused FROM walk_1d WHERE symbol = 'AF'"""))
+SELECT CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, min(day) <= DATE '1999-07-31' AND max(day) >= DATE '1999-07-01' AS refused FROM walk_1d"""))
 def guarded_window(spark, sf_dir):
-    return N.refuse_window(market.walk_1d(spark, sf_dir).where("symbol = 'AF'"), "1999-07-01", "1999-07-31")
+    return N.refuse_window(market.walk_1d(spark, sf_dir), "1999-07-01", "1999-07-31")
 
 
 # --- features: robust z, channels, barriers, pair correlation ------------------------------------------------

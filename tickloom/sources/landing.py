@@ -90,10 +90,11 @@ CSV_BARS = "day string, open string, high string, low string, close string, volu
 
 
 def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Daily bars from CSV with a header; columns other than day and OHLCV are ignored."""
+    """Daily bars from CSV with a header; columns other than symbol, day and OHLCV are ignored."""
     raw = spark.read.option("header", True).csv(path)
     names = {c.strip().lower(): c for c in raw.columns}
     return raw.select(
+        *(F.col(names[c]).alias(c) for c in ("symbol",) if c in names),
         F.to_date(F.col(names.get("date", names.get("day")))).alias("day"),
         *(F.col(names[c]).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")),
     )
@@ -101,7 +102,7 @@ def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_faults(bars: DataFrame) -> DataFrame:
     """(repeated, bad_price, incoherent, bad_volume): counts that must all be zero to accept a file."""
-    per_day = bars.groupBy("day").agg(
+    per_day = bars.groupBy(*(c for c in ("symbol", "day") if c in bars.columns)).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(
             F.coalesce(F.least("open", "high", "low", "close") <= 0, F.lit(True))
