@@ -34,15 +34,25 @@ def distance(a: Column, b: Column) -> Column:
 def simhash(hashes: Column) -> Column:
     """Bit i is set if it is set in over half of the hashes (an array of longs); 0 of none.
 
-    Bits are counted side by side, four counters of 16 bits in a long; an array too long for
-    them is counted two by two.
+    Bits are counted side by side: seven hashes at a time in counters of 4 bits, sixteen to a
+    long, which are then added to counters of 16 bits, or of 32 where the array is too long. No
+    counter reaches its highest bit, so no sum overflows.
     """
 
+    def every(step: int, ones: int) -> Column:
+        return F.lit(_signed(sum(ones << (step * j) for j in range(64 // step))))
+
+    def small(h: Column) -> Column:
+        start = F.struct(*[F.lit(0).cast("long").alias(f"g{j}") for j in range(4)])
+        return F.aggregate(h, start, lambda acc, x: F.struct(*[(acc[f"g{j}"] + F.shiftrightunsigned(x, j).bitwiseAND(every(4, 1))).alias(f"g{j}") for j in range(4)]))
+
     def counted(h: Column, width: int) -> Column:
         lanes = 64 // width
-        ones = _signed(sum(1 << (width * j) for j in range(lanes)))
+        groups = F.transform(F.sequence(F.lit(1), F.size(h), F.lit(7)), lambda i: small(F.slice(h, i, 7)))
         start = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(width)])
-        sums = F.aggregate(h, start, lambda acc, x: F.struct(*[(acc[f"c{k}"] + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(ones))).alias(f"c{k}") for k in range(width)]))
+        sums = F.aggregate(
+            groups, start, lambda acc, g: F.struct(*[(acc[f"c{k}"] + F.shiftrightunsigned(g[f"g{k % 4}"], k - k % 4).bitwiseAND(every(width, 7))).alias(f"c{k}") for k in range(width)])
+        )
 
         def bits(c: Column) -> Column:
             low = (1 << width) - 1
@@ -55,4 +65,4 @@ def simhash(hashes: Column) -> Column:
 
         return let(sums, bits)
 
-    return let(hashes, lambda h: F.when(F.size(h) < 1 << 16, counted(h, 16)).otherwise(counted(h, 32)))
+    return let(hashes, lambda h: F.when(F.size(h) == 0, F.lit(0).cast("long")).when(F.size(h) < 1 << 15, counted(h, 16)).otherwise(counted(h, 32)))
