@@ -30,10 +30,21 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), NOT_LETTERS, " "))
 
 
-def _similar(a: str, b: str, similarity: float) -> tuple[Column, Column]:
-    """Edit distance of two columns (-1 above the bound) and the bound, a share of the longer one."""
-    bound = f"CAST(floor({1 - similarity:.6f}D * greatest(length({a}), length({b})) + 1e-9D) AS INT)"
-    return F.expr(f"levenshtein({a}, {b}, {bound})"), F.expr(bound)
+def _edits(a: str, b: str, bound: str) -> Column:
+    """Edit distance of two columns, -1 above the bound.
+
+    The cost grows with the bound, so small ones are tried first: near copies need no more.
+    """
+    at = lambda limit: f"levenshtein({a}, {b}, {limit})"
+    found = at(bound)
+    for limit in (128, 16):
+        found = f"CASE WHEN {bound} <= {limit} THEN {at(bound)} ELSE coalesce(nullif({at(limit)}, -1), {found}) END"
+    return F.expr(found)
+
+
+def _bound(a: str, b: str, similarity: float) -> str:
+    """The most edits that leave two columns similar: a share of the longer one."""
+    return f"CAST(floor({1 - similarity:.6f}D * greatest(length({a}), length({b})) + 1e-9D) AS INT)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -90,7 +101,7 @@ def _led(members: DataFrame, similarity: float) -> DataFrame:
     led, open_ = None, members
     while True:
         first = open_.groupBy("sim").agg(F.min_by(F.struct("node", "words"), "at").alias("first"))
-        d, _ = _similar("words", "lead", similarity)
+        d = _edits("words", "lead", _bound("words", "lead", similarity))
         tried = open_.join(first, "sim").select("node", "sim", "at", "words", F.col("first.node").alias("leader"), F.col("first.words").alias("lead"))
         tried = cut(tried.select("node", "sim", "at", "words", "leader", d.alias("d")))
         now = tried.where("d >= 0").select("node", "leader", "sim", "words", "d")
@@ -117,13 +128,13 @@ def _edges(led: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     bound = F.floor((1 - similarity) * F.greatest("a_longest", "b_longest") + 1e-9)
     apart = F.expr("abs(length(a_words) - length(b_words))")
     near = met.withColumn("limit", (F.col("a_reach") + F.col("b_reach") + bound).cast("int")).where(apart <= F.col("limit"))
-    d, own = F.expr("levenshtein(a_words, b_words, limit)"), _similar("a_words", "b_words", similarity)[1]
+    d, own = _edits("a_words", "b_words", "limit"), F.expr(_bound("a_words", "b_words", similarity))
     tried = cut(near.select("a_leader", "b_leader", d.alias("d"), own.alias("own")).where("d >= 0"))
     direct = tried.where("d <= own").select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b"))
     maybe = tried.where("d > own").select("a_leader", "b_leader")
     left = led.select(F.col("leader").alias("a_leader"), F.col("node").alias("a"), F.col("words").alias("a_words"))
     right = led.select(F.col("leader").alias("b_leader"), F.col("node").alias("b"), F.col("words").alias("b_words"))
-    one_by_one = maybe.join(left, "a_leader").join(right, "b_leader").where(_similar("a_words", "b_words", similarity)[0] >= 0).select("a", "b")
+    one_by_one = maybe.join(left, "a_leader").join(right, "b_leader").where(_edits("a_words", "b_words", _bound("a_words", "b_words", similarity)) >= 0).select("a", "b")
     return led.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).unionByName(direct).unionByName(one_by_one)
 
 
