@@ -13,6 +13,7 @@ from tickloom.functions import features as X
 from tickloom.functions import windows as V
 from tickloom.operators import bars as B
 from tickloom.operators import bootstrap as R
+from tickloom.operators import signals as S
 from tickloom.operators.cells import Cell, Event, event_days, two_group_days
 from tickloom.plans.oracle import event_mean, over, percentile_rank, rolling, two_group
 from tickloom.registry import query
@@ -295,7 +296,20 @@ _FADE = _SESSION + """,
  dd AS (SELECT 'book' AS symbol, day, avg(CASE WHEN filled THEN gross - 0.0002 - 0.00065 ELSE 0.0 END) AS ret, count(*) AS signals, count(*) FILTER (WHERE filled) AS fills FROM s GROUP BY day)"""
 
 
-@query("fade_book_daily", "E52 F25 P17", over("bars_1h", _FADE + f""",
+@query("fade_exposures", "P17", over("bars_1h", f"""
+WITH b AS (SELECT symbol, ts, CAST(ts AS DATE) AS day, hour(ts) AS hh, open, high, low, close FROM bars_1h),
+ f AS (SELECT *, count(*) OVER d AS n, count(*) FILTER (WHERE hh < 1) OVER d AS n_open, max(high) FILTER (WHERE hh < 1) OVER d AS oh, min(low) FILTER (WHERE hh < 1) OVER d AS ol,
+  min(open) FILTER (WHERE hh < 1) OVER d AS fo, min(close) FILTER (WHERE hh < 1) OVER d AS fc FROM b WINDOW d AS (PARTITION BY symbol, day)),
+ k AS (SELECT *, CASE WHEN n_open = 1 AND hh BETWEEN 1 AND 5 AND close > oh THEN -1.0 WHEN n_open = 1 AND hh BETWEEN 1 AND 5 AND close < ol THEN 1.0 END AS brk FROM f WHERE n >= {MIN_BARS})
+SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(day AS VARCHAR) AS day, hh,
+ R6(CASE WHEN hh >= 23 THEN 0.0 ELSE coalesce(first_value(brk IGNORE NULLS) OVER (PARTITION BY symbol, day ORDER BY ts ROWS UNBOUNDED PRECEDING), 0.0) END) AS fade_range,
+ R6(CASE WHEN hh >= 23 OR n_open <> 1 THEN 0.0 ELSE -sign(fc - fo) END) AS fade_hour FROM k"""))
+def fade_exposures(spark, sf_dir):
+    """Exposures against the first break of the opening range and against the first hour."""
+    return S.fade_exposure(session_frame(hourly(spark, sf_dir)))
+
+
+@query("fade_book_daily", "E52 F25", over("bars_1h", _FADE + f""",
  v AS (SELECT *, {rolling('stddev_samp', 'ret', 10, -1)} AS sd FROM dd)
 SELECT CAST(day AS VARCHAR) AS day, signals, fills, R6(ret) AS ret, R6(greatest(least(0.30 / NULLIF(sd * sqrt(365), 0), 1.0), 0.0)) AS scale,
  R6(ret * greatest(least(0.30 / NULLIF(sd * sqrt(365), 0), 1.0), 0.0)) AS scaled FROM v WHERE sd IS NOT NULL AND sd > 0"""))
