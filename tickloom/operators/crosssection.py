@@ -98,18 +98,6 @@ def top_k(panel: DataFrame, rank_by: Column | str, k: int, min_symbols: int = 1)
     return ranked(panel, rank_by, min_symbols).where(F.col("hi") <= k)
 
 
-def bottom_k(panel: DataFrame, rank_by: Column | str, k: int, min_symbols: int = 1) -> DataFrame:
-    return ranked(panel, rank_by, min_symbols).where(F.col("lo") <= k)
-
-
-def hold_top(panel: DataFrame, rank_by: str, k: int) -> DataFrame:
-    """Add ``rank`` (1 = largest) and ``hold``: among the top ``k`` and positive."""
-    w = W.partitionBy("day").orderBy(F.col(rank_by).desc(), "symbol")
-    return panel.withColumn("rank", F.row_number().over(w)).withColumn(
-        "hold", (F.col("rank") <= k) & (F.col(rank_by) > 0)
-    )
-
-
 def universes(
     bars: DataFrame, size: int, volume_window: int, min_history: int, every: int, start: str, end: str
 ) -> DataFrame:
@@ -150,13 +138,6 @@ def universe_turnover(universe: DataFrame) -> DataFrame:
     ).where("__prev is not null").drop("__prev")
 
 
-def in_force(universe: DataFrame) -> DataFrame:
-    """(effective, until, symbol): the half-open span each selection is valid for."""
-    dates = universe.select("effective").distinct()
-    spans = dates.withColumn("until", F.lead("effective").over(W.orderBy("effective")))
-    return universe.select("effective", "symbol").join(spans, "effective")
-
-
 def mask_members(panel: DataFrame, universe: DataFrame, every: int, start: str, end: str) -> DataFrame:
     """Keep panel rows whose symbol is in the universe in force that day.
 

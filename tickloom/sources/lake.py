@@ -126,9 +126,3 @@ def reconcile(frozen: DataFrame, current: DataFrame, keys: list[str], values: li
         F.count(F.lit(1)).alias("common"),
         *(F.max(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}"))).alias(f"max_{v}") for v in values),
     )
-
-
-def latest_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the last row per key by ``order``."""
-    w = W.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order))
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
