@@ -31,15 +31,38 @@ def normalised(line: Column) -> Column:
 
 
 def _edits(a: str, b: str, bound: str) -> Column:
-    """Edit distance of two columns, -1 above the bound.
+    """Edit distance of two columns of words, -1 above the bound.
 
-    The cost grows with the bound, so small ones are tried first: near copies need no more.
+    What both begin and end with costs no edits, so whole words of it are stripped first: the
+    cost of the rest grows with the square of its length, and near copies leave little.
     """
-    at = lambda limit: f"levenshtein({a}, {b}, {limit})"
-    found = at(bound)
-    for limit in (128, 16):
-        found = f"CASE WHEN {bound} <= {limit} THEN {at(bound)} ELSE coalesce(nullif({at(limit)}, -1), {found}) END"
-    return F.expr(found)
+
+    def shared(x: Column, y: Column) -> Column:
+        """How many words both arrays begin with."""
+        n = F.least(F.size(x), F.size(y))
+        differ = F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda v, w: v == w), False)
+        return F.when(differ > 0, differ - 1).otherwise(n).cast("int")
+
+    def rest(x: Column, y: Column, head: Column) -> Column:
+        """Both arrays less their common beginning and end, as texts."""
+
+        def less(tail: Column) -> Column:
+            cut_of = lambda z: F.array_join(F.slice(z, head + 1, F.size(z) - head - tail), " ")
+            return F.struct(cut_of(x).alias("x"), cut_of(y).alias("y"))
+
+        left = lambda z: F.reverse(F.slice(z, head + 1, F.size(z) - head))
+        return let(shared(left(x), left(y)), less)
+
+    words = F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"), F.expr(bound).alias("k"))
+    stripped = let(words, lambda w: let(shared(w["x"], w["y"]), lambda head: F.struct(rest(w["x"], w["y"], head).alias("r"), w["k"].alias("k"))))
+    distance_ = let(stripped, lambda s: _levenshtein(s["r"]["x"], s["r"]["y"], s["k"]))
+    return F.when(F.col(a) == F.col(b), 0).otherwise(distance_)
+
+
+def _levenshtein(x: Column, y: Column, bound: Column) -> Column:
+    """Edit distance up to a bound that is a column; -1 above it."""
+    within = let(F.levenshtein(x, y), lambda d: F.when(d <= bound, d).otherwise(-1))
+    return F.when(F.abs(F.length(x) - F.length(y)) > bound, -1).otherwise(within)
 
 
 def _bound(a: str, b: str, similarity: float) -> str:
@@ -88,8 +111,13 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     side = F.broadcast(wanted.select("doc", "print")) if wanted.count() <= SMALL else wanted.select("doc", "print")
     few = docs.join(side.withColumnsRenamed({"doc": "d", "print": "p"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left_semi").dropDuplicates(["doc", "print"])
     both = few.join(wanted.withColumnsRenamed({"doc": "d", "print": "p"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
-    lines = both.select("doc", "print", F.split("text", "\n").alias("lines"), F.explode("of").alias("x"))
-    return lines.select(F.col("x.node").alias("node"), F.col("x.sim").alias("sim"), F.struct("doc", "print", "x.pos").alias("at"), normalised(F.get("lines", F.col("x.pos"))).alias("words"))
+    # A text is parted once, however many of its lines are wanted.
+    found = let(
+        F.split("text", "\n"),
+        lambda lines: F.transform("of", lambda x: F.struct(x["node"].alias("node"), x["sim"].alias("sim"), x["pos"].alias("pos"), normalised(F.get(lines, x["pos"])).alias("words"))),
+    )
+    rows = both.select("doc", "print", F.inline(found))
+    return rows.select("node", "sim", F.struct("doc", "print", "pos").alias("at"), "words")
 
 
 def _led(members: DataFrame, similarity: float) -> DataFrame:
