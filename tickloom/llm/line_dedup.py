@@ -142,28 +142,40 @@ def _led(members: DataFrame, similarity: float) -> DataFrame:
 def _edges(led: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Links between the groups of leaders, besides those of members to their own.
 
-    Leaders of close SimHashes are compared first. Where they are too far apart themselves but
-    their members might still meet (by the triangle inequality on edit distances), the members of
-    the two groups are compared one by one.
+    Leaders of close SimHashes are compared: first each with one other, then those pairs that
+    this leaves unconnected, so that a dense group costs a comparison a member and not one a
+    pair. Where leaders are too far apart themselves but their members might still meet (by the
+    triangle inequality on edit distances), the members of the two groups are compared.
     """
     groups = led.groupBy("leader").agg(F.max("d").alias("reach"), F.max(F.length("words")).alias("longest"))
-    heads = led.where("node = leader").select("leader", "sim", "words").join(groups, "leader")
-    same = heads.groupBy("sim").count().where("count > 1").select(F.col("sim").alias("s"), F.col("sim").alias("t"))
-    a = heads.select(*[F.col(c).alias(f"a_{c}") for c in heads.columns])
-    b = heads.select(*[F.col(c).alias(f"b_{c}") for c in heads.columns])
-    met = pairs.unionByName(same).join(a, F.col("s") == F.col("a_sim")).join(b, F.col("t") == F.col("b_sim"))
-    met = met.where((F.col("s") != F.col("t")) | (F.col("a_leader") < F.col("b_leader")))
-    bound = F.floor((1 - similarity) * F.greatest("a_longest", "b_longest") + 1e-9)
-    apart = F.expr("abs(length(a_words) - length(b_words))")
-    near = met.withColumn("limit", (F.col("a_reach") + F.col("b_reach") + bound).cast("int")).where(apart <= F.col("limit"))
-    d, own = _edits("a_words", "b_words", "limit"), F.expr(_bound("a_words", "b_words", similarity))
-    tried = cut(near.select("a_leader", "b_leader", d.alias("d"), own.alias("own")).where("d >= 0"))
-    direct = tried.where("d <= own").select(F.col("a_leader").alias("a"), F.col("b_leader").alias("b"))
-    maybe = tried.where("d > own").select("a_leader", "b_leader")
-    left = led.select(F.col("leader").alias("a_leader"), F.col("node").alias("a"), F.col("words").alias("a_words"))
-    right = led.select(F.col("leader").alias("b_leader"), F.col("node").alias("b"), F.col("words").alias("b_words"))
-    one_by_one = maybe.join(left, "a_leader").join(right, "b_leader").where(_edits("a_words", "b_words", _bound("a_words", "b_words", similarity)) >= 0).select("a", "b")
-    return led.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).unionByName(direct).unionByName(one_by_one)
+    heads = cut(led.where("node = leader").select("leader", "sim", "words").join(groups, "leader"))
+    ids = heads.select("leader", "sim")
+    same = ids.groupBy("sim").count().where("count > 1").select(F.col("sim").alias("s"), F.col("sim").alias("t"))
+    left, right = ids.select(F.col("leader").alias("a"), F.col("sim").alias("s")), ids.select(F.col("leader").alias("b"), F.col("sim").alias("t"))
+    met = cut(pairs.unionByName(same).join(left, "s").join(right, "t").where("s != t OR a < b").select("a", "b").distinct())
+
+    def compared(some: DataFrame) -> DataFrame:
+        """``a, b, d, own``: pairs within reach of each other, their edits and the bound on them."""
+        one = heads.select(F.col("leader").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("words", "reach", "longest")])
+        two = heads.select(F.col("leader").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("words", "reach", "longest")])
+        bound = F.floor((1 - similarity) * F.greatest("a_longest", "b_longest") + 1e-9)
+        near = some.join(one, "a").join(two, "b").withColumn("limit", (F.col("a_reach") + F.col("b_reach") + bound).cast("int"))
+        found = near.select("a", "b", _edits("a_words", "b_words", "limit").alias("d"), F.expr(_bound("a_words", "b_words", similarity)).alias("own"))
+        return cut(found).where("d >= 0")
+
+    star = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    tried = compared(star)
+    roots = components(tried.where("d <= own").select("a", "b"))
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    open_ = met.join(star, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_ = open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    tried = tried.unionByName(compared(open_))
+    first = led.select(F.col("leader").alias("a"), F.col("node").alias("x"), F.col("words").alias("x_words"))
+    second = led.select(F.col("leader").alias("b"), F.col("node").alias("y"), F.col("words").alias("y_words"))
+    members = tried.where("d > own").select("a", "b").join(first, "a").join(second, "b")
+    one_by_one = members.where(_edits("x_words", "y_words", _bound("x_words", "y_words", similarity)) >= 0).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    own = led.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    return own.unionByName(tried.where("d <= own").select("a", "b")).unionByName(one_by_one)
 
 
 def _lost(docs: DataFrame, nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
