@@ -65,7 +65,9 @@ def test_gate_quarantines_whole_symbols(spark, tmp_path):
 def test_contract_shapes():
     q, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 150
-    assert not [n for n in q if "pipeline" in n or n.startswith("op")]
+    # The optional queries are there exactly if their subpackage is.
+    optional = [n for n in q if n == "pipeline" or n.startswith("op")]
+    assert len(optional) == (11 if entry_module.llm else 0)
 
 
 def test_entry_runs(spark):
