@@ -107,17 +107,16 @@ def _sim_pairs(sims: DataFrame, radius: int) -> DataFrame:
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The words of the given nodes, read again at their first places."""
-    wanted = cut(nodes.groupBy("at.doc", "at.print").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "node", "sim")).alias("of")))
-    side = F.broadcast(wanted.select("doc", "print")) if wanted.count() <= SMALL else wanted.select("doc", "print")
-    few = docs.join(side.withColumnsRenamed({"doc": "d", "print": "p"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left_semi").dropDuplicates(["doc", "print"])
-    both = few.join(wanted.withColumnsRenamed({"doc": "d", "print": "p"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
+    wanted = cut(nodes.groupBy(F.col("at.doc").alias("d"), F.col("at.print").alias("p")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "node", "sim")).alias("of")))
+    few = (wanted.agg(F.sum(F.size("of"))).first()[0] or 0) <= SMALL
+    both = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")))
     # A text is parted once, however many of its lines are wanted.
     found = let(
         F.split("text", "\n"),
         lambda lines: F.transform("of", lambda x: F.struct(x["node"].alias("node"), x["sim"].alias("sim"), x["pos"].alias("pos"), normalised(F.get(lines, x["pos"])).alias("words"))),
     )
     rows = both.select("doc", "print", F.inline(found))
-    return rows.select("node", "sim", F.struct("doc", "print", "pos").alias("at"), "words")
+    return rows.select("node", "sim", F.struct("doc", "print", "pos").alias("at"), "words").dropDuplicates(["node"])
 
 
 def _led(members: DataFrame, similarity: float) -> DataFrame:
