@@ -159,6 +159,7 @@ def _edges(led: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
         two = heads.select(F.col("leader").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("words", "reach", "longest")])
         bound = F.floor((1 - similarity) * F.greatest("a_longest", "b_longest") + 1e-9)
         near = some.join(one, "a").join(two, "b").withColumn("limit", (F.col("a_reach") + F.col("b_reach") + bound).cast("int"))
+        near = near.where("abs(length(a_words) - length(b_words)) <= limit")
         found = near.select("a", "b", _edits("a_words", "b_words", "limit").alias("d"), F.expr(_bound("a_words", "b_words", similarity)).alias("own"))
         return cut(found).where("d >= 0")
 
