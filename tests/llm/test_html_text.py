@@ -79,3 +79,21 @@ def test_folding_and_merging_keep_every_stream_within_the_wrapper():
         assert -1 not in slots
         assert sorted(t for ts in places for t in ts) == [i for i, t in enumerate(tokens) if W.is_slot(t)]
         assert len(slots) == len(places) and len(texts) == sum(map(len, places))
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<article><p>one</p><svg class=i/><p>two</p><p>three</p></article>", "one two three"),
+        ("<article><p>one</p><div><button>OK</div><p>two</p></article><p>three</p>", "one two three"),
+        ("<div><p>one</p><button>OK<div>no</div>no</div><p>two</p>", "one two"),
+        ("<p>one</p><svg><g>no</g></svg><p>two<select><option>no</select></p>", "one two"),
+        ("<html><head><title>no</title><p>one</p><p>two</p>", "one two"),
+        ("<head><title>no</title><noscript><p>no</p></noscript></head><body><p>one</p>", "one"),
+        ("<head><noscript><p>no</p><body><p>one</p>", "one"),
+        ("<style-guide><p>one</p></style-guide><p>two</p><script>no", "one two"),
+        ("<p>one</p><noscript><div><p>no</p></div></noscript><iframe src='x' /><p>two</p>", "one two"),
+    ],
+)
+def test_hidden_elements_take_nothing_behind_them(page, wanted):
+    assert " ".join(t for t, _ in W.parsed(page)[1]) == wanted

@@ -21,7 +21,8 @@ CONTAINERS = frozenset(
     "article main section nav aside header footer form div ul ol dl table figure fieldset details dialog menu blockquote".split()
 )
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd pre figcaption caption legend summary hr address".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object select textarea button canvas video audio".split())
+# Script and style are taken out with the comments, before tags are read.
+HIDDEN = frozenset("head noscript template svg math iframe object select textarea button canvas video audio".split())
 # Containers that never hold the article, and words of class or id that say so.
 NOISE_TAGS = frozenset("nav aside footer form menu dialog".split())
 NOISE_WORDS = frozenset(
@@ -34,7 +35,7 @@ NOISE_WORDS = frozenset(
 # An article may name any of these in its class but the comments.
 COMMENT_WORDS = frozenset("comment comments reply".split())
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)|<(" + "|".join(sorted(HIDDEN)) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
+_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)(?![\w-])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
 _TAG = re.compile(r"(<[/a-zA-Z](?:[^'\">]|\"[^\"]*\"|'[^']*')*+>|<[/a-zA-Z][^>]*>)")
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9-]*)")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -44,7 +45,7 @@ PERIOD = 64  # the longest repeated group looked for, in tokens
 
 @lru_cache(maxsize=8192)
 def _read(tag: str) -> tuple[str, str]:
-    """Kind and key of a tag: ``+``, ``-``, ``block``, ``space``, ``link``, ``unlink`` or nothing."""
+    """Kind and key of a tag: ``+``, ``-``, ``block``, ``space``, ``link``, ``unlink``, ``hide``, ``unhide``, ``body`` or nothing."""
     found = _NAME.match(tag)
     name = found.group(1).lower() if found else ""
     closing = tag.startswith("</")
@@ -56,6 +57,10 @@ def _read(tag: str) -> tuple[str, str]:
         return "+", ".".join([name, *marks])
     if name in BLOCKS:
         return "block", "" if closing else name
+    if name in HIDDEN:
+        return ("unhide" if closing else "" if tag.endswith("/>") else "hide"), name
+    if name == "body":
+        return ("" if closing else "body"), ""
     if name == "a":
         return ("unlink" if closing else "link"), ""
     return ("space" if name == "br" else ""), ""
@@ -65,11 +70,15 @@ def parsed(page: str) -> tuple[list[str], list[tuple[str, int]]]:
     """The token stream, and the text of every block with how much of it is in links.
 
     White space of a block is one space; character references are decoded; blocks without text
-    are no blocks. Elements that are left open end where the page ends.
+    are no blocks. Elements that are left open end where the page ends. Hidden elements give no
+    text: one ends at its closing tag or that of the container it stands in, at once if it closes
+    itself, and a head at the body or at the first container or block in it.
     """
     tokens: list[str] = []
     texts: list[tuple[str, int]] = []
     open_: list[str] = []
+    hidden: list[str] = []
+    inside: list[str] = []  # containers open in the hidden element
     name, held, linked, in_link = "text", [], 0, False
 
     def close() -> None:
@@ -83,12 +92,31 @@ def parsed(page: str) -> tuple[list[str], list[tuple[str, int]]]:
 
     for i, part in enumerate(_TAG.split(_GONE.sub("", page))):
         if i % 2 == 0:
-            if part:
+            if part and not hidden:
                 held.append(part)
                 linked += len(part) if in_link else 0
             continue
         kind, key = _read(part)
-        if kind == "+":
+        if hidden:
+            if kind == "unhide" and key in hidden:
+                del hidden[hidden.index(key) :], inside[:]
+            elif hidden == ["head"] and (kind in ("+", "body") or (kind == "block" and key)):
+                hidden.clear()
+            elif hidden[0] == "head" and kind == "body":
+                del hidden[:], inside[:]
+            elif kind == "hide" and hidden == ["head"]:
+                hidden.append(key)
+            elif kind == "+":
+                inside.append(key.split(".")[0])
+            elif kind == "-" and key in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(key) :]
+            elif kind == "-" and any(k.split(".")[0] == key for k in open_):
+                del hidden[:], inside[:]
+            if hidden or kind == "unhide":
+                continue
+        if kind == "hide":
+            hidden.append(key)
+        elif kind == "+":
             close()
             name = "text"
             open_.append(key)
@@ -107,7 +135,7 @@ def parsed(page: str) -> tuple[list[str], list[tuple[str, int]]]:
             name = key or "text"
         elif kind == "space":
             held.append(" ")
-        elif kind:
+        elif kind in ("link", "unlink"):
             in_link = kind == "link"
     close()
     tokens += ["-" + k for k in reversed(open_)]
