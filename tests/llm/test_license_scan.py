@@ -1,3 +1,6 @@
+from itertools import product
+from re import _parser
+
 import pytest
 import regex
 
@@ -60,3 +63,46 @@ def test_known_sentences(spark, text, labels, score):
 def test_no_python_on_the_main_path(docs):
     plan = L.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def spellings(pattern):
+    """A text for every choice of alternatives of a pattern, without what may be left out."""
+
+    def of(items):
+        return ["".join(x) for x in product(*[one(str(op), arg) for op, arg in items])]
+
+    def one(op, arg):
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "BRANCH":
+            return [x for branch in arg[1] for x in of(branch)]
+        if op == "SUBPATTERN":
+            return of(arg[3])
+        if op in ("MAX_REPEAT", "MIN_REPEAT"):
+            return [x * arg[0] for x in of(arg[2])] if arg[0] else [""]
+        if op == "IN":
+            return one(*map(lambda x: str(x) if not isinstance(x, int) else x, arg[0])) if str(arg[0][0]) == "LITERAL" else ["1"]
+        return ["1"]
+
+    return of(_parser.parse(pattern))
+
+
+def test_every_alternative_of_every_rule_holds_a_keyword_of_it():
+    keywords = {}
+    for label, priority, keyword, rx in L.RULES:
+        keywords.setdefault((label, priority, rx), set()).add(keyword)
+    shut = [(label, x) for (label, _, rx), ks in keywords.items() for x in spellings(rx) if not any(k in x for k in ks)]
+    assert shut == []
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("under the Expat License.", "mit"),
+        ("X11 licence", "mit"),
+        ("PSF License", "python-2.0"),
+        (f"Neither the name of {'The Regents of a very long Institution, ' * 12} nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ],
+)
+def test_names_behind_other_keywords(spark, text, label):
+    assert L.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["scan"]["labels"] == [label]

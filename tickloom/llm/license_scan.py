@@ -30,13 +30,13 @@ _WRITTEN = [
     ("mit", TEXT, "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", TEXT, "substantial", r"(?:the )?above copyright notice and this permission notice shall be included in all copies or substantial portions"),
     ("mit", GRANT, "mit", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?mit(?: licen[cs]e)?"),
-    ("mit", NAME, "mit", r"(?:the )?(?:mit|expat|x11) licen[cs]e"),
+    *[("mit", NAME, name, rf"(?:the )?{name} licen[cs]e") for name in ("mit", "expat", "x11")],
     ("isc", TEXT, "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", GRANT, "isc", r"(?:licensed|released|distributed) under (?:the )?isc(?: licen[cs]e)?"),
     ("isc", NAME, "isc", r"(?:the )?isc licen[cs]e"),
     ("bsd-0-clause", NAME, "bsd", r"(?:0 clause bsd|zero clause bsd|bsd 0 clause|0bsd)(?: licen[cs]e)?"),
     ("bsd", TEXT, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", TEXT, "endorse", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", TEXT, "endorse", r"neither the name of (?:[^ ]+ ){1,200}?nor the names of its contributors may be used to endorse or promote products"),
     ("bsd-4-clause", TEXT, "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
     ("bsd-1-clause", NAME, "bsd", r"(?:1 clause bsd|bsd 1 clause)(?: licen[cs]e)?"),
     ("bsd-2-clause", NAME, "bsd", r"(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd)(?: licen[cs]e)?"),
@@ -61,7 +61,8 @@ _WRITTEN = [
     ("public-domain", GRANT, "domain", r"(?:released|placed|dedicated|put) (?:in ?to|in|to) the public domain"),
     ("public-domain", NAME, "domain", r"(?:is |are |in )the public domain|public domain dedication"),
     ("artistic", NAME, "artistic", r"(?:the )?(?:perl )?artistic licen[cs]e(?: version)?(?: [12] 0)?"),
-    ("python-2.0", NAME, "python", r"python software foundation licen[cs]e(?: version 2)?|psf licen[cs]e"),
+    ("python-2.0", NAME, "python", r"python software foundation licen[cs]e(?: version 2)?"),
+    ("python-2.0", NAME, "psf", r"psf licen[cs]e"),
     ("ruby", NAME, "ruby", r"ruby licen[cs]e|same (?:terms|licen[cs]e) as ruby"),
     ("perl", NAME, "perl", r"same (?:terms|licen[cs]e) as perl(?: itself)?"),
     ("postgresql", NAME, "postgresql", r"postgresql licen[cs]e"),
