@@ -97,3 +97,16 @@ def test_folding_and_merging_keep_every_stream_within_the_wrapper():
 )
 def test_hidden_elements_take_nothing_behind_them(page, wanted):
     assert " ".join(t for t, _ in W.parsed(page)[1]) == wanted
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    """On a host of copies alone nothing is template; beside other pages only what those share."""
+    one = "<div>Head line</div><div><p>First copy text</p><p>second</p></div><div>Foot line</div>"
+    rows = [(i, "http://copies.example/", one, 0) for i in range(5)]
+    rows += [(10 + i, f"http://mixed.example/{i}", untagged(i)[1], 0) for i in range(6)]
+    optional = untagged(7)[1].replace("<h1>", "<blockquote>Only in these copies</blockquote><h1>")
+    rows += [(20 + i, "http://mixed.example/copy", optional, 0) for i in range(4)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(found[i] == "Head line\nFirst copy text\nsecond\nFoot line" for i in range(5))
+    assert all(found[20 + i].startswith("Only in these copies\nTitle 7") for i in range(4))
+    assert all("Welcome" not in t and "All content" not in t for i, t in found.items() if i >= 10)

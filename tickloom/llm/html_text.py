@@ -100,7 +100,11 @@ def _labels(wrapper: str, tokens: tuple[str, ...]) -> list[int]:
 
 
 def _statistics(pages: DataFrame) -> DataFrame:
-    """Per host and slot: pages, whether every page holds the same text there, and its share in links."""
+    """Per host and slot: different pages, whether all hold the same text there, and its share in links.
+
+    Pages that hold the same text in all blocks but noise are one page, however many copies of it
+    there are: what copies share is no sign of a template.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,25 +112,26 @@ def _statistics(pages: DataFrame) -> DataFrame:
             for host, page, wrapper in zip(batch["host"].to_pylist(), batch["page"].to_pylist(), batch["wrapper"].to_pylist(), strict=True):
                 tokens, texts = W.parsed(page)
                 slots: dict[int, list] = {}
+                content = xxhash.xxh64_intdigest("\0".join(t for (t, _), (_, loose) in zip(texts, W.places_of(tuple(tokens)), strict=True) if loose)) >> 1
                 for slot, text in zip(_labels(wrapper, tuple(tokens)), texts, strict=True):
                     slots.setdefault(slot, []).append(text)
                 rows += [
-                    (host, s, xxhash.xxh64_intdigest("\n".join(t for t, _ in held)) >> 1, sum(len(t) for t, _ in held), sum(n for _, n in held)) for s, held in slots.items() if s >= 0
+                    (host, s, content, xxhash.xxh64_intdigest("\n".join(t for t, _ in held)) >> 1, sum(len(t) for t, _ in held), sum(n for _, n in held)) for s, held in slots.items() if s >= 0
                 ]
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "slot", "hash", "chars", "linked"])
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "slot", "content", "hash", "chars", "linked"])
 
-    found = pages.select("host", "page", "wrapper").mapInArrow(run, "host string, slot int, hash bigint, chars bigint, linked bigint")
+    found = pages.select("host", "page", "wrapper").mapInArrow(run, "host string, slot int, content bigint, hash bigint, chars bigint, linked bigint")
     return found.groupBy("host", "slot").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("hash") == F.max("hash")).alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
+        F.count_distinct("content").alias("n"), (F.min("hash") == F.max("hash")).alias("same"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
     )
 
 
 def wrappers_of(pages: DataFrame) -> DataFrame:
     """``host, wrapper, pages``: wrappers with the slots that are template or mostly links.
 
-    Outside articles, a slot with one and the same text on at least three pages is template, and
+    Outside articles, a slot with one and the same text on at least three different pages is template, and
     one with over half of its text in links is a menu.
     """
     bare = cut(infer(pages).select("host", F.concat(F.lit('{"items": '), "stream", F.lit("}")).alias("wrapper"), "pages"))

@@ -286,5 +286,12 @@ def is_noise(around: tuple[str, ...]) -> bool:
     return False
 
 
+@lru_cache(maxsize=20_000)
+def places_of(tokens: tuple[str, ...]) -> list[tuple[bool, bool]]:
+    """For every block of a page: whether its containers are an article without noise, and whether they are no noise."""
+    around = contexts([[t, False] for t in tokens])
+    return [(in_article(c) and not is_noise(c), not is_noise(c)) for c in around]
+
+
 def in_article(around: tuple[str, ...]) -> bool:
     return any(key.split(".")[0] in ("article", "main") for key in around)
