@@ -1,4 +1,6 @@
+import json
 import random
+from functools import reduce
 
 import pytest
 
@@ -110,3 +112,22 @@ def test_copies_of_one_page_are_no_template(spark):
     assert all(found[i] == "Head line\nFirst copy text\nsecond\nFoot line" for i in range(5))
     assert all(found[20 + i].startswith("Only in these copies\nTitle 7") for i in range(4))
     assert all("Welcome" not in t and "All content" not in t for i, t in found.items() if i >= 10)
+
+
+def test_random_streams_lose_no_block_of_an_article():
+    """Whatever the alignment of a page to its host's wrapper, all blocks of its article come out."""
+    draw, unmatched = random.Random(4), 0
+    kinds = [lambda: "<p>x" * draw.randrange(1, 4), lambda: "<h2>x", lambda: "<h1>x", lambda: "<ul>" + "<li>x" * draw.randrange(1, 4) + "</ul>", lambda: "<p>x<ul>" + "<li>x" * draw.randrange(1, 3) + "</ul>"]
+    for _ in range(200):
+        pages = ["<article>" + "".join(draw.choice(kinds)() for _ in range(draw.randrange(1, 7))) + "</article>" for _ in range(draw.randrange(2, 9))]
+        streams = [W.folded(W.parsed(page)[0])[0] for page in pages]
+        items = reduce(W.merged, streams)
+        unmatched += sum(W.slots_of(items, s).count(-1) for s in streams)
+        for page in pages:
+            assert html_text.main_text(page, json.dumps({"items": items, "drop": []})).count("x") == page.count("x")
+    assert unmatched > 0  # so some did without a slot
+
+
+def test_groups_are_aligned_by_their_bodies():
+    a, b = ["*", [["p", False], ["+ul", False], ["-ul", False]]], ["*", [["p", False]]]
+    assert W._pairs([[b, False], [a, False]], [[a, False]]) == [(1, 0)]

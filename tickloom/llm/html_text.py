@@ -79,15 +79,10 @@ def _with_wrappers(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=256)
-def _loaded(wrapper: str) -> tuple[list, list]:
-    """The wrapper's items, and which slots hold content (all not known to be noise before statistics)."""
+def _loaded(wrapper: str) -> tuple[list, frozenset]:
+    """The wrapper's items, and the slots known to be template or menus."""
     w = json.loads(wrapper)
-    around = W.contexts(w["items"])
-    noise = [W.is_noise(c) for c in around]
-    article = [W.in_article(c) and not n for c, n in zip(around, noise, strict=True)]
-    drop = set(w.get("drop", ()))
-    loose = [not n and s not in drop for s, n in enumerate(noise)]
-    return w["items"], list(zip(article, loose, strict=True))
+    return w["items"], frozenset(w.get("drop", ()))
 
 
 @lru_cache(maxsize=20_000)
@@ -143,12 +138,17 @@ def wrappers_of(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, wrapper: str) -> str:
-    """The blocks of a page whose slots hold content: those of its article if it has any."""
+    """The blocks of a page that hold content: those of its article if it has any.
+
+    The containers around a block on its own page say whether it is article or noise; its slot
+    only says whether it is template or a menu, and a block without a slot is neither.
+    """
     tokens, texts = W.parsed(page)
-    _, kinds = _loaded(wrapper)
-    slots = _labels(wrapper, tuple(tokens))
-    article = [s >= 0 and kinds[s][0] for s in slots]
-    chosen = article if any(article) else [s >= 0 and kinds[s][1] for s in slots]
+    places = W.places_of(tuple(tokens))
+    chosen = [article for article, _ in places]
+    if not any(chosen):
+        _, drop = _loaded(wrapper)
+        chosen = [loose and s not in drop for (_, loose), s in zip(places, _labels(wrapper, tuple(tokens)), strict=True)]
     return "\n".join(text for (text, _), keep in zip(texts, chosen, strict=True) if keep)
 
 

@@ -184,35 +184,40 @@ def _head(node) -> str:
     return node if isinstance(node, str) else _head(node[1][0][0])
 
 
-def _fits(a, b) -> bool:
-    """Whether two nodes can be one: the same token, or groups that begin alike."""
+def _weight(a, b) -> int:
+    """How many tokens two nodes share if they become one: 0 unless they are the same token or groups that begin alike."""
     if isinstance(a, str) and isinstance(b, str):
-        return a == b
+        return int(a == b)
     if isinstance(a, str) or isinstance(b, str):
         group, token = (b, a) if isinstance(a, str) else (a, b)
-        return len(group[1]) == 1 and group[1][0][0] == token
-    return _head(a) == _head(b)
+        return int(len(group[1]) == 1 and group[1][0][0] == token)
+    return sum(_weight(a[1][p][0], b[1][q][0]) for p, q in _pairs(a[1], b[1])) if _head(a) == _head(b) else 0
 
 
 def _pairs(a: list, b: list) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence of two item lists."""
+    """Positions of a heaviest common subsequence of two item lists.
+
+    Equal ends are taken as they are: no node weighs more with another than with its equal, so
+    some heaviest subsequence pairs them. Nodes that are merely alike are weighed.
+    """
     begin, n, m = 0, len(a), len(b)
     out = []
-    while begin < n and begin < m and _fits(a[begin][0], b[begin][0]):
+    while begin < n and begin < m and a[begin][0] == b[begin][0]:
         out.append((begin, begin))
         begin += 1
     tail = 0
-    while n - tail > begin and m - tail > begin and _fits(a[n - tail - 1][0], b[m - tail - 1][0]):
+    while n - tail > begin and m - tail > begin and a[n - tail - 1][0] == b[m - tail - 1][0]:
         tail += 1
     rows, columns = range(begin, n - tail), range(begin, m - tail)
+    weights = [[_weight(a[i][0], b[j][0]) for j in columns] for i in rows]
     best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
     for i in reversed(range(len(rows))):
         for j in reversed(range(len(columns))):
-            here = best[i + 1][j + 1] + 1 if _fits(a[rows[i]][0], b[columns[j]][0]) else 0
+            here = best[i + 1][j + 1] + weights[i][j]
             best[i][j] = max(here, best[i + 1][j], best[i][j + 1])
     i = j = 0
     while i < len(rows) and j < len(columns):
-        if _fits(a[rows[i]][0], b[columns[j]][0]) and best[i][j] == best[i + 1][j + 1] + 1:
+        if weights[i][j] and best[i][j] == best[i + 1][j + 1] + weights[i][j]:
             out.append((rows[i], columns[j]))
             i, j = i + 1, j + 1
         elif best[i][j] == best[i + 1][j]:
