@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import byte_bpe, html_text, license_scan, line_dedup, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
+from tickloom.llm import byte_bpe, html_text, importance, license_scan, line_dedup, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
@@ -78,7 +78,13 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.against_edits(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
 
 
-_QUERIES = [op1_line_dedup, op2_source_mix, op3_byte_bpe, op4_html_text, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash]
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(prepare(spark), sf_dir, name) for name in ("documents", "benchmark"))
+    drawn = importance.resample(docs, target, percent=25, n=2, buckets=10_000, least_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_QUERIES = [op1_line_dedup, op2_source_mix, op3_byte_bpe, op4_html_text, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash, op13_importance_resample]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -86,5 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_source_mix": mixing.SQL, "op5_quality_rules": quality_rules.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op2_source_mix": mixing.SQL, "op5_quality_rules": quality_rules.SQL, "op13_importance_resample": importance.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql is not None}
