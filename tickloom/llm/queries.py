@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import byte_bpe, html_text, importance, license_scan, line_dedup, mixing, order_minhash, quality_rules, simhash, token_counts, token_files
+from tickloom.llm import byte_bpe, html_text, importance, license_scan, line_dedup, mixing, order_minhash, quality_rules, simhash, suffixes, token_alignment, token_counts, token_files
 from tickloom.llm.common import cut, scratch, table, whole
 from tickloom.session import prepare
 
@@ -78,13 +78,23 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.against_edits(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return token_alignment.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return suffixes.without_repeats(docs, length=100, digest=True)
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = (table(prepare(spark), sf_dir, name) for name in ("documents", "benchmark"))
     drawn = importance.resample(docs, target, percent=25, n=2, buckets=10_000, least_words=20, seed=7)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-_QUERIES = [op1_line_dedup, op2_source_mix, op3_byte_bpe, op4_html_text, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash, op13_importance_resample]
+_QUERIES = [op1_line_dedup, op2_source_mix, op3_byte_bpe, op4_html_text, op5_quality_rules, op6_simhash, op7_license_scan, op8_token_files, op9_token_counts, op10_order_minhash, op11_token_alignment, op12_suffix_dedup, op13_importance_resample]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
