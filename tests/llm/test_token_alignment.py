@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -13,11 +14,14 @@ from tickloom.llm import token_alignment as T
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-@given(st.sets(st.integers(1, 60)), st.sets(st.integers(1, 60)), st.integers(61, 70))
+@given(st.lists(st.tuples(st.sets(st.integers(1, 60)), st.sets(st.integers(1, 60))), min_size=1, max_size=4))
 @settings(max_examples=300, deadline=None)
-def test_cuts_are_the_shared_ends(a, b, end):
-    a, b = sorted(a) + [end], sorted(b) + [end]
-    assert T.cuts(a, b) == [(a.index(e) + 1, b.index(e) + 1) for e in a if e in b]
+def test_cuts_are_the_shared_ends(stretches):
+    """Stretches of 70 bytes laid end to end, whose last ends are known to be shared."""
+    a, b = ([70 * i + e for i, pair in enumerate(stretches) for e in [*sorted(pair[side]), 70]] for side in (0, 1))
+    last = [np.array([side.index(70 * i + 70) for i in range(len(stretches))]) for side in (a, b)]
+    in_a, in_b = T.cuts(np.array(a), np.array(b), *last)
+    assert in_a.tolist() == [e in b for e in a] and in_b.tolist() == [e in a for e in b]
 
 
 @pytest.fixture(scope="module")
@@ -81,12 +85,15 @@ def test_rows_equal_brute_force(spark, docs, empty, libraries):
 
 def test_small_memos_and_join_without_broadcast(spark, docs, libraries, monkeypatch):
     monkeypatch.setattr("tickloom.session.BROADCAST_ROWS", 0)
-    monkeypatch.setattr(T, "PAIRS", 300)
+    monkeypatch.setattr(T, "BYTES", 300)
     part = docs.limit(15).withColumnRenamed("lang", "n_a").withColumnRenamed("source", "pairs").cache()
     got = T.alignment(part, A, B).collect()
     assert sorted(map(tuple, got), key=str) == brute([(r["doc_id"], r["text"]) for r in part.collect()], libraries)
-    few = T.Aligner(A, B, memo=3)
-    assert all(few(t) == T._aligner(A, B)(t) for t in ODD)
+    monkeypatch.setattr(T, "WIDE", 3)
+    few, many = T.Aligner(A, B, memo=3), T._aligner(A, B)
+    for t in ODD * 2:
+        (x,), (y,) = few([t]), many([t])
+        assert x[:2] == y[:2] and len(x[2]) == len(y[2]) and (x[2] == y[2]).all() and (x[3] == y[3]).all()
 
 
 @given(st.text(alphabet="ab .,\n\t\r ▁é語'1{", max_size=30))
@@ -94,4 +101,4 @@ def test_small_memos_and_join_without_broadcast(spark, docs, libraries, monkeypa
 def test_units_do_not_change_tokens(libraries, text):
     found = libraries(text)
     written = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found)
-    assert T._aligner(A, B)(text)[1] == written
+    assert next(T._aligner(A, B)([text]))[1] == written
