@@ -70,7 +70,7 @@ def deduped(rows, similarity=0.8, radius=3):
             if words_of(line):
                 first.setdefault(words_of(line), (k, i))
     names = list(first)
-    sims = [majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in n.split(" ")]) for n in names]
+    sims = [majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in set(n.split(" "))]) for n in names]
     links = []
     for i, a in enumerate(names):
         for j in range(i):

@@ -8,8 +8,6 @@ from itertools import combinations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import let
-
 
 def _signed(bits: int) -> int:
     bits &= 2**64 - 1
@@ -31,38 +29,20 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def simhash(hashes: Column) -> Column:
-    """Bit i is set if it is set in over half of the hashes (an array of longs); 0 of none.
+def bit_sums(h: Column) -> list[Column]:
+    """Aggregates that count the set bits of a column of longs: bits i and i + 32 in one sum each.
 
-    Bits are counted side by side: seven hashes at a time in counters of 4 bits, sixteen to a
-    long, which are then added to counters of 16 bits, or of 32 where the array is too long. No
-    counter reaches its highest bit, so no sum overflows.
+    Either half of a sum holds up to 2^31 rows, more than an array can.
     """
-
-    def every(step: int, ones: int) -> Column:
-        return F.lit(_signed(sum(ones << (step * j) for j in range(64 // step))))
-
-    def small(h: Column) -> Column:
-        start = F.struct(*[F.lit(0).cast("long").alias(f"g{j}") for j in range(4)])
-        return F.aggregate(h, start, lambda acc, x: F.struct(*[(acc[f"g{j}"] + F.shiftrightunsigned(x, j).bitwiseAND(every(4, 1))).alias(f"g{j}") for j in range(4)]))
-
-    def counted(h: Column, width: int) -> Column:
-        lanes = 64 // width
-        groups = F.transform(F.sequence(F.lit(1), F.size(h), F.lit(7)), lambda i: small(F.slice(h, i, 7)))
-        start = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(width)])
-        sums = F.aggregate(
-            groups, start, lambda acc, g: F.struct(*[(acc[f"c{k}"] + F.shiftrightunsigned(g[f"g{k % 4}"], k - k % 4).bitwiseAND(every(width, 7))).alias(f"c{k}") for k in range(width)])
-        )
-
-        def bits(c: Column) -> Column:
-            low = (1 << width) - 1
-            each = [
-                F.when(2 * F.shiftrightunsigned(c[f"c{k}"], width * j).bitwiseAND(F.lit(low)) > F.size(h), F.lit(_signed(1 << (k + width * j)))).otherwise(F.lit(0).cast("long"))
-                for k in range(width)
-                for j in range(lanes)
-            ]
-            return reduce(lambda a, b: a.bitwiseOR(b), each)
-
-        return let(sums, bits)
-
-    return let(hashes, lambda h: F.when(F.size(h) == 0, F.lit(0).cast("long")).when(F.size(h) < 1 << 15, counted(h, 16)).otherwise(counted(h, 32)))
+    both = F.lit((1 << 32) + 1)
+    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(both)).alias(f"bits_{i}") for i in range(32)]
+
+
+def majority(n: Column) -> Column:
+    """Bit i is set if it is set in over half of the ``n`` longs that :func:`bit_sums` counted."""
+    low = F.lit((1 << 32) - 1)
+    parts = []
+    for i in range(32):
+        for place, count in ((i, F.col(f"bits_{i}").bitwiseAND(low)), (i + 32, F.shiftrightunsigned(f"bits_{i}", 32))):
+            parts.append(F.when(2 * count > n, F.lit(_signed(1 << place))).otherwise(F.lit(0).cast("long")))
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.blocks import block_keys, distance, simhash
-from tickloom.llm.common import cut, let, whole
+from tickloom.llm.blocks import bit_sums, block_keys, distance, majority
+from tickloom.llm.common import cut, freed_shuffles, let, whole
 from tickloom.llm.components import components
 
 NOT_LETTERS = r"[^\p{L}\p{N}]+"
@@ -61,8 +61,7 @@ def _edits(a: str, b: str, bound: str) -> Column:
 
 def _levenshtein(x: Column, y: Column, bound: Column) -> Column:
     """Edit distance up to a bound that is a column; -1 above it."""
-    within = let(F.levenshtein(x, y), lambda d: F.when(d <= bound, d).otherwise(-1))
-    return F.when(F.abs(F.length(x) - F.length(y)) > bound, -1).otherwise(within)
+    return F.when(F.abs(F.length(x) - F.length(y)) > bound, -1).otherwise(F.call_function("levenshtein", x, y, bound))
 
 
 def _bound(a: str, b: str, similarity: float) -> str:
@@ -78,10 +77,17 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _nodes(lines: DataFrame) -> DataFrame:
-    """Distinct lines: two independent hashes of the words, SimHash, length, first place."""
+    """Distinct lines: two independent hashes of the words, SimHash of the distinct words, first place.
+
+    Bits are counted line by line where the lines are read: words are rows, and a line leaves its
+    task as 32 sums. A word counts once a line, so that one which prevails does not decide alone.
+    """
     hashes = F.xxhash64("words").alias("node"), F.xxhash64(F.lit("again"), "words").alias("other")
-    measured = lines.select(*hashes, simhash(F.transform(F.split("words", " "), lambda w: F.xxhash64(w))).alias("sim"), F.struct("doc", "print", "pos").alias("at"))
-    return measured.groupBy("node", "other", "sim").agg(F.min("at").alias("at"))
+    word = lines.select(*hashes, "doc", "print", "pos", F.explode(F.array_distinct(F.split("words", " "))).alias("word"))
+    counted = word.withColumn("h", F.xxhash64("word")).groupBy("node", "other", "doc", "print", "pos").agg(F.count("h").alias("n"), *bit_sums(F.col("h")))
+    at = F.struct("doc", "print", "pos", majority(F.col("n")).alias("sim"))
+    first = counted.select("node", "other", at.alias("first")).groupBy("node", "other").agg(F.min("first").alias("first"))
+    return first.select("node", "other", "first.sim", F.struct("first.doc", "first.print", "first.pos").alias("at"))
 
 
 def _sim_pairs(sims: DataFrame, radius: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import scratch, whole
+from tickloom.llm.common import freed_shuffles, scratch, whole
 from tickloom.llm.ordered import OVER, key_of, ranges
 
 GRAM = 32
@@ -411,15 +411,9 @@ def without_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", tex
     not read. ``how`` may set ``hot``, ``windows`` and ``drawn``, which change no result.
     """
     spark = docs.sparkSession
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")  # shuffles of what has been written are freed
-    slim = _identified(docs, key, text)
-    try:
-        folder = scratch(spark, "repeats")
-        repeats(slim, length, **how).write.parquet(folder)
-    finally:
-        spark.conf.set(name, before)
+    folder = scratch(spark, "repeats")
+    with freed_shuffles(spark):
+        repeats(_identified(docs, key, text), length, **how).write.parquet(folder)
     runs = spark.read.parquet(folder).groupBy("key", "th").agg(F.collect_list("l").alias("l"), F.collect_list("n").alias("n"))
     return _finished(docs, runs, length, key, text, digest)
 
