@@ -172,29 +172,32 @@ def test_positive_funding_pays_the_short(spark):
 
 
 def test_walk_forward_matches_a_loop(series):
-    a = walk(140, 9)
     grid = {2.0: "m2", 5.0: "m5"}
-    df = series(A=a).select("*", *(S.ts_momentum(int(p)).alias(c) for p, c in grid.items()))
-    got = books.walk_forward(df, grid, warmup=6, train=60, test=20).orderBy("day").collect()
-    bars = [(c, c, 100.0 + i) for i, c in enumerate(a)]
-    sig = {p: [1.0 if i >= p and a[i] > a[i - int(p)] else 0.0 for i in range(140)] for p in (2, 5)}
-    level, want, chosen = 10_000.0, [], []
-    for w in range((140 - 80) // 20 + 1):
-        lo = w * 20
-        best = None
+    walks = {"A": walk(140, 9), "B": walk(95, 10), "C": walk(79, 11)}
+    df = series(**walks).select("symbol", "day", S.ret().alias("ret"), *(S.ts_momentum(int(p)).alias(c) for p, c in grid.items()))
+    rows = books.walk_forward(df, grid, warmup=6, train=60, test=20, cost_rate=0.002).orderBy("symbol", "day").collect()
+    for name, a in walks.items():
+        got, n = [r for r in rows if r["symbol"] == name], len(a)
+        daily = {}
         for p in (2, 5):
-            eq = loop_ledger(bars[lo + 6 : lo + 60], sig[p][lo + 6 : lo + 60])
-            r = [y / x - 1 for x, y in zip(eq, eq[1:])]
-            sd = statistics.stdev(r)
-            sharpe = statistics.mean(r) / sd * math.sqrt(365) if sd > 0 else 0.0
-            if best is None or sharpe > best[0] + 1e-12:
-                best = (sharpe, p)
-        eq = loop_ledger(bars[lo + 60 : lo + 80], sig[best[1]][lo + 60 : lo + 80])
-        want += [e * level / eq[0] for e in eq]
-        chosen += [best[1]] * 20
-        level *= eq[-1] / eq[0]
-    assert [r["param"] for r in got] == chosen
-    assert [r["equity"] for r in got] == pytest.approx(want)
+            target = [1.0 if i >= p and a[i] > a[i - p] else 0.0 for i in range(n)]
+            held = [0.0, *target[:-1]]
+            daily[p] = [(h * (a[i] / a[i - 1] - 1) if i else 0.0) - 0.002 * abs(h - (held[i - 1] if i else 0.0)) for i, h in enumerate(held)]
+        level, want = 10_000.0, []
+        for w in range((n - 80) // 20 + 1 if n >= 80 else 0):
+            lo, best = w * 20, None
+            for p in (2, 5):
+                r = daily[p][lo + 6 : lo + 60]
+                sd = statistics.stdev(r)
+                sharpe = statistics.mean(r) / sd * math.sqrt(365) if sd > 0 else 0.0
+                if best is None or sharpe > best[0] + 1e-12:
+                    best = (sharpe, p)
+            for x in daily[best[1]][lo + 60 : lo + 80]:
+                level *= 1 + x
+                want.append((w, best[1], pytest.approx(best[0]), pytest.approx(level)))
+        assert [(r["window"], r["param"], r["train_sharpe"], r["equity"]) for r in got] == want
+    with pytest.raises(ValueError):
+        books.walk_forward(df, grid, warmup=60, train=60, test=20)
 
 
 def test_cointegrated_pair_is_admitted_and_independent_walks_rarely(spark, series):

@@ -77,12 +77,52 @@ def test_first_after_is_strict(spark):
 def test_asof_join_boundaries(spark):
     left = spark.createDataFrame([("A", 1), ("A", 2), ("A", 5)], "k string, t int")
     right = spark.createDataFrame([("A", 2, 20.0), ("A", 4, 40.0)], "k string, rt int, v double")
-    at = [r["v"] for r in asof.asof_join(left, right, "k", "t", "rt", ["v"]).orderBy("t").collect()]
+    at = [r["v"] for r in asof.asof_join(left, right, ["k"], "t", "rt", ["v"]).orderBy("t").collect()]
     assert at == [None, 20.0, 40.0]
-    strict = [r["v"] for r in asof.asof_join(left, right, "k", "t", "rt", ["v"], strict=True).orderBy("t").collect()]
+    strict = [r["v"] for r in asof.asof_join(left, right, ["k"], "t", "rt", ["v"], strict=True).orderBy("t").collect()]
     assert strict == [None, None, 40.0]
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join_splits_a_hot_key(spark, strict):
+    """Half of all rows in one key, null keys and times, ties; buckets of a few rows against a scan."""
+    rng = random.Random(6)
+    key = lambda: "hot" if rng.random() < 0.5 else rng.choice(["a", "b", None])
+    ls = [(key(), rng.choice([None, *range(0, 400)]), i) for i in range(300)]
+    rs = [(key(), rng.choice([None, *range(50, 350, 3), *range(100, 104)]), float(i)) for i in range(200)]
+    left, right = spark.createDataFrame(ls, "k string, t int, id int"), spark.createDataFrame(rs, "k string, rt int, v double")
+    want = {}
+    for k, t, i in ls:
+        known = [(rt, v) for rk, rt, v in rs if rk == k and rt is not None and t is not None and (rt < t or rt == t and not strict)]
+        want[i] = max(known) if known else (None, None)
+    for rows in (7, 1_000_000):
+        out = asof.asof_join(left, right, ["k"], "t", "rt", ["v"], strict=strict, bucket_rows=rows)
+        assert {r["id"]: (r["asof_rt"], r["v"]) for r in out.collect()} == want
+        largest = max(r["count"] for r in out.groupBy("k").count().collect())
+    assert largest > 100
+
+
+@pytest.mark.parametrize("ordered", [20, 50_000])
+def test_percentiles_by_refined_selection(spark, ordered):
+    """All values of a key within 1e-9, one key with half of all rows, ties, null keys and values."""
+    import numpy as np
+
+    rng = random.Random(7)
+    rows = [("near", 1 + 1e-9 * rng.random()) for _ in range(2000)] + [("hot", rng.gauss(0, 1e6)) for _ in range(4000)] + [("tied", float(rng.randrange(3))) for _ in range(900)]
+    rows += [(None, float(i)) for i in range(101)] + [("one", 5.0), ("none", None), ("none", None), ("hot", None)] + [(f"k{i}", rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = {"low": 0.01, "median": 0.5, "p90": 0.9, "top": 1.0}
+    got = {r["k"]: [r[q] for q in qs] for r in skew.exact_percentiles(df, ["k"], "v", qs, ordered=ordered).collect()}
+    per = {}
+    for k, v in rows:
+        if v is not None:
+            per.setdefault(k, []).append(v)
+    assert got == {k: pytest.approx(np.quantile(vs, list(qs.values())), rel=1e-15) for k, vs in per.items()}
+    every = [v for _, v in rows if v is not None]
+    assert skew.exact_percentiles(df, [], "v", {"m": 0.5}, ordered=ordered).first()["m"] == pytest.approx(np.median(every))
+    assert skew.exact_percentiles(df.where("false"), ["k"], "v", qs).collect() == []
+
+
 def test_a_bar_is_known_only_after_it_closes(series):
     known = asof.known_at(series(A=[1.0, 2.0, 3.0]), "2024-01-03")
     assert [r["close"] for r in asof.latest_state(known, ["close"]).collect()] == [2.0]
@@ -125,18 +165,61 @@ def test_reach_and_cycles(spark):
     assert {(r["src"], r["dst"]) for r in G.cyclic_edges(edges(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("c", "z")])).collect()} == {("a", "b"), ("b", "c"), ("c", "b")}
 
 
+def test_deep_graphs_take_few_rounds(spark, monkeypatch):
+    """Chains, a tail into a cycle and a ladder far longer than the plain rounds, against walks."""
+    rounds = []
+    real = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: rounds.append(1) or real(df))
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(1500)]
+    got = {(r["start"], r["node"]): r["depth"] for r in G.reach(edges(spark, chain), spark.createDataFrame([("c0",), ("c1490",)], "start string")).collect()}
+    assert got == {("c0", f"c{i}"): i for i in range(1, 1501)} | {("c1490", f"c{i}"): i - 1490 for i in range(1491, 1501)}
+    assert len(rounds) < 35  # two tables a doubling
+    rounds.clear()
+    tail = [(f"t{i}", f"t{i + 1}") for i in range(700)] + [("t700", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "out"), ("out", "end")] + [(f"e{i}", f"e{i + 1}") for i in range(40)]
+    assert {tuple(r) for r in G.cyclic_edges(edges(spark, tail)).collect()} == set(tail[:704])
+    assert len(rounds) < 30
+    ladder = [(f"{x}{i}", f"{y}{i + 1}") for i in range(40) for x in "lr" for y in "lr"]
+    got = {(r["node"], r["depth"]) for r in G.reach(edges(spark, ladder), spark.createDataFrame([("l0",)], "start string"), plain=2).collect()}
+    assert got == {(f"{x}{i}", i) for i in range(1, 41) for x in "lr"}
+    assert G.cyclic_edges(edges(spark, ladder), plain=2).count() == 0
+
+
+def test_reach_equals_breadth_first_search_whatever_the_plain_rounds(spark):
+    rng = random.Random(4)
+    pairs = sorted({(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(60)})
+    starts = ["n0", "n7", "n9"]
+    want = set()
+    for s in starts:
+        seen, level, depth = {s}, [s], 0
+        while level:
+            depth += 1
+            level = sorted({b for a, b in pairs if a in level} - seen)
+            seen |= set(level)
+            want |= {(s, n, depth) for n in level}
+    for plain in (0, 1, 3, 50):
+        got = G.reach(edges(spark, pairs), spark.createDataFrame([(s,) for s in starts], "start string"), plain=plain).collect()
+        assert {tuple(r) for r in got} == want
+
+
 def test_independent_support_is_greedy_in_order(spark):
     rng = random.Random(8)
-    names = [f"n{i}" for i in range(12)]
-    corr = [(a, b, rng.choice([0.2, 0.9])) for i, a in enumerate(names) for b in names[i + 1 :]]
-    sup = [("c", n, i) for i, n in enumerate(names)]
-    got = G.independent_support(spark.createDataFrame(sup, "claim string, node string, ord int"), spark.createDataFrame(corr, "a string, b string, r double")).first()
+    names = [f"n{i}" for i in range(40)]
+    corr = [(a, b, rng.choice([0.2, 0.3, 0.9])) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.3]
+    claims = {"c": names, "d": names[5:30:2], "e": names[:1], "f": names[::-1]}
+    sup = [(c, n, i) for c, ns in claims.items() for i, n in enumerate(ns)]
+    chosen = G.independent_support(spark.createDataFrame(sup, "claim string, node string, ord int"), spark.createDataFrame(corr, "a string, b string, r double"))
     high = {frozenset(x[:2]) for x in corr if x[2] >= 0.7}
-    kept = []
-    for n in names:
-        if not any(frozenset((n, k)) in high for k in kept):
-            kept.append(n)
-    assert got["names"] == kept and got["discounted"] == 12 - len(kept)
+    want, counts = set(), set()
+    for c, ns in claims.items():
+        kept = []
+        for i, n in enumerate(ns):
+            apart = not any(frozenset((n, k)) in high for k in kept)
+            kept += [n] * apart
+            want.add((c, n, i, apart))
+        counts.add((c, len(ns), len(kept), len(ns) - len(kept)))
+    assert {tuple(r) for r in chosen.collect()} == want
+    assert {tuple(r) for r in G.support_counts(chosen).collect()} == counts
+
 
 
 def test_exact_percentiles_match_a_sort(spark):

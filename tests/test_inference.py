@@ -153,3 +153,30 @@ def test_trips_average_cost_and_flip(spark):
     t = metrics.round_trips(spark.createDataFrame(rows, "symbol string, at date, qty double, price double, fee double"), ["symbol"]).orderBy("entry_at").collect()
     assert [(r["entry_at"], r["exit_at"]) for r in t] == [(d[0], d[2]), (d[2], d[3])]
     assert [r["pnl"] for r in t] == pytest.approx([2 * 3.0 - 0.4, 3.0])
+
+
+def test_trips_equal_an_average_cost_ledger(spark):
+    rng = random.Random(12)
+    rows, want = [], []
+    for k in range(8):
+        pos = cost = pnl = 0.0
+        entry = None
+        for i in range(60):
+            qty, price, fee = rng.choice([-2.0, -1.0, 0.0, 1.0, 2.0, 3.0, -pos]), rng.uniform(5, 15), rng.uniform(0, 0.2)
+            at = DAY0 + dt.timedelta(days=i)
+            rows.append((f"k{k}", at, qty, price, fee))
+            if qty == 0:
+                continue
+            left = qty
+            if pos * qty < 0:
+                closed = min(abs(pos), abs(qty)) * math.copysign(1, qty)
+                pnl += -closed * (price - cost) - fee
+                fee, pos, left = 0.0, pos + closed, qty - closed
+                if pos == 0:
+                    want.append((f"k{k}", entry, at, pytest.approx(pnl)))
+                    pnl, entry = 0.0, None
+            if left:
+                cost = (cost * abs(pos) + price * abs(left)) / (abs(pos) + abs(left))
+                entry, pnl, pos = entry or at, pnl - fee, pos + left
+    got = metrics.round_trips(spark.createDataFrame(rows, "symbol string, at date, qty double, price double, fee double"), ["symbol"])
+    assert [tuple(r) for r in got.orderBy("symbol", "exit_at").collect()] == want

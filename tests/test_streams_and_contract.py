@@ -67,7 +67,7 @@ def test_contract_shapes():
     assert set(sql) <= set(q) and len(q) > 150
     # The optional queries are there exactly if their subpackage is.
     optional = [n for n in q if n == "pipeline" or n.startswith("op")]
-    assert len(optional) == (11 if entry_module.llm else 0)
+    assert len(optional) == (14 if entry_module.llm else 0)
 
 
 def test_entry_runs(spark):

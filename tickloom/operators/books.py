@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.operators.metrics import performance
-
 # Default cost model in basis points, starting cash.
 FEE_BPS, HALF_SPREAD_BPS, IMPACT_BPS = 10.0, 1.0, 25.0
 CASH = 10_000.0
@@ -89,66 +87,76 @@ def stack_params(df: DataFrame, columns: dict[float, str], keep: list[str]) -> D
     return df.select(*keep, F.inline(F.array(*rows)))
 
 
-def windows(bars: DataFrame, train: int, test: int, step: int | None = None) -> DataFrame:
-    """Rows placed in their walk-forward windows: adds ``i``, ``window`` and ``part``.
+def parameter_books(bars: DataFrame, columns: dict[float, str], cost_rate: float) -> DataFrame:
+    """(symbol, day, param, i, n, held, r): every parameter's own uninterrupted screened book.
+
+    A target decided on one bar is held over the next, which it pays for when it changes.
+    """
+    w = W.partitionBy("symbol", "param").orderBy("day")
+    held = F.coalesce(F.lag("target").over(w), F.lit(0.0))
+    before = F.coalesce(F.lag("target", 2).over(w), F.lit(0.0))
+    rows = stack_params(bars, columns, ["symbol", "day", "ret"]).withColumns({"held": held, "__turn": F.abs(held - before)})
+    r = F.coalesce(F.col("held") * F.col("ret"), F.lit(0.0)) - cost_rate * F.col("__turn")
+    n = F.count(F.lit(1)).over(W.partitionBy("symbol", "param"))
+    return rows.select("symbol", "day", "param", "held", r.alias("r"), (F.row_number().over(w) - 1).alias("i"), n.alias("n"))
+
+
+def training_sharpes(books: DataFrame, warmup: int, train: int, test: int, per_year: float = 365.0) -> DataFrame:
+    """(symbol, param, window, train_sharpe) of every whole walk-forward window.
 
-    A bar's windows follow from its position by arithmetic, so this is an explode of at most
-    ceil((train + test) / step) entries; windows that do not fit whole are left out.
+    The moments of a window are the difference of two rows of running sums: the last row of its
+    training span and the row before its first one past the warm-up. A row is either of a window
+    by arithmetic on its position, so no window is expanded into its rows.
     """
-    step = step or test
-    w = W.partitionBy("symbol")
-    rows = bars.withColumns({"i": F.row_number().over(w.orderBy("day")) - 1, "__n": F.count(F.lit(1)).over(w)})
-    lo = F.greatest(F.ceil((F.col("i") - (train + test) + 1) / step), F.lit(0))
-    hi = F.least(F.floor(F.col("i") / step), F.floor((F.col("__n") - train - test) / step))
-    span = F.when(hi >= lo, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(F.array().cast("array<int>"))
-    placed = rows.select("*", F.explode(span).alias("window")).drop("__n")
-    off = F.col("i") - F.col("window") * step
-    return placed.withColumn("part", F.when(off < train, "train").otherwise("test")).withColumn("off", off)
-
-
-def choose_parameters(trained: DataFrame, grid: list[float], per_year: float = 365.0) -> DataFrame:
-    """(symbol, window, param, train_sharpe): best annualised Sharpe, first of the grid on ties."""
+    if warmup >= train:
+        raise ValueError("the warm-up takes all of the training span")
+    run = W.partitionBy("symbol", "param").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    rows = books.withColumns({"__s1": F.sum("r").over(run), "__s2": F.sum(F.col("r") * F.col("r")).over(run)})
+
+    def end(at: int, sign: float):
+        off = F.col("i") - at
+        return F.when((off >= 0) & (off % test == 0), F.struct((off / test).cast("int").alias("window"), F.lit(sign).alias("sign")))
+
+    ends = F.array_compact(F.array(end(warmup - 1, -1.0), end(train - 1, 1.0)))
+    sums = rows.select("symbol", "param", "n", "__s1", "__s2", F.inline(ends)).where(F.col("window") * test + train + test <= F.col("n"))
+    g = sums.groupBy("symbol", "param", "window").agg(F.sum(F.col("sign") * F.col("__s1")).alias("d1"), F.sum(F.col("sign") * F.col("__s2")).alias("d2"))
+    m = float(train - warmup)
+    var = (F.col("d2") - F.col("d1") * F.col("d1") / m) / (m - 1)
+    sharpe = F.when(var > 0, F.col("d1") / m / F.sqrt(var) * F.sqrt(F.lit(per_year))).otherwise(0.0)
+    return g.select("symbol", "param", "window", sharpe.alias("train_sharpe"))
+
+
+def choose_parameters(sharpes: DataFrame, grid: list[float]) -> DataFrame:
+    """(symbol, window, param, train_sharpe): the best of the grid, the first of it on ties (to nine places)."""
     place = F.array_position(F.array(*(F.lit(float(g)) for g in grid)), F.col("param"))
-    perf = performance(trained, ["symbol", "window", "param"], per_year=per_year)
-    best = perf.groupBy("symbol", "window").agg(
-        F.max_by(F.struct("param", "sharpe"), F.struct("sharpe", (-place).alias("first"))).alias("b")
-    )
-    return best.select("symbol", "window", F.col("b.param").alias("param"), F.col("b.sharpe").alias("train_sharpe"))
+    order = F.struct(F.round("train_sharpe", 9).alias("sharpe"), (-place).alias("first"))
+    best = sharpes.groupBy("symbol", "window").agg(F.max_by(F.struct("param", "train_sharpe"), order).alias("b"))
+    return best.select("symbol", "window", F.col("b.param").alias("param"), F.col("b.train_sharpe").alias("train_sharpe"))
 
 
-def walk_forward(signals: DataFrame, columns: dict[float, str], warmup: int, train: int, test: int, **kw) -> DataFrame:
-    """(symbol, day, window, param, equity): stitched out-of-sample equity.
+def walk_forward(bars: DataFrame, columns: dict[float, str], warmup: int, train: int, test: int, cost_rate: float = 1.1e-3, cash: float = CASH) -> DataFrame:
+    """(symbol, day, window, param, train_sharpe, exposure, ret, equity): stitched out-of-sample books.
 
-    ``signals`` holds bars plus one target column per grid value, computed once over the whole
-    history (they only read trailing bars). Every parameter trades the same post-warm-up span
-    of each training window; the winner trades the test window; test curves are chained by the
-    cumulative product of window growth.
+    ``bars`` hold returns and one target column per grid value, computed once over the whole
+    history (they only read trailing bars). Windows of ``train + test`` bars move on by ``test``;
+    those that do not fit whole are left out. Each window trades its test bars by the parameter
+    with the best Sharpe over the training bars past ``warmup``; equity compounds over windows.
     """
-    grid = list(columns)
-    placed = windows(signals, train, test)
-    keep = ["symbol", "day", "window", "open", "close", "volume"]
-    fit = stack_params(placed.where((F.col("part") == "train") & (F.col("off") >= warmup)), columns, keep)
-    chosen = choose_parameters(ledger(fit, ["symbol", "window", "param"], **kw), grid)
-    trial = stack_params(placed.where(F.col("part") == "test"), columns, keep).join(
-        chosen.select("symbol", "window", "param", "train_sharpe"), ["symbol", "window", "param"]
-    )
-    curve = ledger(trial, ["symbol", "window", "param"], **kw)
-    growth = curve.groupBy("symbol", "window", "param").agg(
-        F.min_by("equity", "day").alias("first"), F.max_by("equity", "day").alias("last")
-    )
-    before = W.partitionBy("symbol").orderBy("window").rowsBetween(W.unboundedPreceding, -1)
-    level = growth.withColumn("level", F.exp(F.coalesce(F.sum(F.log(F.col("last") / F.col("first"))).over(before), F.lit(0.0))))
-    return curve.join(level, ["symbol", "window", "param"]).select(
-        "symbol", "day", "window", "param", "exposure",
-        (F.col("equity") / F.col("first") * F.col("level") * CASH).alias("equity"),
+    books = parameter_books(bars, columns, cost_rate)
+    chosen = choose_parameters(training_sharpes(books, warmup, train, test), list(columns))
+    window = F.floor((F.col("i") - train) / test).cast("int")
+    trial = books.where(F.col("i") >= train).withColumn("window", window).where(F.col("window") * test + train + test <= F.col("n"))
+    run = W.partitionBy("symbol").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    rows = trial.join(chosen, ["symbol", "window", "param"])
+    return rows.select(
+        "symbol", "day", "window", "param", "train_sharpe", F.col("held").alias("exposure"), F.col("r").alias("ret"),
+        (F.exp(F.sum(F.log1p("r")).over(run)) * cash).alias("equity"),
     )
 
 
 def equal_weight_returns(oos: DataFrame) -> DataFrame:
     """(day, ret, n): mean of the books' daily returns, aligned by date."""
-    w = W.partitionBy("symbol").orderBy("day")
-    r = oos.withColumn("r", F.coalesce(F.try_divide("equity", F.lag("equity").over(w)) - 1, F.lit(0.0)))
-    return r.groupBy("day").agg(F.avg("r").alias("ret"), F.count(F.lit(1)).alias("n"))
+    return oos.groupBy("day").agg(F.avg("ret").alias("ret"), F.count(F.lit(1)).alias("n"))
 
 
 def current_targets(signals: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -100,7 +100,22 @@ def condition_matrix(df: DataFrame, conditions: dict[str, Column], value: str, k
 
 
 def refuse_window(df: DataFrame, start: str, end: str, reference: str | None = None) -> DataFrame:
-    """(first, last, refused): whether a frame overlaps a guarded window without a reference."""
+    """(first, last, refused): whether a frame overlaps a guarded window without a reference.
+
+    A blank reference is none. An empty frame is not refused.
+    """
     span = df.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     overlap = (F.col("first") <= F.lit(end).cast("date")) & (F.col("last") >= F.lit(start).cast("date"))
-    return span.withColumn("refused", overlap & F.lit(reference is None))
+    return span.withColumn("refused", F.coalesce(overlap, F.lit(False)) & F.lit(not (reference or "").strip()))
+
+
+def withheld(df: DataFrame, start: str, end: str, reference: str | None = None) -> DataFrame:
+    """The frame itself, or none of its rows where :func:`refuse_window` refuses it.
+
+    The verdict is one row, read as a scalar subquery; with a reference nothing is asked.
+    """
+    if (reference or "").strip():
+        return df
+    verdict = refuse_window(df, start, end, reference).select("refused")
+    return df.where(~verdict.scalar())
+

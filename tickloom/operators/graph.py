@@ -1,7 +1,9 @@
 """Dependency graphs as edge tables: reachability, impact, cycles, independent support.
 
-Traversals are semi-naive: each round joins only the frontier with the edges, keeps what is
-new, and cuts lineage to the shared checkpoint folder, so a lost executor costs one round.
+Traversals start with a few plain rounds, which join only the frontier with the edges; most
+graphs of claims end there. What is deeper is finished by path doubling, so rounds grow with the
+logarithm of the longest path. Every round cuts lineage to the shared checkpoint folder, so a
+lost executor costs one round.
 """
 
 from __future__ import annotations
@@ -11,18 +13,29 @@ from pyspark.sql import functions as F
 
 from tickloom.session import cut_lineage, shared
 
+#: Rounds that follow single edges before paths are doubled.
+PLAIN_ROUNDS = 6
 
-def reach(edges: DataFrame, starts: DataFrame, forward: bool = True) -> DataFrame:
-    """(start, node, depth): everything reachable from each start, itself excluded.
 
-    ``edges`` is (src, dst); ``starts`` is (start). Rounds stop when nothing new appears.
+def squared(paths: DataFrame) -> DataFrame:
+    """(a, b): ends of walks of twice the length. A chain or a cycle keeps one row a node."""
+    left = paths.select("a", F.col("b").alias("via"))
+    return cut_lineage(left.join(paths.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct())
+
+
+def reach(edges: DataFrame, starts: DataFrame, forward: bool = True, plain: int = PLAIN_ROUNDS) -> DataFrame:
+    """(start, node, depth): everything reachable from each start, itself excluded, by the shortest path.
+
+    ``edges`` is (src, dst); ``starts`` is (start). After ``plain`` rounds of single edges, walks
+    of 1, 2, 4, ... edges are added to all that is known: every distance is a sum of these, so what
+    is known reaches twice as far after each round, and rounds stop when nothing new appears.
+    Nodes that every start has been led past take no part in doubling.
     """
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if forward else edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    e = shared(e.distinct())
-    frontier = starts.select("start", F.col("start").alias("node"))
-    seen = cut_lineage(frontier.withColumn("depth", F.lit(0)))
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    e = shared(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    seen = cut_lineage(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
     frontier, depth = seen.select("start", "node"), 0
-    while True:
+    while depth < plain:
         depth += 1
         step = frontier.join(e, frontier["node"] == e["a"]).select("start", F.col("b").alias("node")).distinct()
         fresh = cut_lineage(step.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
@@ -30,6 +43,19 @@ def reach(edges: DataFrame, starts: DataFrame, forward: bool = True) -> DataFram
             return seen.where("depth > 0")
         seen = seen.unionByName(fresh)
         frontier = fresh.select("start", "node")
+    # A node at this depth or more lies behind the frontier: paths between nodes that every start has passed are not needed.
+    passed = seen.where(F.col("depth") < depth).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    passed = passed.where(F.col("n") == starts.distinct().count()).select(F.col("node").alias("a"))
+    paths = cut_lineage(e.join(passed, "a", "left_anti"))
+    n, length = seen.count(), 1
+    while True:
+        led = seen.select("start", F.col("node").alias("a"), F.col("depth").alias("before")).join(paths, "a")
+        led = led.select("start", F.col("b").alias("node"), (F.col("before") + length).alias("depth"))
+        seen = cut_lineage(seen.unionByName(led).groupBy("start", "node").agg(F.min("depth").alias("depth")))
+        before, n = n, seen.count()
+        if n == before:
+            return seen.where("depth > 0")
+        paths, length = squared(paths), 2 * length
 
 
 def impact(depends: DataFrame, supports: DataFrame, starts: DataFrame) -> DataFrame:
@@ -39,48 +65,65 @@ def impact(depends: DataFrame, supports: DataFrame, starts: DataFrame) -> DataFr
     return back.unionByName(ahead).distinct()
 
 
-def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """Edges left after repeatedly dropping edges into nodes without outgoing edges.
+def cyclic_edges(edges: DataFrame, plain: int = PLAIN_ROUNDS) -> DataFrame:
+    """(src, dst): edges from whose end a cycle can be reached; none exactly if the graph is acyclic.
 
-    Empty exactly when the graph is acyclic; otherwise the cycles (and what leads into them).
-    Each round is a job and takes one link off the end of every chain, so there are as many as
-    the longest chain that ends outside a cycle has links.
+    The first rounds drop edges into nodes without outgoing edges, a link off the end of every
+    chain. If chains are longer than that, walks over what is left are doubled until they have as
+    many edges as there are nodes: only a node that reaches a cycle begins so long a walk.
     """
     left = cut_lineage(edges.select("src", "dst").distinct())
     n = left.count()
-    while n:
+    for _ in range(plain):
         alive = left.select(F.col("src").alias("dst")).distinct()
         left = cut_lineage(left.join(alive, "dst", "left_semi").select("src", "dst"))
-        m = left.count()
-        if m == n:
+        before, n = n, left.count()
+        if n == before:
+            return left
+    nodes = left.select("src").distinct().count()
+    paths, length = left.select(F.col("src").alias("a"), F.col("dst").alias("b")), 1
+    while length <= nodes:
+        paths, length = squared(paths), 2 * length
+        if paths.isEmpty():
             break
-        n = m
-    return left
+    into = paths.select(F.col("a").alias("dst")).distinct()
+    return left.join(into, "dst", "left_semi").select("src", "dst")
 
 
 def independent_support(supports: DataFrame, correlated: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(claim, claimed, kept, discounted): supporters with correlated ones collapsed, in order.
+    """(claim, node, ord, kept): whether a supporter stands apart from the kept ones before it.
 
-    ``supports`` is (claim, node, ord); ``correlated`` is (a, b, r), undirected. Earlier
-    supporters each one collides with come from equi-joins; the greedy choice is an ordered
-    Catalyst fold per claim over its supporters.
+    ``supports`` is (claim, node, ord); ``correlated`` is (a, b, r), undirected. A supporter is
+    discounted if an earlier kept one of its claim correlates with it. The ordered choice is made
+    in rounds over collisions (claim, early, late): supporters that no undecided one precedes are
+    kept, those they collide with are discounted, and collisions of both are settled. Rows of one
+    claim spread over the cluster; rounds grow with the longest chain of undecided collisions.
     """
     both = correlated.where(F.abs("r") >= threshold).select("a", "b")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    earlier = supports.select("claim", F.col("node").alias("b"), F.col("ord").alias("ob"))
-    hits = (
-        supports.withColumnRenamed("node", "a").join(both, "a").join(earlier, ["claim", "b"])
-        .where(F.col("ob") < F.col("ord")).groupBy("claim", F.col("a").alias("node")).agg(F.collect_set("b").alias("with"))
-    )
-    rows = supports.join(hits, ["claim", "node"], "left").withColumn("with", F.coalesce("with", F.array().cast("array<string>")))
-    packed = rows.groupBy("claim").agg(F.array_sort(F.collect_list(F.struct("ord", "node", "with"))).alias("s"))
-    kept = F.aggregate(
-        "s", F.array().cast("array<string>"),
-        lambda acc, x: F.when(F.arrays_overlap(acc, x["with"]), acc).otherwise(F.array_append(acc, x["node"])),
-    )
-    return packed.withColumn("names", kept).select(
-        "claim", F.size("s").alias("claimed"), F.size("names").alias("kept"), (F.size("s") - F.size("names")).alias("discounted"), "names"
-    )
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    late = supports.select("claim", F.col("node").alias("late"), "ord")
+    early = supports.select("claim", F.col("node").alias("early"), F.col("ord").alias("before"))
+    hits = late.join(both.select(F.col("a").alias("late"), F.col("b").alias("early")), "late").join(early, ["claim", "early"])
+    open_ = cut_lineage(hits.where(F.col("before") < F.col("ord")).select("claim", "early", "late").distinct())
+    dropped = None
+    while not open_.isEmpty():
+        waiting = open_.select("claim", F.col("late").alias("early")).distinct()
+        free = open_.join(waiting, ["claim", "early"], "left_anti")
+        gone = cut_lineage(free.select("claim", "late").distinct())
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        # Whoever is free has settled all its collisions: its partners are gone.
+        rest = open_.join(gone, ["claim", "late"], "left_anti").join(gone.withColumnRenamed("late", "early"), ["claim", "early"], "left_anti")
+        open_ = cut_lineage(rest.select("claim", "early", "late"))
+    if dropped is None:
+        return supports.select("claim", "node", "ord", F.lit(True).alias("kept"))
+    out = dropped.select("claim", F.col("late").alias("node"), F.lit(False).alias("kept"))
+    return supports.join(out, ["claim", "node"], "left").select("claim", "node", "ord", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def support_counts(chosen: DataFrame) -> DataFrame:
+    """(claim, claimed, kept, discounted) of :func:`independent_support`."""
+    kept = F.count_if("kept")
+    return chosen.groupBy("claim").agg(F.count(F.lit(1)).alias("claimed"), kept.alias("kept"), (F.count(F.lit(1)) - kept).alias("discounted"))
 
 
 def contradictory_edges(edges: DataFrame) -> DataFrame:

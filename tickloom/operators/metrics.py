@@ -79,35 +79,35 @@ def deflated(moments: DataFrame, n_trials: int, variance: Column | str = "var")
     )
 
 
+#: Units of a position that count as flat, against sums that do not cancel to the last bit.
+FLAT = 1e-9
+
+
 def round_trips(fills: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, entry_at, exit_at, pnl): average-cost round trips; a flip closes and reopens.
+    """(keys, entry_at, exit_at, pnl): completed trips from flat to flat, or to the other side.
 
-    One ordered fold per key over its fills, the sparse side of a book. A position still open
-    at the end is not reported.
+    Under average cost, gains realised between two flat positions add up to the cash that flowed:
+    every fill pays ``-qty * price - fee``. So a trip is a run of fills between two zeros of the
+    running position and its result is one sum; a fill that turns the position over pays for the
+    part that closes, with the whole fee, and opens the next trip with the rest at its own price.
+    Windows and one aggregate by key and trip. A position still open at the end is not reported.
     """
-    rows = F.array_sort(F.collect_list(F.struct("at", "qty", "price", "fee")))
-    trip = "struct<entry_at:date,exit_at:date,pnl:double>"
-    packed = fills.groupBy(*keys).agg(rows.alias("fills"))
-    zero = F.expr(
-        "named_struct('pos', 0D, 'avg', 0D, 'real', 0D, 'entry', cast(null as date), "
-        f"'trips', cast(array() as array<{trip}>))"
-    )
-    folded = F.expr(
-        """aggregate(fills, init, (s, f) -> CASE
-          WHEN s.pos = 0 THEN named_struct('pos', f.qty, 'avg', f.price, 'real', -f.fee, 'entry', f.at, 'trips', s.trips)
-          WHEN s.pos * f.qty > 0 THEN named_struct('pos', s.pos + f.qty,
-            'avg', (s.avg * abs(s.pos) + f.price * abs(f.qty)) / (abs(s.pos) + abs(f.qty)),
-            'real', s.real - f.fee, 'entry', s.entry, 'trips', s.trips)
-          ELSE named_struct('pos', s.pos + f.qty,
-            'avg', CASE WHEN s.pos * (s.pos + f.qty) < 0 THEN f.price ELSE s.avg END,
-            'real', CASE WHEN s.pos * (s.pos + f.qty) <= 0 THEN 0D
-              ELSE s.real + signum(s.pos) * least(abs(f.qty), abs(s.pos)) * (f.price - s.avg) - f.fee END,
-            'entry', CASE WHEN s.pos * (s.pos + f.qty) < 0 THEN f.at ELSE s.entry END,
-            'trips', CASE WHEN s.pos * (s.pos + f.qty) <= 0 THEN array_append(s.trips, named_struct('entry_at', s.entry, 'exit_at', f.at,
-              'pnl', s.real + signum(s.pos) * least(abs(f.qty), abs(s.pos)) * (f.price - s.avg) - f.fee)) ELSE s.trips END)
-          END)"""
-    )
-    return packed.withColumn("init", zero).select(*keys, F.inline(folded.getField("trips")))
+    fills = fills.where("qty != 0")
+    w = W.partitionBy(*keys).orderBy("at", "qty", "price", "fee")
+    total = F.sum("qty").over(w.rowsBetween(W.unboundedPreceding, 0))
+    pos = F.when(F.abs(total) > FLAT, total).otherwise(0.0)
+    rows = fills.withColumn("__pos", pos).withColumn("__was", F.coalesce(F.lag("__pos").over(w), F.lit(0.0)))
+    turned = F.col("__was") * F.col("__pos") < 0
+    closes = (F.col("__was") != 0) & (F.col("__pos") == 0) | turned
+    # The number of trips closed before a fill names the trip it belongs to.
+    rows = rows.withColumn("__closed", F.sum(closes.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("__trip", F.col("__closed") - closes.cast("int"))
+    part = F.when(turned, -F.col("__was")).otherwise(F.col("qty"))
+    own = F.struct(F.col("__trip").alias("trip"), (-part * F.col("price") - F.col("fee")).alias("cash"), closes.alias("done"))
+    rest = F.struct((F.col("__trip") + 1).alias("trip"), (-F.col("__pos") * F.col("price")).alias("cash"), F.lit(False).alias("done"))
+    parted = rows.select(*keys, "at", F.inline(F.when(turned, F.array(own, rest)).otherwise(F.array(own))))
+    trips = parted.groupBy(*keys, "trip").agg(F.min("at").alias("entry_at"), F.max("at").alias("exit_at"), F.sum("cash").alias("pnl"), F.max("done").alias("done"))
+    return trips.where("done").select(*keys, "entry_at", "exit_at", "pnl")
 
 
 def trip_summary(trips: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,16 +1,17 @@
 """Learned models on panels: purged windows, train-only scaling, arms, and their scores.
 
 Windows are rows of arithmetic over the distinct days; scaling statistics of every window come
-from one aggregate. Only the fits themselves loop, one distributed MLlib fit per window.
+from one aggregate. All windows are fitted at once: a Newton step is one aggregate of k x k sums
+a window, and boosted trees read counts of cells of binned features, of which there is a fixed
+number however many rows fall into them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,28 +101,124 @@ def equal_weight(placed: DataFrame, features: Sequence[str]) -> DataFrame:
     return z.withColumn("score", 1 / (1 + F.exp(-total)))
 
 
-def logistic(placed: DataFrame, features: Sequence[str], label: str, penalty: str = "l2", c: float = 1.0) -> tuple[DataFrame, list[tuple]]:
-    """Test rows scored by a logistic fit per window, and (window, feature, weight) rows.
+#: Largest gradient (of the total loss, in units of rows) at which a fit has converged.
+TOLERANCE = 1e-8
 
-    Penalty strength 1/(c n) matches a total-loss objective; scaling is ours, so MLlib's is off.
+
+def _shrunk(hessian: np.ndarray, gradient: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    """The minimum of the quadratic model plus ``penalty * |w|_1`` (the last weight, the intercept, free)."""
+    new = w.copy()
+    for _ in range(10_000):
+        moved = 0.0
+        for j in range(len(w)):
+            h = hessian[j, j]
+            target = new[j] - (gradient[j] + hessian[j] @ (new - w)) / h
+            lam = penalty / h if j + 1 < len(w) else 0.0
+            target = np.sign(target) * max(abs(target) - lam, 0.0)
+            moved = max(moved, abs(target - new[j]))
+            new[j] = target
+        if moved < 1e-13:
+            break
+    return new
+
+
+def _slack(gradient: np.ndarray, w: np.ndarray, l1: float) -> float:
+    """How far a point is from a minimum: the largest component of the least subgradient."""
+    g = gradient.copy()
+    body = g[:-1]
+    body[:] = np.where(w[:-1] != 0, body + l1 * np.sign(w[:-1]), np.sign(body) * np.maximum(np.abs(body) - l1, 0.0))
+    return float(np.abs(g).max())
+
+
+def newton(rows: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], penalty: str = "l2", c: float = 1.0, weight: str | None = None, max_iter: int = 2_000) -> tuple[DataFrame, dict[tuple, np.ndarray]]:
+    """Logistic fits of all groups at once: ``(keys, rows, steps, slack)`` and the weights, intercept last.
+
+    The loss is the sum over rows plus the penalty over ``c`` (the intercept free), as published
+    for total-loss objectives. Every step is one job: the current weights, one row a group, are
+    joined to the rows, and gradient, Hessian and loss come back as k x k sums a group. The L1 arm
+    minimises the quadratic model by shrinkage. A step that raises the loss is halved. Groups that
+    have converged drop out of the join; groups with one label value only are not fitted.
     """
     refuse_forward_names(features)
-    z = shared(VectorAssembler(inputCols=list(features), outputCol="x").transform(standardised(placed, features)))
-    counts = {r["window"]: r["n"] for r in z.where("part = 'train'").groupBy("window").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out, weights = None, []
-    for window in sorted(counts):
-        train = z.where((F.col("window") == window) & (F.col("part") == "train"))
-        reg = 0.0 if penalty == "none" else 1.0 / (c * counts[window])
-        fit = LogisticRegression(
-            featuresCol="x", labelCol=label, regParam=reg, elasticNetParam=1.0 if penalty == "l1" else 0.0, standardization=False, maxIter=200
-        ).fit(train)
-        weights += [(int(window), f, float(w)) for f, w in zip(features, fit.coefficients.toArray(), strict=True)]
-        test = fit.transform(z.where((F.col("window") == window) & (F.col("part") == "test")))
-        part = test.withColumn("score", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    spark = rows.sparkSession
+    l1, l2 = (1 / c if penalty == p else 0.0 for p in ("l1", "l2"))
+    y, wt = F.col(label).cast("double"), F.col(weight) if weight else F.lit(1.0)
+    data = shared(rows.select(*keys, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], y.alias("y"), wt.alias("wt")).dropna())
+    counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("labels")).where("labels = 2").collect()
+    k = len(features)
+    size = {tuple(r[q] for q in keys): r["n"] for r in counts}
+    w = {g: np.zeros(k + 1) for g in size}
+    good: dict[tuple, tuple] = {}  # the best point so far: weights, loss, step from it
+    done: dict[tuple, tuple] = {}
+    x = [*(F.col(f"x{i}") for i in range(k)), F.lit(1.0)]
+    z = sum((F.col(f"w{i}") * x[i] for i in range(k + 1)), F.lit(0.0))
+    p = 1 / (1 + F.exp(-z))
+    sums = [F.sum(F.col("wt") * (p - F.col("y")) * x[i]).alias(f"g{i}") for i in range(k + 1)]
+    sums += [F.sum(F.col("wt") * p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+    sums.append(F.sum(F.col("wt") * (F.greatest(z, F.lit(0.0)) - F.col("y") * z + F.log1p(F.exp(-F.abs(z))))).alias("loss"))
+    kinds = ", ".join([*(f"`{q}` {data.schema[q].dataType.simpleString()}" for q in keys), *(f"w{i} double" for i in range(k + 1))])
+    for step in range(1, max_iter + 1):
+        at = spark.createDataFrame([(*g, *map(float, v)) for g, v in w.items() if g not in done], kinds)
+        for r in data.join(F.broadcast(at), list(keys)).groupBy(*keys).agg(*sums).collect():
+            g = tuple(r[q] for q in keys)
+            now = w[g]
+            body = now[:-1]
+            gradient = np.array([r[f"g{i}"] for i in range(k + 1)])
+            gradient[:-1] += l2 * body
+            loss = r["loss"] + l2 / 2 * float(body @ body) + l1 * float(np.abs(body).sum())
+            if g in good and loss > good[g][1] + 1e-9 * abs(loss):
+                best, _, move = good[g]
+                good[g] = best, good[g][1], move / 2
+                w[g] = best + move / 2
+                if np.abs(move).max() < 1e-12:
+                    w[g] = best
+                    done[g] = (step, float(np.abs(move).max()))
+                continue
+            slack = _slack(gradient, now, l1)
+            if slack < TOLERANCE * max(1.0, size[g]) or step == max_iter:
+                done[g] = (step, slack)
+                continue
+            hessian = np.zeros((k + 1, k + 1))
+            for i in range(k + 1):
+                for j in range(i, k + 1):
+                    hessian[i, j] = hessian[j, i] = r[f"h{i}_{j}"]
+            hessian[np.arange(k), np.arange(k)] += l2
+            if l1:
+                target = _shrunk(hessian, gradient, now, l1)
+            else:
+                target = now - np.linalg.solve(hessian + 1e-12 * np.eye(k + 1), gradient)
+            good[g] = now, loss, target - now
+            w[g] = target
+        if len(done) == len(w):
+            break
+    data.unpersist()
+    facts = [(*g, size[g], done[g][0], done[g][1]) for g in sorted(done)]
+    table = spark.createDataFrame(facts, ", ".join([*(f"`{q}` {rows.schema[q].dataType.simpleString()}" for q in keys), "n bigint", "steps int", "slack double"]))
+    return table, w
+
+
+def weight_rows(spark, weights: dict[tuple, np.ndarray], features: Sequence[str], keys: Sequence[str], kinds: str) -> DataFrame:
+    """(keys, feature, weight), the intercept left out."""
+    flat = [(*g, f, float(v)) for g, w in sorted(weights.items()) for f, v in zip(features, w, strict=False)]
+    return spark.createDataFrame(flat, f"{kinds}, feature string, weight double")
+
+
+def scored(rows: DataFrame, weights: dict[tuple, np.ndarray], features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Rows of fitted groups with ``score``, the fitted probability."""
+    kinds = ", ".join([*(f"`{q}` {rows.schema[q].dataType.simpleString()}" for q in keys), *(f"__w{i} double" for i in range(len(features) + 1))])
+    at = rows.sparkSession.createDataFrame([(*g, *map(float, w)) for g, w in weights.items()], kinds)
+    x = [*(F.col(f) for f in features), F.lit(1.0)]
+    z = sum((F.col(f"__w{i}") * v for i, v in enumerate(x)), F.lit(0.0))
+    return rows.join(F.broadcast(at), list(keys)).withColumn("score", 1 / (1 + F.exp(-z))).drop(*(f"__w{i}" for i in range(len(x))))
+
+
+def logistic(placed: DataFrame, features: Sequence[str], label: str, penalty: str = "l2", c: float = 1.0) -> tuple[DataFrame, dict[tuple, np.ndarray]]:
+    """Test rows scored by the logistic fit of their window, and the weights of every window."""
+    z = standardised(placed, features)
+    _, weights = newton(z.where("part = 'train'"), features, label, ["window"], penalty, c)
+    if not weights:
         raise ValueError("not enough days for one window")
-    return out, weights
+    return scored(z.where("part = 'test'"), weights, features, ["window"]), weights
 
 
 def weight_summary(weights: DataFrame) -> DataFrame:
@@ -132,25 +229,131 @@ def weight_summary(weights: DataFrame) -> DataFrame:
     )
 
 
-def arms(rows: DataFrame, folds: list[tuple[int, int, int, int]], features: Sequence[str], label: str) -> DataFrame:
-    """(fold, arm, score, label, outcome) of majority, balanced logistic and boosted trees.
+# --- arms on embargoed folds -----------------------------------------------------------------------
+
+#: Bins of a feature: a fifth of a training deviation each, the outer two open.
+BINS, BIN_WIDTH = 32, 0.2
+#: Cells a fold may have: bins to the number of features, so memory of a fit has a bound.
+CELLS = 1 << 20
+
+
+def in_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
+    """Rows with ``pos`` in every fold that fits, validates or tests on them: adds ``fold`` and ``part``.
+
+    The folds are a handful by parameter, so their bounds go into the expression and no join is needed.
+    """
+    pos, entries = F.col("pos"), []
+    for f in folds.orderBy("fold").collect():
+        part = (
+            F.when(pos < f["fit_end"], "fit").when((pos >= f["val_start"]) & (pos < f["train_end"]), "val")
+            .when((pos >= f["test_start"]) & (pos < f["test_end"]), "test")
+        )
+        entries.append(F.when(part.isNotNull(), F.struct(F.lit(f["fold"]).alias("fold"), part.alias("part"))))
+    if not entries:
+        raise ValueError("not enough days for one fold")
+    return rows.select("*", F.inline(F.array_compact(F.array(*entries))))
+
+
+def binned(placed: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Adds ``b0, b1, ...``: bins of the features in units of the fold's fitting mean and deviation."""
+    on = F.col("part") == "fit"
+    stats = placed.groupBy("fold").agg(*[e for i, f in enumerate(features) for e in (F.avg(F.when(on, F.col(f))).alias(f"m{i}"), F.stddev_pop(F.when(on, F.col(f))).alias(f"s{i}"))])
+    j = placed.join(F.broadcast(stats), "fold")
+    bins = {}
+    for i, f in enumerate(features):
+        z = F.coalesce(F.try_divide(F.col(f) - F.col(f"m{i}"), F.col(f"s{i}")), F.lit(0.0))
+        bins[f"b{i}"] = F.least(F.greatest(F.floor(z / BIN_WIDTH) + BINS // 2, F.lit(0)), F.lit(BINS - 1)).cast("int")
+    return j.withColumns(bins).drop(*(f"{p}{i}" for i in range(len(features)) for p in "ms"))
+
+
+def boost(b: np.ndarray, n: np.ndarray, up: np.ndarray, val_n: np.ndarray, val_up: np.ndarray, rounds: int = 300, rate: float = 0.05, depth: int = 3, l2: float = 1.0, patience: int = 10, least: float = 20) -> np.ndarray:
+    """Probabilities of cells by histogram gradient boosting of the logistic loss.
+
+    ``b`` are the bins of every cell (cells x features); ``n`` and ``up`` its fitting rows and
+    those of label 1, ``val_n`` and ``val_up`` its validation rows. All rows of a cell share their
+    gradient, so sums over cells are sums over rows. Leaves take Newton steps; a split needs
+    ``least`` rows on both sides. Boosting ends after ``rounds`` trees, or when the validation
+    loss has not fallen for ``patience`` of them; trees past its least are dropped.
+    """
+    share = np.clip(up.sum() / n.sum(), 1e-6, 1 - 1e-6)
+    f = np.full(len(n), np.log(share / (1 - share)))
+
+    def loss(f: np.ndarray) -> float:
+        return float((val_n * np.logaddexp(0, f) - val_up * f).sum())
+
+    best, kept, since = loss(f), f.copy(), 0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-f))
+        g, h = n * p - up, n * p * (1 - p)
+        node = np.zeros(len(n), int)
+        for _ in range(depth):
+            nodes = node.max() + 1
+            gain_best = np.full(nodes, 1e-12)
+            feature, edge = np.full(nodes, -1), np.zeros(nodes, int)
+            for i in range(b.shape[1]):
+                at = node * BINS + b[:, i]
+                gs, hs, ns = (np.bincount(at, v, nodes * BINS).reshape(nodes, BINS).cumsum(1) for v in (g, h, n))
+                gt, ht, nt = gs[:, -1:], hs[:, -1:], ns[:, -1:]
+                gain = gs**2 / (hs + l2) + (gt - gs) ** 2 / (ht - hs + l2) - gt**2 / (ht + l2)
+                gain[(ns < least) | (nt - ns < least)] = 0
+                e = gain.argmax(1)
+                better = gain[np.arange(nodes), e] > gain_best
+                gain_best[better], feature[better], edge[better] = gain[np.arange(nodes), e][better], i, e[better]
+            right = (feature[node] >= 0) & (b[np.arange(len(n)), np.maximum(feature[node], 0)] > edge[node])
+            _, node = np.unique(node * 2 + right, return_inverse=True)
+        leaf = -np.bincount(node, g) / (np.bincount(node, h) + l2)
+        f = f + rate * leaf[node]
+        now = loss(f)
+        if val_n.sum() == 0 or now < best:
+            best, kept, since = now, f.copy(), 0
+        elif (since := since + 1) >= patience:
+            break
+    return 1 / (1 + np.exp(-kept))
+
+
+def boosted_cells(placed: DataFrame, n_features: int, label: str, **how) -> DataFrame:
+    """(fold, b0, b1, ..., score): one fit a fold over counts of cells, at most ``BINS ** n_features``.
+
+    Rows are counted map-side by fold, cell and part before the shuffle, so a fold's task holds
+    its cells, whose number has a bound, and never its rows.
+    """
+    if BINS**n_features > CELLS:
+        raise ValueError(f"{n_features} features have up to {BINS**n_features} cells")
+    names = [f"b{i}" for i in range(n_features)]
+    up = F.col(label).cast("double")
+    aggs = [F.sum(F.when(F.col("part") == part, v).otherwise(0.0)).alias(f"{part}_{name}") for part in ("fit", "val") for name, v in (("n", F.lit(1.0)), ("up", up))]
+    cells = placed.groupBy("fold", *names).agg(*aggs)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        c = group.sort_values(names)
+        if c["fit_n"].sum() == 0:
+            return c[["fold", *names]].assign(score=np.nan)
+        found = boost(c[names].to_numpy(), *(c[x].to_numpy(float) for x in ("fit_n", "fit_up", "val_n", "val_up")), **how)
+        return c[["fold", *names]].assign(score=found)
+
+    return cells.groupBy("fold").applyInPandas(fit, ", ".join(["fold int", *(f"{n} int" for n in names), "score double"]))
+
+
+def arms(rows: DataFrame, folds: DataFrame, features: Sequence[str], label: str, rounds: int = 300) -> DataFrame:
+    """(fold, arm, score, label, outcome) of majority, balanced logistic (C = 0.1) and boosted trees.
 
-    ``rows`` carries ``pos`` (day position); ``folds`` is (fold, train_end, test_start, test_end).
+    ``rows`` carries ``pos`` (day position); ``folds`` are :func:`embargoed_folds`. Majority and
+    logistic are fitted on the fold's fitting rows, trees stop by the validation tail behind its
+    embargo. No fit loops over folds.
     """
     refuse_forward_names(features)
-    data = shared(VectorAssembler(inputCols=list(features), outputCol="x").transform(rows))
-    out = None
-    for fold, train_end, test_start, test_end in folds:
-        train = data.where(F.col("pos") < train_end)
-        test = data.where((F.col("pos") >= test_start) & (F.col("pos") < test_end))
-        share = train.agg(F.avg(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).alias("n")).first()
-        weight = F.when(F.col(label) == 1, 0.5 / share["p"]).otherwise(0.5 / (1 - share["p"]))
-        lr = LogisticRegression(featuresCol="x", labelCol=label, weightCol="w", regParam=1.0 / (0.1 * share["n"]), standardization=False, maxIter=100)
-        gbt = GBTClassifier(featuresCol="x", labelCol=label, maxDepth=3, stepSize=0.05, maxIter=20, seed=7)
-        scored = [("majority", test.withColumn("score", F.lit(float(share["p"]))))]
-        for name, model in (("logistic", lr.fit(train.withColumn("w", weight))), ("boosted", gbt.fit(train))):
-            scored.append((name, model.transform(test).withColumn("score", vector_to_array("probability")[1])))
-        for name, df in scored:
-            part = df.select(F.lit(fold).alias("fold"), F.lit(name).alias("arm"), "score", F.col(label).cast("int").alias("label"), "outcome")
-            out = part if out is None else out.unionByName(part)
-    return out
+    placed = shared(binned(in_folds(rows, folds), features))
+    y = F.col(label).cast("double")
+    shares = F.broadcast(placed.where("part = 'fit'").groupBy("fold").agg(F.avg(y).alias("__p")))
+    weighted = placed.join(shares, "fold").withColumn("__wt", F.when(y == 1, 0.5 / F.col("__p")).otherwise(0.5 / (1 - F.col("__p"))))
+    test = placed.where("part = 'test'")
+    _, weights = newton(weighted.where("part = 'fit'"), features, label, ["fold"], "l2", 0.1, weight="__wt")
+    names = [f"b{i}" for i in range(len(features))]
+    trees = boosted_cells(placed, len(features), label, rounds=rounds)
+    out = [
+        ("majority", test.join(shares, "fold").withColumn("score", F.col("__p"))),
+        ("logistic", scored(test, weights, features, ["fold"])),
+        ("boosted", test.join(trees, ["fold", *names])),
+    ]
+    parts = [df.select("fold", F.lit(name).alias("arm"), "score", F.col(label).cast("int").alias("label"), "outcome") for name, df in out]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

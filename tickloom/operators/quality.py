@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tickloom.operators.skew import exact_percentiles
+
 # Outlier threshold, its scale, and the number of example stamps.
 MAD_Z = 10.0
 MAD_SCALE = 0.6745
@@ -115,10 +117,11 @@ def findings(
             "ret": F.try_divide(F.col("close"), F.lag("close").over(w)) - 1,
         }
     )
-    med = grid.groupBy("symbol").agg(F.percentile("ret", F.lit(0.5)).alias("med"), F.count("ret").alias("n_ret"))
-    dev = grid.join(med, "symbol").withColumn("dev", F.abs(F.col("ret") - F.col("med")))
-    mad = dev.groupBy("symbol").agg(F.percentile("dev", F.lit(0.5)).alias("mad"))
-    scored = dev.join(mad, "symbol").withColumn(
+    med = exact_percentiles(grid, ["symbol"], "ret", {"med": 0.5})
+    n_ret = grid.groupBy("symbol").agg(F.count("ret").alias("n_ret"))
+    dev = grid.join(n_ret, "symbol").join(med, "symbol", "left").withColumn("dev", F.abs(F.col("ret") - F.col("med")))
+    mad = exact_percentiles(dev, ["symbol"], "dev", {"mad": 0.5})
+    scored = dev.join(mad, "symbol", "left").withColumn(
         "outlier",
         (F.col("n_ret") >= 2) & (F.col("mad") > 0) & (MAD_SCALE * F.col("dev") > MAD_Z * F.col("mad")),
     )

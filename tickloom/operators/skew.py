@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.session import cut_lineage
+
 SALTS = 16
 
 
@@ -38,32 +40,64 @@ def running_total(df: DataFrame, value: Column, order: Sequence[str], bucket: Co
     return inside.join(offsets, "__b").withColumn(out, F.col("__off") + F.col("__in")).drop("__b", "__v", "__in", "__off")
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], buckets: int = 4096) -> DataFrame:
+#: Cut points drawn from a bracket in a round, and distinct values of a bracket that one task may order.
+CUTS, ORDERED = 32, 50_000
+
+
+def _refined(rows: DataFrame, ranks: DataFrame, ordered: int) -> DataFrame:
+    """(k, seg, v, c, before): distinct values of brackets that hold a wanted rank, and the rows below each bracket.
+
+    ``rows`` are (k, v, c), distinct values with their counts; ``ranks`` (k, ranks). While a
+    bracket has more than ``ordered`` distinct values, cut points are drawn from its own values by
+    hash, values are counted between them, and the brackets of wanted ranks are kept. However
+    values crowd, cuts fall between them, so every round leaves about one in ``CUTS``.
+    """
+    rows = rows.withColumns({"seg": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    while True:
+        widest = rows.groupBy("k", "seg").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if widest <= ordered:
+            return rows
+        h = F.xxhash64("v", F.lit(widest))
+        at = F.struct("k", "seg").alias("at")
+        drawn = rows.groupBy(at, F.pmod(h, F.lit(CUTS)).alias("draw")).agg(F.min_by("v", h).alias("v"))
+        cuts = drawn.groupBy("at").agg(F.array_sort(F.collect_list("v")).alias("cuts"))
+        place = F.size(F.filter("cuts", lambda x: x <= F.col("v")))
+        parted = with_facts(rows.withColumn("at", at), cuts, "at").withColumn("part", place).drop("cuts", "at")
+        counted = parted.groupBy("k", "seg", "part").agg(F.sum("c").alias("n"), F.first("before").alias("base"))
+        below = F.coalesce(F.sum("n").over(W.partitionBy("k", "seg").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        starts = counted.withColumn("start", F.col("base") + below).join(ranks, "k")
+        kept = starts.where(F.exists("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n"))))
+        here = F.struct("k", "seg", "part").alias("at")
+        inside = with_facts(parted.withColumn("at", here), kept.select(here, "start"), "at")
+        rows = cut_lineage(inside.select("k", "v", "c", (F.col("seg") * (CUTS + 1) + F.col("part")).alias("seg"), F.col("start").alias("before")))
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], ordered: int = ORDERED) -> DataFrame:
     """Exact linear percentiles per key, with no task or buffer holding a whole key.
 
     Equal values are counted map-side first, so a value shared by a third of the rows is one row.
-    Distinct values are bucketed by a monotone map, bucket totals (one row per key and bucket)
-    give each bucket its starting rank, and values are ranked inside their bucket only.
+    The brackets that hold the wanted ranks are refined until a task can order one, for any number
+    of keys (none: one row) and however close values lie. Null values are left out, and keys
+    that have no others; a null key is a key like any other.
     """
     keys = list(keys)
-    v = F.col(value)
-    vals = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    squashed = F.col("__v") / (1 + F.abs("__v"))
-    vals = vals.withColumn("__b", F.floor((squashed + 1) / 2 * buckets).cast("int"))
-    totals = vals.groupBy(*keys, "__b").agg(F.sum("__c").alias("__t"))
-    run = W.partitionBy(*keys)
-    before = F.coalesce(F.sum("__t").over(run.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = totals.select(*keys, "__b", before.alias("__before"), F.sum("__t").over(run).alias("__n"))
-    inner = W.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    r = vals.join(placed, [*keys, "__b"]).withColumn("__hi", F.col("__before") + F.sum("__c").over(inner))
+    k = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    v = F.col(value).cast("double")
+    vals = cut_lineage(df.where(v.isNotNull()).groupBy(k.alias("k"), v.alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    sizes = vals.groupBy("k").agg(F.sum("c").alias("n"))
+    places = {name: F.lit(float(q)) * (F.col("n") - 1) for name, q in qs.items()}
+    wanted = [f(h).cast("long") for h in places.values() for f in (F.floor, F.ceil)]
+    ranks = cut_lineage(sizes.select("k", "n", F.array_distinct(F.array(*wanted)).alias("ranks")))
+    inner = W.partitionBy("k", "seg").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    r = _refined(vals, ranks.select("k", "ranks"), ordered).withColumn("hi", F.col("before") + F.sum("c").over(inner)).join(ranks, "k")
 
     def at(rank: Column) -> Column:
-        here = (F.col("__hi") - F.col("__c") <= rank) & (rank < F.col("__hi"))
-        return F.max(F.when(here, F.col("__v")))
+        here = (F.col("hi") - F.col("c") <= rank) & (rank < F.col("hi"))
+        return F.max(F.when(here, F.col("v")))
 
     aggs = []
-    for name, q in qs.items():
-        h = F.lit(q) * (F.col("__n") - 1)
+    for name, h in places.items():
         lo, hi = at(F.floor(h)), at(F.ceil(h))
         aggs.append((lo + F.max(h - F.floor(h)) * (hi - lo)).alias(name))
-    return r.groupBy(*keys).agg(*aggs)
+    out = r.groupBy("k").agg(*aggs)
+    return out.select("k.*", *qs) if keys else out.select(*qs)

@@ -216,14 +216,38 @@ def graph_cycles(spark, sf_dir):
     return G.cyclic_edges(e.unionByName(back))
 
 
-@query("independent_support", "M11")
-def independent_support(spark, sf_dir):
-    """Supporters of each node with directly linked ones collapsed (fold, tested by brute force)."""
+_SUPPORT = """
+WITH RECURSIVE sup AS (SELECT dst AS claim, src AS node, CAST(substr(src, 2) AS INTEGER) AS ord, row_number() OVER (PARTITION BY dst ORDER BY CAST(substr(src, 2) AS INTEGER)) AS k FROM edges),
+ high AS (SELECT src AS a, dst AS b FROM edges WHERE abs(1 - (CAST(substr(dst, 2) AS INTEGER) - CAST(substr(src, 2) AS INTEGER)) / 200) >= 0.7),
+ pair AS (SELECT a, b FROM high UNION SELECT b, a FROM high),
+ hit AS (SELECT s.claim, s.node, list(e.node) AS earlier FROM sup s JOIN pair ON pair.a = s.node JOIN sup e ON e.claim = s.claim AND e.node = pair.b AND e.ord < s.ord GROUP BY s.claim, s.node),
+ st(claim, k, kept) AS (SELECT DISTINCT claim, 0::BIGINT, []::VARCHAR[] FROM sup
+  UNION ALL SELECT s.claim, s.k, CASE WHEN list_has_any(st.kept, coalesce(h.earlier, []::VARCHAR[])) THEN st.kept ELSE list_append(st.kept, s.node) END
+  FROM st JOIN sup s ON s.claim = st.claim AND s.k = st.k + 1 LEFT JOIN hit h ON h.claim = s.claim AND h.node = s.node),
+ last AS (SELECT claim, max_by(kept, k) AS kept FROM st GROUP BY claim),
+ chosen AS (SELECT s.claim, s.node, s.ord, list_contains(last.kept, s.node) AS kept FROM sup s JOIN last ON last.claim = s.claim)"""
+
+
+def _chosen_support(spark, sf_dir):
     e = market.edges(spark, sf_dir)
     num = lambda c: F.substring(c, 2, 20).cast("int")
     supports = e.select(F.col("dst").alias("claim"), F.col("src").alias("node"), num(F.col("src")).alias("ord"))
     corr = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 - (num(F.col("dst")) - num(F.col("src"))) / 200).alias("r"))
-    return G.independent_support(supports, corr).withColumn("names", F.array_join("names", ","))
+    return G.independent_support(supports, corr)
+
+
+@query("independent_supporters", "M11", over("edges", _SUPPORT + """
+SELECT claim, node, ord, kept FROM chosen"""))
+def independent_supporters(spark, sf_dir):
+    """Every supporter of every node: whether it stands apart from the kept ones before it."""
+    return _chosen_support(spark, sf_dir)
+
+
+@query("independent_support", "M11", over("edges", _SUPPORT + """
+SELECT claim, count(*) AS claimed, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS discounted FROM chosen GROUP BY claim"""))
+def independent_support(spark, sf_dir):
+    """Supporters of each node, claimed and kept once directly linked ones are collapsed."""
+    return G.support_counts(_chosen_support(spark, sf_dir))
 
 
 @query("graph_contradictions", "M12", over("edges", """

@@ -96,12 +96,46 @@ def book_performance(spark, sf_dir):
     return metrics.performance(books.ledger(_targets(spark, sf_dir), ["symbol"]), ["symbol"])
 
 
-@query("book_round_trips", "R14")
+def _unit_fills(spark, sf_dir):
+    """Momentum positions of one or two units, long or flat in the first half of a year and long or short in the second, dealt at the close that decides."""
+    w = W.partitionBy("symbol").orderBy("day")
+    sign = F.when(F.col("close") > F.lag("close", 30).over(w), 1.0).when(F.month("day") <= 6, 0.0).otherwise(-1.0)
+    size = F.when(F.month("day") % 3 == 0, 2.0).otherwise(1.0)
+    held = market.walk_1d(spark, sf_dir).select("symbol", "day", "close", F.when(F.lag("close", 30).over(w).isNull(), 0.0).otherwise(sign * size).alias("units"))
+    qty = F.col("units") - F.coalesce(F.lag("units").over(w), F.lit(0.0))
+    moved = held.select("symbol", F.col("day").alias("at"), qty.alias("qty"), F.col("close").alias("price"))
+    return moved.where("qty != 0").withColumn("fee", books.COST_RATE * F.abs("qty") * F.col("price"))
+
+
+_TRIPS = """
+WITH RECURSIVE u AS (SELECT symbol, day, close, CASE WHEN lag(close, 30) OVER w IS NULL THEN 0.0 ELSE CASE WHEN close > lag(close, 30) OVER w THEN 1.0 WHEN month(day) <= 6 THEN 0.0 ELSE -1.0 END * CASE WHEN month(day) % 3 = 0 THEN 2.0 ELSE 1.0 END END::DOUBLE AS units FROM walk_1d WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+ q AS (SELECT symbol, day, close, units - coalesce(lag(units) OVER (PARTITION BY symbol ORDER BY day), 0) AS qty FROM u),
+ f AS (SELECT *, abs(qty) * close * CAST(0.0011 AS DOUBLE) AS fee, row_number() OVER (PARTITION BY symbol ORDER BY day) AS k FROM q WHERE qty <> 0),
+ st(symbol, k, day, pos, cost, entry, pnl, done_entry, done) AS (
+  SELECT DISTINCT symbol, 0::BIGINT, NULL::DATE, 0::DOUBLE, 0::DOUBLE, NULL::DATE, 0::DOUBLE, NULL::DATE, NULL::DOUBLE FROM f
+  UNION ALL
+  SELECT f.symbol, f.k, f.day, s.pos + f.qty,
+   CASE WHEN s.pos * f.qty >= 0 THEN (s.cost * abs(s.pos) + f.close * abs(f.qty)) / (abs(s.pos) + abs(f.qty)) WHEN s.pos * (s.pos + f.qty) < 0 THEN f.close ELSE s.cost END,
+   CASE WHEN s.pos = 0 OR s.pos * (s.pos + f.qty) < 0 THEN f.day ELSE s.entry END,
+   CASE WHEN s.pos = 0 THEN -f.fee WHEN s.pos * f.qty > 0 THEN s.pnl - f.fee WHEN s.pos * (s.pos + f.qty) <= 0 THEN 0 ELSE s.pnl + sign(s.pos) * abs(f.qty) * (f.close - s.cost) - f.fee END,
+   CASE WHEN s.pos <> 0 AND s.pos * (s.pos + f.qty) <= 0 THEN s.entry END,
+   CASE WHEN s.pos <> 0 AND s.pos * (s.pos + f.qty) <= 0 THEN s.pnl + s.pos * (f.close - s.cost) - f.fee END
+  FROM st s JOIN f ON f.symbol = s.symbol AND f.k = s.k + 1),
+ trips AS (SELECT symbol, done_entry AS entry_at, day AS exit_at, done AS pnl FROM st WHERE done IS NOT NULL)"""
+
+
+@query("book_trips", "R14", over("walk_1d", _TRIPS + """
+SELECT symbol, CAST(entry_at AS VARCHAR) AS entry_at, CAST(exit_at AS VARCHAR) AS exit_at, R6(pnl) AS pnl FROM trips"""))
+def book_trips(spark, sf_dir):
+    """Every completed trip, against an average-cost ledger kept fill by fill in SQL."""
+    return metrics.round_trips(_unit_fills(spark, sf_dir), ["symbol"])
+
+
+@query("book_round_trips", "R14", over("walk_1d", _TRIPS + """
+SELECT symbol, count(*) AS trips, R6(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END)) AS win_rate, R6(coalesce(sum(pnl) FILTER (pnl > 0), 0) / nullif(abs(sum(pnl) FILTER (pnl <= 0)), 0)) AS profit_factor FROM trips GROUP BY symbol"""))
 def book_round_trips(spark, sf_dir):
-    """Round trips, win rate and profit factor of the ledger's fills (checked by brute force in tests)."""
-    s = S.single_name_signals(market.walk_1d(spark, sf_dir)).withColumn("target", F.col("ts_momentum"))
-    trips = metrics.round_trips(books.fills(s, ["symbol"]), ["symbol"])
-    return metrics.trip_summary(trips, ["symbol"])
+    """Trips, win rate and profit factor of unit momentum positions."""
+    return metrics.trip_summary(metrics.round_trips(_unit_fills(spark, sf_dir), ["symbol"]), ["symbol"])
 
 
 @query("risk_capped_targets", "P20", over("walk_1d", _LEDGER + """,
@@ -253,21 +287,39 @@ def rotation_book(spark, sf_dir):
 GRID = [7.0, 14.0, 30.0, 60.0]
 
 
+WARMUP, TRAIN, TEST = 61, 365, 90
+
+
 def _walk_forward(spark, sf_dir):
     cols = {p: f"m{int(p)}" for p in GRID}
     sig = market.walk_1d(spark, sf_dir).select(
-        "symbol", "day", "open", "close", "volume", *(S.ts_momentum(int(p)).alias(c) for p, c in cols.items())
+        "symbol", "day", S.ret().alias("ret"), *(S.ts_momentum(int(p)).alias(c) for p, c in cols.items())
     )
-    return books.walk_forward(sig, cols, warmup=61, train=365, test=90)
+    return books.walk_forward(sig, cols, warmup=WARMUP, train=TRAIN, test=TEST)
+
+
+_FORWARD = f"""
+WITH a AS (SELECT symbol, day, close / lag(close) OVER w - 1 AS ret, close / lag(close, 7) OVER w AS g7, close / lag(close, 14) OVER w AS g14, close / lag(close, 30) OVER w AS g30, close / lag(close, 60) OVER w AS g60 FROM walk_1d WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+ l AS (SELECT symbol, day, ret, p, pl, CASE WHEN g > 1 THEN 1.0 ELSE 0.0 END AS tg FROM a, LATERAL (VALUES (7.0, 1, g7), (14.0, 2, g14), (30.0, 3, g30), (60.0, 4, g60)) v(p, pl, g)),
+ h AS (SELECT symbol, day, p, pl, coalesce(lag(tg) OVER w, 0)::DOUBLE AS held, coalesce(lag(tg) OVER w * ret, 0) - CAST(0.0011 AS DOUBLE) * abs(coalesce(lag(tg) OVER w, 0) - coalesce(lag(tg, 2) OVER w, 0)) AS r,
+  row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol, p) AS n FROM l WINDOW w AS (PARTITION BY symbol, p ORDER BY day)),
+ k AS (SELECT symbol, max(n) AS n FROM h GROUP BY symbol),
+ wn AS (SELECT symbol, CAST(v AS INTEGER) AS win, v * {TEST} AS a0 FROM k, LATERAL (SELECT unnest(range(0, greatest(0, (n - {TRAIN + TEST}) // {TEST} + 1))) AS v) q WHERE v * {TEST} + {TRAIN + TEST} <= n),
+ sh AS (SELECT h.symbol, win, p, pl, CASE WHEN count(DISTINCT r) > 1 THEN avg(r) / stddev_samp(r) * sqrt(365) ELSE 0.0 END AS sharpe FROM h JOIN wn ON h.symbol = wn.symbol AND i >= a0 + {WARMUP} AND i < a0 + {TRAIN} GROUP BY h.symbol, win, p, pl),
+ ch AS (SELECT symbol, win, p, sharpe FROM sh QUALIFY row_number() OVER (PARTITION BY symbol, win ORDER BY round(sharpe, 9) DESC, pl) = 1),
+ oos AS (SELECT h.symbol, h.day, ch.win, ch.p, ch.sharpe, h.held, h.r, 10000 * exp(sum(ln(1 + h.r)) OVER (PARTITION BY h.symbol ORDER BY h.day ROWS UNBOUNDED PRECEDING)) AS equity
+  FROM h JOIN wn ON h.symbol = wn.symbol AND h.i >= a0 + {TRAIN} AND h.i < a0 + {TRAIN + TEST} JOIN ch ON ch.symbol = h.symbol AND ch.win = wn.win AND ch.p = h.p)"""
 
 
-@query("walk_forward_equity", "P26 R27")
+@query("walk_forward_equity", "P26 R27", over("walk_1d", _FORWARD + """
+SELECT symbol, CAST(day AS VARCHAR) AS day, win AS window, R6(p) AS param, R6(sharpe) AS train_sharpe, R6(held) AS exposure, R6(r) AS ret, R6(equity) AS equity FROM oos"""))
 def walk_forward_equity(spark, sf_dir):
-    """Stitched out-of-sample equity of the walk-forward choice (checked by brute force in tests)."""
+    """Stitched out-of-sample equity of the walk-forward choice."""
     return _walk_forward(spark, sf_dir)
 
 
-@query("candidate_portfolio", "P27")
+@query("candidate_portfolio", "P27", over("walk_1d", _FORWARD + """
+SELECT CAST(day AS VARCHAR) AS day, R6(avg(r)) AS ret, count(*) AS n FROM oos GROUP BY day"""))
 def candidate_portfolio(spark, sf_dir):
     """Equal-weight daily returns of the stitched books, aligned by date."""
     return books.equal_weight_returns(_walk_forward(spark, sf_dir))
@@ -439,24 +491,8 @@ def lookahead_check(spark, sf_dir):
 WITH e AS (SELECT event_id, event_type, ts FROM events WHERE event_type <> 'view'), b AS (SELECT ts AS bts, close FROM bars_1h WHERE symbol = 'view')
 SELECT e.event_id, strftime(b.bts, '%Y-%m-%d %H:%M:%S') AS bar, R6(b.close) AS close FROM e ASOF LEFT JOIN b ON e.ts >= b.bts"""))
 def asof_leader_price(spark, sf_dir):
-    """Leader bar in force at every other event: union plus carried-forward value, no range join.
-
-    The key is (leader, day bucket) with the last bar of earlier days carried in, so one busy
-    leader is split by day rather than sorted in one task.
-    """
-    ev = market.table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", "ts")
-    bars = market.bars_1h(spark, sf_dir).where("symbol = 'view'").select(F.col("ts").cast("timestamp_ntz").alias("bar"), "close")
-    day = lambda c: F.to_date(c)
-    per_day = bars.groupBy(day("bar").alias("d")).agg(F.max_by(F.struct("bar", "close"), "bar").alias("v"))
-    days = ev.select(day("ts").alias("d")).union(bars.select(day("bar").alias("d"))).distinct()
-    from pyspark.sql import Window as W
-
-    carried = days.join(per_day, "d", "left").select(
-        "d", F.last("v", ignorenulls=True).over(W.orderBy("d").rowsBetween(W.unboundedPreceding, -1)).alias("v")
-    ).where("v is not null")
-    opening = carried.select("d", F.col("d").cast("timestamp_ntz").alias("at"), F.col("v.bar").alias("bar"), F.col("v.close").alias("close"))
-    right = opening.unionByName(bars.select(day("bar").alias("d"), F.col("bar").alias("at"), "bar", "close"))
-    # A bar stamped exactly at midnight beats the carried row of the same instant.
-    right = right.groupBy("d", "at").agg(F.max(F.struct("bar", "close")).alias("v")).select("d", "at", "v.bar", "v.close")
-    out = asof.asof_join(ev.withColumn("d", day("ts")), right, "d", "ts", "at", ["bar", "close"])
+    """Leader bar in force at every other event."""
+    ev = market.table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    bars = market.bars_1h(spark, sf_dir).where("symbol = 'view'").select(F.col("ts").cast("timestamp").alias("bar"), "close")
+    out = asof.asof_join(ev, bars.withColumn("at", F.col("bar")), [], "ts", "at", ["bar", "close"])
     return out.select("event_id", "bar", "close")

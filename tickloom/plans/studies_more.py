@@ -15,6 +15,7 @@ from tickloom.operators import episodes as N
 from tickloom.operators import metrics
 from tickloom.operators import signals as S
 from tickloom.operators.cells import Cell, two_group_days
+from tickloom.operators.skew import exact_percentiles
 from tickloom.plans.oracle import hash_start, over, percentile_rank, rolling, two_group
 from tickloom.plans.studies_daily import _case, _obs
 from tickloom.registry import query
@@ -51,7 +52,7 @@ def study_incremental_features(spark, sf_dir):
 # --- cross-venue ----------------------------------------------------------------------------------------
 
 SIGNALS = ("raw_premium", "adj_premium", "dispersion", "peg")
-PCT, VENUE_H, GAP, FLOOR = 30, (1, 7), 7, 1000.0
+PCT, VENUE_H, GAP, FLOOR = 90, (1, 7, 30), 7, 1000.0
 
 
 def venue_panel(spark, sf_dir):
@@ -94,7 +95,7 @@ _VENUE = f"""WITH l AS (SELECT symbol, day, max(close) FILTER (WHERE venue = 'A'
  br AS (SELECT *, CASE WHEN date_diff('day', lag(day) OVER w, day) > {GAP} THEN 1 ELSE 0 END AS nb FROM s WINDOW w AS (PARTITION BY symbol ORDER BY day)),
  sg AS (SELECT *, sum(nb) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING) AS seg FROM br),
  sz AS (SELECT *, count(*) OVER (PARTITION BY symbol, seg) AS sn FROM sg),
- v AS (SELECT *, lead(close, 1) OVER w / close - 1 AS fwd1, lead(close, 7) OVER w / close - 1 AS fwd7, close / lag(close, 1) OVER w - 1 AS trail1, close / lag(close, 7) OVER w - 1 AS trail7,
+ v AS (SELECT *, {", ".join(f"lead(close, {h}) OVER w / close - 1 AS fwd{h}" for h in VENUE_H)}, close / lag(close, 1) OVER w - 1 AS trail1, close / lag(close, 7) OVER w - 1 AS trail7,
   {", ".join(f"{percentile_rank(s, PCT, by='symbol, seg')} AS pct_{s}" for s in SIGNALS)} FROM sz WHERE sn > {PCT + max(VENUE_H)} WINDOW w AS (PARTITION BY symbol, seg ORDER BY day))"""
 
 
@@ -110,7 +111,7 @@ def _venue_cells():
     (f"{s}_{h}d", f"v WHERE fwd{h} IS NOT NULL AND pct_{s} IS NOT NULL", _case(f"pct_{s} >= 0.90", f"fwd{h}"), _case(f"pct_{s} <= 0.10", f"fwd{h}"))
     for s in SIGNALS for h in VENUE_H]), n_boot=5000, seed=68)))
 def study_cross_venue(spark, sf_dir):
-    """Four signals by two horizons, high against low readings."""
+    """Four signals by three horizons, high against low readings."""
     return R.two_group_ci(two_group_days(venue_panel(spark, sf_dir), _venue_cells()), n_boot=5000, seed=68)
 
 
@@ -194,7 +195,8 @@ SELECT R6(corr(CASE WHEN trail7 IS NOT NULL THEN raw_premium END, trail1)) AS co
 def venue_momentum_overlap(spark, sf_dir):
     """Correlation with trailing returns, and the effect with the extreme deciles removed."""
     p = shared(venue_panel(spark, sf_dir))
-    t = p.withColumn("q", p.agg(F.percentile("trail7", F.array(F.lit(0.1), F.lit(0.9)))).scalar())
+    cuts = exact_percentiles(p, [], "trail7", {"lo": 0.1, "hi": 0.9})
+    t = p.withColumn("q", cuts.select(F.array("lo", "hi")).scalar())
     mid = F.coalesce(F.col("trail7").between(F.col("q")[0], F.col("q")[1]), F.lit(False))
     pct, y = F.col("pct_raw_premium"), F.col("fwd7")
     return t.agg(
@@ -603,10 +605,36 @@ def condition_matrix(spark, sf_dir):
     return N.condition_matrix(p, conds, "ret")
 
 
-@query("guarded_window", "N8", over("walk_1d", """
-SELECT CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, min(day) <= DATE '1999-07-31' AND max(day) >= DATE '1999-07-01' AS refused FROM walk_1d"""))
+_GUARDED = """
+WITH f AS (SELECT 'whole, no reference' AS frame, symbol, day, close FROM walk_1d UNION ALL SELECT 'whole, with reference', symbol, day, close FROM walk_1d
+  UNION ALL SELECT 'before, no reference', symbol, day, close FROM walk_1d WHERE day < DATE '1999-07-01'),
+ r AS (SELECT frame, frame LIKE '%no reference' AND min(day) <= DATE '1999-07-31' AND max(day) >= DATE '1999-07-01' AS refused FROM f GROUP BY frame)"""
+
+
+def _guarded(spark, sf_dir):
+    p = market.walk_1d(spark, sf_dir).select("symbol", "day", "close")
+    guard = ("1999-07-01", "1999-07-31")
+    return {
+        "whole, no reference": (p, guard, None),
+        "whole, with reference": (p, guard, "H68"),
+        "before, no reference": (p.where("day < '1999-07-01'"), guard, None),
+    }
+
+
+@query("guarded_window", "N8", over("walk_1d", _GUARDED + """
+SELECT f.frame, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, any_value(refused) AS refused FROM f JOIN r ON f.frame = r.frame GROUP BY f.frame"""))
 def guarded_window(spark, sf_dir):
-    return N.refuse_window(market.walk_1d(spark, sf_dir), "1999-07-01", "1999-07-31")
+    """Whether a frame may be read: one that overlaps the guarded month needs a reference."""
+    parts = [N.refuse_window(p, *guard, reference).withColumn("frame", F.lit(name)) for name, (p, guard, reference) in _guarded(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("guarded_rows", "N8", over("walk_1d", _GUARDED + """
+SELECT f.frame, symbol, count(*) AS n, R6(sum(close)) AS total FROM f JOIN r ON f.frame = r.frame WHERE NOT refused GROUP BY f.frame, symbol"""))
+def guarded_rows(spark, sf_dir):
+    """What the same frames hand out: a refused one has no rows."""
+    parts = [N.withheld(p, *guard, reference).withColumn("frame", F.lit(name)) for name, (p, guard, reference) in _guarded(spark, sf_dir).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("frame", "symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("total"))
 
 
 # --- features: robust z, channels, barriers, pair correlation ------------------------------------------------
