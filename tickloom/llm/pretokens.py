@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 # A letter of these ranges is a letter in every Unicode version that a tokenizer may follow.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_LETTERS}]+)([.,]*)(?:(\n)([{_LETTERS}]+)([.,]*))?")
-_GLUED = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
 MEMO = 400_000
@@ -41,7 +40,9 @@ def units(text: str) -> list[str]:
 
     All units but the first stand for a space and themselves.
     """
-    return _CUT.split(text) if _GLUED.search(text) else text.split(" ")
+    parts = text.split(" ")
+    # A space before other white space, or at the end, is no cut.
+    return _CUT.split(text) if "" in parts or any(map(str.isspace, [p[0] for p in parts])) else parts
 
 
 def pieces(unit: str) -> Iterator[str] | None:

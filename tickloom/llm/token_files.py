@@ -5,6 +5,7 @@ the vocabulary needs them), least byte first. The index is parted by key hash. E
 minimal perfect hash of its keys (levels of bit arrays: a key is placed at the first level where
 no other key meets it) and, by the key's number, a 32-bit fingerprint of the key and the place of
 its ids. A lookup reads one part, tests a bit a level, compares the fingerprint and reads one slice.
+Shards are written as they come and read slice by slice, so neither is ever held whole.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ KEYS_A_PART = 100_000
 class Encoder:
     """Ids of a text as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = 2 * MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,9 +85,37 @@ def put(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     fs.move(half, path)
 
 
-def get(fs: pafs.FileSystem, path: str, start: int = 0, size: int | None = None) -> bytes:
+class Stream:
+    """A file written as it comes, that appears whole when it is closed; a repeated task leaves the same bytes."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        self.fs, self.path, self.half = fs, path, f"{path}.{uuid.uuid4().hex}"
+        self.out = fs.open_output_stream(self.half, buffer_size=1 << 20)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.half, self.path)
+
+
+def get(fs: pafs.FileSystem, path: str) -> bytes:
     with fs.open_input_file(path) as f:
-        return f.read_at(f.size() if size is None else size, start)
+        return f.read()
+
+
+def slices(f: pa.NativeFile, begins: np.ndarray, sizes: np.ndarray, most: int = 1 << 22) -> Iterator[bytes]:
+    """Slices of an open file, ascending: neighbours come in one read of about ``most`` bytes, gaps are not read."""
+    ends, at = begins + sizes, 0
+    while at < len(begins):
+        last = at
+        while last + 1 < len(begins) and begins[last + 1] - ends[last] < 4096 and ends[last + 1] - begins[at] <= most:
+            last += 1
+        data = f.read_at(int(ends[last] - begins[at]), int(begins[at]))
+        for i in range(at, last + 1):
+            yield data[int(begins[i] - begins[at]) : int(ends[i] - begins[at])]
+        at = last + 1
 
 
 def _mixed(h: np.ndarray, level: int) -> np.ndarray:
@@ -198,24 +227,24 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None, key: str
         encode = _encoder(path)
         tail = b"" if end_id is None else encode.packed(end_id)
         width = len(encode.packed(0))
-        shard, held, at, last, copy = None, [], 0, None, 0
+        shard, out, at, last, copy = None, None, 0, None, 0
         for batch in batches:
             rows: list[tuple] = []
             for k, t, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
-                    if shard is not None:
-                        put(fs, f"{root}/shards/{shard:08d}.ids", b"".join(held))
-                    shard, held, at, last = s, [], 0, ()
+                    if out is not None:
+                        out.close()
+                    shard, out, at, last = s, Stream(fs, f"{root}/shards/{s:08d}.ids"), 0, ()
                 copy = copy + 1 if k == last else 0
                 last = k
                 ids = encode(t) + tail
-                held.append(ids)
+                out.write(ids)
                 rows.append((k, copy, s, at, len(ids) // width))
                 at += len(ids) // width
             names = ["key", "copy", "shard", "offset", "n"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=names)
-        if shard is not None:
-            put(fs, f"{root}/shards/{shard:08d}.ids", b"".join(held))
+        if out is not None:
+            out.close()
 
     # Cut: what reads the places must not write the shards again.
     placed = cut(dealt.mapInArrow(shards, schema))
@@ -282,13 +311,13 @@ def _read(spark: SparkSession, folder: str, path: str, keys: DataFrame, column:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = place(folder)
-        at, data = None, b""
         for batch in batches:
             out = []
-            for shard, offset, n in zip(batch["shard"].to_pylist(), batch["offset"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                if shard != at:
-                    at, data = shard, get(fs, f"{root}/shards/{shard:08d}.ids")
-                out.append(made(np.frombuffer(data, f"<u{width}", n, offset * width)))
+            shards, offsets, sizes = (batch[c].to_numpy() for c in ("shard", "offset", "n"))
+            for shard in np.unique(shards):
+                here = shards == shard
+                with fs.open_input_file(f"{root}/shards/{shard:08d}.ids") as f:
+                    out += [made(np.frombuffer(d, f"<u{width}")) for d in slices(f, offsets[here] * width, sizes[here] * width)]
             yield pa.RecordBatch.from_arrays([*batch.select(["key", "copy", "start", "n"]).columns, pa.array(out, kind)], names=["key", "copy", "start", "n", name])
 
     asked = _hashed(keys.select(F.col("key").cast("long"), F.col("copy").cast("long")), parts)
