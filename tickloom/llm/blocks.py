@@ -39,10 +39,13 @@ def bit_sums(h: Column) -> list[Column]:
 
 
 def majority(n: Column) -> Column:
-    """Bit i is set if it is set in over half of the ``n`` longs that :func:`bit_sums` counted."""
-    low = F.lit((1 << 32) - 1)
-    parts = []
-    for i in range(32):
-        for place, count in ((i, F.col(f"bits_{i}").bitwiseAND(low)), (i + 32, F.shiftrightunsigned(f"bits_{i}", 32))):
-            parts.append(F.when(2 * count > n, F.lit(_signed(1 << place))).otherwise(F.lit(0).cast("long")))
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+    """Bit i is set if it is set in over half of the ``n`` longs that :func:`bit_sums` counted.
+
+    Both halves of a sum are compared at once: with bit 30 of a half set, it keeps that bit after
+    the least majority is taken from it exactly if it holds that many. ``n`` is below 2^30, as a
+    text of two gigabytes has fewer words, so no half borrows from the other.
+    """
+    high = F.lit((1 << 62) + (1 << 30))
+    least = (F.floor(n / 2) + 1).cast("long") * F.lit((1 << 32) + 1)
+    kept = [(F.col(f"bits_{i}").bitwiseOR(high) - least).bitwiseAND(high) for i in range(32)]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftrightunsigned(k, 30 - i) if i <= 30 else F.shiftleft(k, 1) for i, k in enumerate(kept)])

@@ -59,9 +59,15 @@ def _edits(a: str, b: str, bound: str) -> Column:
     return F.when(F.col(a) == F.col(b), 0).otherwise(distance_)
 
 
+# Edits tried first: the cost of a comparison grows with its bound, and most near copies are nearer than this.
+FEW = 16
+
+
 def _levenshtein(x: Column, y: Column, bound: Column) -> Column:
     """Edit distance up to a bound that is a column; -1 above it."""
-    return F.when(F.abs(F.length(x) - F.length(y)) > bound, -1).otherwise(F.call_function("levenshtein", x, y, bound))
+    far = F.when(bound <= FEW, -1).otherwise(F.call_function("levenshtein", x, y, bound))
+    near = let(F.call_function("levenshtein", x, y, F.least(bound, F.lit(FEW))), lambda d: F.when(d >= 0, d).otherwise(far))
+    return F.when(F.abs(F.length(x) - F.length(y)) > bound, -1).otherwise(near)
 
 
 def _bound(a: str, b: str, similarity: float) -> str:
@@ -214,8 +220,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     slim = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole(F.col(f"`{text}`"))).alias("print"), whole(F.col(f"`{text}`")).alias("text"))
-    nodes = cut(_nodes(_lines(slim)))
-    lost = _lost(slim, nodes, similarity, radius)
+    with freed_shuffles(docs.sparkSession):
+        nodes = cut(_nodes(_lines(slim)))
+        lost = _lost(slim, nodes, similarity, radius)
     marked = nodes.select("at.*", F.lit(True).alias("stays")).unionByName(lost.select("at.*", F.lit(False).alias("stays")))
     listed = marked.groupBy(F.col("doc").alias("__doc"), F.col("print").alias("__print")).agg(
         F.collect_list(F.when(F.col("stays"), F.col("pos"))).alias("__first"), F.collect_list(F.when(~F.col("stays"), F.col("pos"))).alias("__lost")
