@@ -20,12 +20,51 @@ def event_stream(spark, sf_dir):
     return e.withColumns({"ts": F.col("ts").cast("timestamp"), "size": F.regexp_extract("props", "([0-9]+)", 1).cast("double")})
 
 
-@query("stream_first_sightings", "T1 T7", over("sightings", """
-SELECT DISTINCT pool FROM sightings"""))
+#: Days of events that arrive together, and arrivals that every 40th event is behind.
+ARRIVAL_DAYS, BEHIND = 5, 2
+
+_ARRIVALS = f"""
+WITH RECURSIVE e AS (SELECT concat('U', user_id) AS pool, ts, event_id, date_diff('day', (SELECT min(ts) FROM events)::DATE, ts::DATE) // {ARRIVAL_DAYS} + CASE WHEN event_id % 40 = 0 THEN {BEHIND} ELSE 0 END AS arrival FROM events),
+ bn AS (SELECT arrival, row_number() OVER (ORDER BY arrival) - 1 AS b, max(ts) AS seen FROM e GROUP BY arrival),
+ ck AS (SELECT arrival, b, max(seen) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clock FROM bn),
+ k AS (SELECT e.*, b, clock IS NOT NULL AND ts < clock - INTERVAL 3 DAY AS late FROM e JOIN ck ON e.arrival = ck.arrival),
+ c AS (SELECT b, pool, min({{'t': ts, 'e': event_id}}) AS f FROM k WHERE NOT late GROUP BY b, pool),
+ st(b, pool, last, got, id) AS (SELECT CAST(-1 AS BIGINT), pool, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::BIGINT FROM (SELECT DISTINCT pool FROM e)
+  UNION ALL SELECT s.b + 1, s.pool, CASE WHEN f IS NOT NULL AND (s.last IS NULL OR s.last <= f.t - INTERVAL 3 DAY) THEN f.t ELSE s.last END,
+   CASE WHEN f IS NOT NULL AND (s.last IS NULL OR s.last <= f.t - INTERVAL 3 DAY) THEN f.t END, CASE WHEN f IS NOT NULL AND (s.last IS NULL OR s.last <= f.t - INTERVAL 3 DAY) THEN f.e END
+  FROM st s LEFT JOIN c ON c.b = s.b + 1 AND c.pool = s.pool WHERE s.b < (SELECT max(b) FROM bn))"""
+
+
+def _registered(spark, sf_dir):
+    """The registry after all arrivals, one batch each; the third batch is handed over twice."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    e = market.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    start = F.to_date(e.agg(F.min("ts")).scalar())
+    arrival = F.floor(F.datediff("ts", start) / ARRIVAL_DAYS).cast("int") + F.when(F.col("event_id") % 40 == 0, BEHIND).otherwise(0)
+    e = e.withColumn("arrival", arrival)
+    write = T.replayed(T.register_batches(f"{root}/out"), 2)
+    # The stream stops when it has read what is there and goes on from its state when more has come.
+    for at in sorted(r[0] for r in e.select("arrival").distinct().collect()):
+        e.where(F.col("arrival") == at).drop("arrival").write.parquet(f"{root}/in/{at:04d}")
+        stream = T.events(spark, f"{root}/in/*", "event_id bigint, user_id bigint, ts timestamp")
+        stream = stream.select(F.concat(F.lit("U"), "user_id").alias("pool"), F.col("ts").alias("observed_at"), "event_id")
+        T.settle_batches(stream, write, f"{root}/state")
+    return f"{root}/out"
+
+
+@query("stream_first_sightings", "T1 T7", over("sightings", _ARRIVALS + """
+SELECT pool, strftime(got, '%Y-%m-%d %H:%M:%S') AS observed_at, id AS event_id, CAST(b AS INTEGER) AS batch FROM st WHERE got IS NOT NULL"""))
 def stream_first_sightings(spark, sf_dir):
-    """Registered pools. The file arrives as one batch, inside which every pool is new once."""
-    s = event_stream(spark, sf_dir).select(F.concat(F.lit("U"), "user_id").alias("pool"), F.col("ts").alias("observed_at"))
-    return T.settle(T.register_first_sightings(s), ("dt",)).select("pool")
+    """What every batch registered: the kept stamp and event of each pool."""
+    out = spark.read.schema("pool string, observed_at timestamp, event_id bigint, batch int").parquet(f"{_registered(spark, sf_dir)}/registry")
+    return out.select("pool", "observed_at", "event_id", "batch")
+
+
+@query("stream_late_rows", "T7", over("sightings", _ARRIVALS + """
+SELECT CAST(b AS INTEGER) AS batch, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS seen, count(*) FILTER (late) AS late FROM k GROUP BY b"""))
+def stream_late_rows(spark, sf_dir):
+    """Latest time and late rows of every batch."""
+    return spark.read.schema("seen timestamp, late bigint, batch int").parquet(f"{_registered(spark, sf_dir)}/clock").select("batch", "seen", "late")
 
 
 @query("stream_resample_6h", "T4 B2", over("bars_1h", """
@@ -96,17 +135,17 @@ def stream_quality_gate(spark, sf_dir):
 
 
 @query("stream_panel_pass", "T2", over("sightings", """
-WITH f AS (SELECT pool, min_by({'p': price, 'l': liquidity, 'a': alive}, {'t': observed_at, 'e': event_id}) AS c FROM sightings GROUP BY pool), lt AS (SELECT pool, max_by({'p': price, 'a': alive}, observed_at) AS s FROM sightings WHERE alive GROUP BY pool)
+WITH f AS (SELECT DISTINCT pool FROM sightings), lt AS (SELECT pool, max_by({'p': price, 'a': alive}, observed_at) AS s FROM sightings GROUP BY pool)
 SELECT u.pool, R6(s.p) AS price, coalesce(s.a, FALSE) AS alive FROM (SELECT pool FROM f UNION SELECT 'G' || s_suppkey FROM supplier) u LEFT JOIN lt ON u.pool = lt.pool"""))
 def stream_panel_pass(spark, sf_dir):
-    """One pass over a tracked cohort; pools without a live state are written as gone."""
+    """One pass over a tracked cohort: the newest state of every pool, dead ones too; pools without one are written as gone."""
     root = f"{shared_folder(spark)}/{uuid.uuid4().hex}/panel"
     cohort = market.sightings(spark, sf_dir).select("pool").unionByName(
         market.table(spark, sf_dir, "supplier").select(F.concat(F.lit("G"), F.col("s_suppkey")).alias("pool"))
     ).distinct()
-    s = event_stream(spark, sf_dir).where("event_type <> 'error'").select(
+    s = event_stream(spark, sf_dir).select(
         F.concat(F.lit("U"), "user_id").alias("pool"), F.col("ts").alias("observed_at"), F.col("value").alias("price"),
-        (100 * F.col("size")).alias("liquidity"), F.lit(True).alias("alive"),
+        (100 * F.col("size")).alias("liquidity"), (F.col("event_type") != "error").alias("alive"),
     )
     T.settle_batches(s, T.append_panel(cohort, root, lambda batch: "2024-02-01"))
     return spark.read.parquet(f"{root}/pass=*").select("pool", "price", "alive")

@@ -41,6 +41,43 @@ def register_first_sightings(stream: DataFrame, at: str = "observed_at", key: st
     return kept.withColumn("dt", F.to_date(at))
 
 
+def register_batches(path: str, at: str = "observed_at", key: str = "pool", memory_days: int = 3) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of a first-sighting registry whose kept rows are defined whatever the order inside a batch.
+
+    Rows more than the memory behind the latest time of earlier batches are late: they are counted
+    and not registered. Of the others the earliest of each key (then the smallest other columns)
+    registers unless an earlier batch registered the key within the memory before it. Registry,
+    count and clock of a batch are written under its id and only those of smaller ids are read,
+    so a replayed batch writes the same. Partitions by date keep the look-back to the memory.
+    """
+    memory = F.expr(f"INTERVAL {memory_days} DAYS")
+
+    def earlier(spark: SparkSession, kind: str, batch_id: int, schema: str) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], f"{schema}, batch int")
+        return spark.read.schema(schema + ", batch int").parquet(f"{path}/{kind}").where(F.col("batch") < batch_id)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = batch.persist()
+        try:
+            clock = earlier(spark, "clock", batch_id, "seen timestamp, late bigint").agg(F.max("seen")).first()[0]
+            late = F.lit(False) if clock is None else F.col(at) < F.lit(clock) - memory
+            rest = [c for c in batch.columns if c not in (at, key)]
+            first = own.where(~late).groupBy(key).agg(F.min(F.struct(at, *rest)).alias("f")).select(key, "f.*")
+            oldest = own.where(~late).agg(F.date_sub(F.to_date(F.min(at)), memory_days)).first()[0]
+            known = earlier(spark, "registry", batch_id, f"{key} {batch.schema[key].dataType.simpleString()}, {at} timestamp, dt date").where(F.col("dt") >= F.lit(oldest))
+            known = known.groupBy(key).agg(F.max(at).alias("__last"))
+            fresh = first.join(known, key, "left").where(F.col("__last").isNull() | (F.col("__last") <= F.col(at) - memory)).drop("__last")
+            fresh.withColumn("dt", F.to_date(at)).write.mode("overwrite").partitionBy("dt").option("partitionOverwriteMode", "static").parquet(f"{path}/registry/batch={batch_id}")
+            told = own.agg(F.max(at).alias("seen"), F.count_if(late).alias("late"))
+            told.write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
+        finally:
+            own.unpersist()
+
+    return write
+
+
 def resample(stream: DataFrame, source: str, target: str, delay: str = "1 hour") -> DataFrame:
     """Complete coarser bars, emitted once their window is past the watermark."""
     factor = B.INTERVAL_MS[target] // B.INTERVAL_MS[source]
@@ -166,8 +203,18 @@ def settle(stream: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def settle_batches(stream: DataFrame, write: Callable[[DataFrame, int], None]) -> None:
-    """Run a ``foreachBatch`` writer over what is available."""
-    root = f"{shared_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+def replayed(write: Callable[[DataFrame, int], None], which: int) -> Callable[[DataFrame, int], None]:
+    """The writer with one batch handed to it twice, as after a failure before the batch was noted."""
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        for _ in range(2 if batch_id == which else 1):
+            write(batch, batch_id)
+
+    return twice
+
+
+def settle_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str | None = None) -> None:
+    """Run a ``foreachBatch`` writer over what is available; with ``state``, over what came since the last run."""
+    state = state or f"{shared_folder(stream.sparkSession)}/{uuid.uuid4().hex}/state"
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
