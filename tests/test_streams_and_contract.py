@@ -62,6 +62,30 @@ def test_gate_quarantines_whole_symbols(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad/*/rows")).count() == 1
 
 
+def test_registry_batches_forget_count_late_rows_and_replay(spark, tmp_path):
+    """Batches against a walk: memory, late rows, order inside a batch, a replay that changes nothing."""
+    at = lambda days: T0 + dt.timedelta(days=days)
+    batches = [
+        [("a", at(1), 5), ("a", at(0.5), 9), ("b", at(2), 1)],
+        [("a", at(3), 2), ("c", at(4), 3), ("c", at(4), 2), ("d", at(-2), 4)],  # d is four days behind the clock of two
+        [("a", at(3.6), 6), ("b", at(1.5), 7), ("c", at(5), 8), ("e", at(0.9), 9)],  # e is late, b is known
+        [],
+        [("c", at(8), 1), ("a", at(6.7), 2)],
+    ]
+    write = T.register_batches(str(tmp_path))
+    schema = "pool string, observed_at timestamp, event_id bigint"
+    registry = spark.read.schema(schema + ", batch int")
+    for i, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), i)
+    read = lambda: {(r["batch"], r["pool"], r["event_id"]) for r in registry.parquet(f"{tmp_path}/registry").collect()}
+    want = {(0, "a", 9), (0, "b", 1), (1, "c", 2), (2, "a", 6), (4, "a", 2), (4, "c", 1)}
+    assert read() == want
+    clock = {r["batch"]: r["late"] for r in spark.read.schema("seen timestamp, late bigint, batch int").parquet(f"{tmp_path}/clock").collect()}
+    assert clock == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0}
+    write(spark.createDataFrame(batches[1], schema), 1)
+    assert read() == want
+
+
 def test_contract_shapes():
     q, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 150
