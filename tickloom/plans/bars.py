@@ -96,7 +96,9 @@ def stream_end_of_day(spark, sf_dir):
 @query("wide_closes", "B7 J3", over("walk_1d", "SELECT CAST(day AS VARCHAR) AS day, " + ", ".join(
     f"R6(max(CASE WHEN symbol = '{s}' THEN close END)) AS {s}" for s in SYMBOLS) + " FROM walk_1d GROUP BY day"))
 def wide_closes(spark, sf_dir):
-    return B.wide(market.walk_1d(spark, sf_dir), "close", SYMBOLS)
+    bars = market.walk_1d(spark, sf_dir)
+    names = sorted(r[0] for r in bars.select("symbol").distinct().collect())  # the columns of the matrix
+    return B.wide(bars, "close", names)
 
 
 @query("funding_daily", "B8", over("funding", """

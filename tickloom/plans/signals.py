@@ -9,6 +9,7 @@ from tickloom.functions import features as X
 from tickloom.operators import asof, books, metrics, pairs
 from tickloom.operators import crosssection as K
 from tickloom.operators import signals as S
+from tickloom.operators.skew import exact_percentiles
 from tickloom.plans.oracle import over, rolling
 from tickloom.registry import query
 from tickloom.session import shared
@@ -340,18 +341,20 @@ def parameter_grid_table(spark, sf_dir):
     long = books.stack_params(bars, cols, ["symbol", "day", "ret"]).withColumn("key", F.concat_ws("/", "symbol", "param"))
     r = long.select("symbol", "param", metrics.screen(long, "target", 0.0011, key="key").alias("r"))
     sh = r.groupBy("param", "symbol").agg((F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(365.0))).alias("sh"))
-    table = sh.groupBy("param").pivot("symbol", ["AF", "AO", "NF", "NO", "RF", "RO"]).agg(F.first("sh"))
-    return table.join(sh.groupBy("param").agg(F.percentile("sh", F.lit(0.5)).alias("median")), "param")
+    names = sorted(r[0] for r in sh.select("symbol").distinct().collect())  # the columns of the table
+    table = sh.groupBy("param").pivot("symbol", names).agg(F.first("sh"))
+    return table.join(exact_percentiles(sh, ["param"], "sh", {"median": 0.5}), "param")
 
 
 @query("current_target_table", "P28 J7", over("walk_1d", _SIG + """,
  x AS (SELECT symbol, max(day) AS day, max_by(close, day) AS close, max_by(vol_target, day) AS target, max_by(blend, day) AS blend FROM e GROUP BY symbol)
-SELECT symbol, CAST(day AS VARCHAR) AS day, R6(close) AS close, R6(target) AS target, R6(blend) AS blend, R6(target * 10000 / 6) AS notional,
- abs(target * 10000 / 6) >= 10000 * 0.005 AS trade, date_diff('day', DATE '2001-06-01', day) >= 90 AS reselect FROM x"""))
+SELECT symbol, CAST(day AS VARCHAR) AS day, R6(close) AS close, R6(target) AS target, R6(blend) AS blend, R6(target * 10000 / count(*) OVER ()) AS notional,
+ abs(target * 10000 / count(*) OVER ()) >= 10000 * 0.005 AS trade, date_diff('day', DATE '2001-06-01', day) >= 90 AS reselect FROM x"""))
 def current_target_table(spark, sf_dir):
     s = S.single_name_signals(market.walk_1d(spark, sf_dir))
     now = books.current_targets(s, {"target": "vol_target", "blend": "blend"})
-    notional = F.col("target") * 10000 / 6
+    # One row a symbol here: the account is shared by as many as there are.
+    notional = F.col("target") * 10000 / F.count(F.lit(1)).over(W.partitionBy())
     return now.withColumns(
         {
             "notional": notional,
