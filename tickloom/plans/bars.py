@@ -227,13 +227,30 @@ def lake_catalog(spark, sf_dir):
     return cat.join(lake.staleness_days(raw, "2003-01-01", "ts").select("symbol", "stale_days"), "symbol")
 
 
-@query("series_manifest", "A12 M9")
+_CONTENT = ["open", "close", "volume"]
+_DIGEST = """,
+ tx AS (SELECT symbol, day, md5(concat_ws('|', strftime(day, '%Y-%m-%d'), CAST(floor(open * 1000000.0 + 0.5) AS BIGINT), CAST(floor(close * 1000000.0 + 0.5) AS BIGINT), CAST(floor(volume * 1000000.0 + 0.5) AS BIGINT))) AS h FROM now)
+SELECT symbol, count(*) AS rows, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last,
+ concat(CAST(sum(('0x' || substr(h, 1, 15))::BIGINT) AS VARCHAR), '-', CAST(sum(('0x' || substr(h, 16, 15))::BIGINT) AS VARCHAR)) AS digest FROM tx GROUP BY symbol"""
+
+
+@query("series_manifest", "A12 M9", over("bars_1d", "WITH now AS (SELECT * FROM bars_1d)" + _DIGEST))
 def series_manifest(spark, sf_dir):
-    """Order-insensitive content digest per symbol, stable across rebuilds (a Spark hash: no SQL twin)."""
-    bars = market.bars_1d(spark, sf_dir)
-    spans = bars.groupBy("symbol").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    digest = Q.content_hash(bars.select("symbol", "day", "open", "close", "volume"), ["symbol"])
-    return digest.join(spans, "symbol").withColumn("digest", F.col("digest").cast("string"))
+    """Rows, span and an additive content digest per symbol, stable across rebuilds."""
+    return Q.manifest(Q.manifest_parts(market.bars_1d(spark, sf_dir), ["symbol"], "day", _CONTENT), ["symbol"])
+
+
+@query("manifest_after_upsert", "A12 M9 A2", over("bars_1d", """
+WITH new AS (SELECT symbol, day, open, close * 1.01 AS close, volume FROM bars_1d WHERE day BETWEEN DATE '1999-03-01' AND DATE '1999-04-15' AND symbol >= 'N'),
+ now AS (SELECT symbol, day, open, close, volume FROM bars_1d b WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.symbol = b.symbol AND n.day = b.day) UNION ALL SELECT * FROM new)""" + _DIGEST))
+def manifest_after_upsert(spark, sf_dir):
+    """The manifest after some bars were replaced: only the touched years are summed again."""
+    cols = ["symbol", "day", *_CONTENT]
+    before = market.bars_1d(spark, sf_dir).select(*cols)
+    new = before.where("day between '1999-03-01' and '1999-04-15' and symbol >= 'N'").withColumn("close", F.col("close") * 1.01)
+    parts = Q.manifest_parts(before, ["symbol"], "day", _CONTENT)
+    after = Q.renewed(parts, lake.upsert(before, new, ["symbol", "day"]), new, ["symbol"], "day", _CONTENT)
+    return Q.manifest(after, ["symbol"])
 
 
 @query("panel_signature", "Q13", over("walk_1d", """
