@@ -22,6 +22,8 @@ NOT_LETTERS = r"[^\p{L}\p{N}]+"
 # level leaves three blocks of four bits open, so no bucket can hold more than 4096.
 BUCKET = 256
 LEVELS = (5, 8, 16)
+# Edits tried first.
+FEW = 16
 # Rows of some tens of bytes that may travel to every task; more are joined.
 SMALL = 1_000_000
 
@@ -33,8 +35,8 @@ def normalised(line: Column) -> Column:
 def _edits(a: str, b: str, bound: str) -> Column:
     """Edit distance of two columns of words, -1 above the bound.
 
-    What both begin and end with costs no edits, so whole words of it are stripped first: the
-    cost of the rest grows with the square of its length, and near copies leave little.
+    Few edits are tried first: a comparison costs its bound times the length, and most near copies
+    are nearer than that. For the others, whole words that both begin and end with are stripped.
     """
 
     def shared(x: Column, y: Column) -> Column:
@@ -56,18 +58,15 @@ def _edits(a: str, b: str, bound: str) -> Column:
     words = F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"), F.expr(bound).alias("k"))
     stripped = let(words, lambda w: let(shared(w["x"], w["y"]), lambda head: F.struct(rest(w["x"], w["y"], head).alias("r"), w["k"].alias("k"))))
     distance_ = let(stripped, lambda s: _levenshtein(s["r"]["x"], s["r"]["y"], s["k"]))
-    return F.when(F.col(a) == F.col(b), 0).otherwise(distance_)
-
-
-# Edits tried first: the cost of a comparison grows with its bound, and most near copies are nearer than this.
-FEW = 16
+    k = F.expr(bound)
+    near = F.call_function("levenshtein", F.col(a), F.col(b), F.least(k, F.lit(FEW)))
+    tried = let(near, lambda d: F.when(d >= 0, d).when(k <= FEW, -1).otherwise(distance_))
+    return F.when(F.col(a) == F.col(b), 0).when(F.abs(F.length(a) - F.length(b)) > k, -1).otherwise(tried)
 
 
 def _levenshtein(x: Column, y: Column, bound: Column) -> Column:
     """Edit distance up to a bound that is a column; -1 above it."""
-    far = F.when(bound <= FEW, -1).otherwise(F.call_function("levenshtein", x, y, bound))
-    near = let(F.call_function("levenshtein", x, y, F.least(bound, F.lit(FEW))), lambda d: F.when(d >= 0, d).otherwise(far))
-    return F.when(F.abs(F.length(x) - F.length(y)) > bound, -1).otherwise(near)
+    return F.when(F.abs(F.length(x) - F.length(y)) > bound, -1).otherwise(F.call_function("levenshtein", x, y, bound))
 
 
 def _bound(a: str, b: str, similarity: float) -> str:
