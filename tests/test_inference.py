@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 from statistics import NormalDist
 
