@@ -94,6 +94,13 @@ def test_harmonic_factor_joins_up(spark):
     assert got == pytest.approx([sum(1 / i for i in range(1, m + 1)) for m in (5, 1000, 1001, 50000)], rel=1e-12)
 
 
+def test_a_group_without_trades_keeps_its_row(spark):
+    df = spark.createDataFrame([("a", 0.6, 0.011), ("a", 0.4, 0.021), ("a", 0.5, 9.0), ("b", 0.5, 0.3), ("b", 0.52, -0.2)], "symbol string, score double, outcome double")
+    got = {r["symbol"]: r for r in I.trading_score(df, ["symbol"]).collect()}
+    assert (got["a"]["trades"], got["a"]["mean_net"], got["a"]["hit_rate"]) == (2, pytest.approx(-0.006), 0.5)
+    assert tuple(got["b"])[1:] == (0, None, None, None)
+
+
 def test_normal_cdf_and_wilson(spark):
     xs = [-8.5, -3.0, -1.0, -0.1, 0.0, 0.5, 2.0, 6.9, 7.5]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(normal.phi(F.col("x"))).collect()]

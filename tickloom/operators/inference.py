@@ -131,11 +131,12 @@ def classification(scored: DataFrame, group: Sequence[str], threshold: float = 0
 def trading_score(rows: DataFrame, group: Sequence[str], threshold: float = 0.55, cost: float = 0.001) -> DataFrame:
     """Trades, mean net log return, t-statistic and hit rate of calls beyond the threshold.
 
-    ``rows`` carries ``score`` and ``outcome``: the log return from the next open onwards.
+    ``rows`` carries ``score`` and ``outcome``: the log return from the next open onwards. A group
+    without a call beyond the threshold keeps its row, with no trades and nulls.
     """
     side = F.when(F.col("score") >= threshold, 1.0).when(F.col("score") <= 1 - threshold, -1.0)
-    t = rows.withColumn("__net", side * F.col("outcome") - cost).where("__net is not null")
-    n = F.count(F.lit(1))
+    t = rows.withColumn("__net", side * F.col("outcome") - cost)
+    n = F.count("__net")
     return t.groupBy(*group).agg(
         n.alias("trades"), F.avg("__net").alias("mean_net"),
         (F.avg("__net") / F.when(F.stddev_samp("__net") > 0, F.stddev_samp("__net")) * F.sqrt(n)).alias("t_stat"),

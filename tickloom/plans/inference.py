@@ -269,7 +269,8 @@ def score_trading(spark, sf_dir):
 SELECT g.symbol, count(*) AS folds, R6(avg(auc)) AS auc, CAST(sum(trades) AS BIGINT) AS trades, R6(sum(mean_net * trades) / sum(trades) * 1000) AS mean_net_permille FROM g JOIN n ON g.symbol = n.symbol AND g.fold = n.fold GROUP BY g.symbol"""))
 def score_fold_summary(spark, sf_dir):
     rows = shared(scored_rows(spark, sf_dir))
-    folds = I.roc_auc(rows, ["symbol", "fold"]).join(I.trading_score(rows, ["symbol", "fold"]), ["symbol", "fold"])
+    traded = I.trading_score(rows, ["symbol", "fold"]).where("trades > 0")
+    folds = I.roc_auc(rows, ["symbol", "fold"]).join(traded, ["symbol", "fold"])
     p = I.pooled_summary(folds, ["symbol"])
     return p.select("symbol", "folds", "auc", "trades", (F.col("mean_net") * 1000).alias("mean_net_permille"))
 
