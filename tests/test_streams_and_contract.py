@@ -127,6 +127,19 @@ def test_small_tables_agree_with_sql(spark, name):
     assert got == sorted(tuple(canonical(r[names.index(c)]) for c in cols) for r in cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["overlay_shrink_curve", "score_trading"])
+def test_tables_without_a_fall_or_a_trade_agree_with_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CAST(0.05 AS DOUBLE) AS l_discount) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    q = load()[name]
+    cols = sorted((df := q.build(spark, str(tmp_path))).columns)
+    got = sorted(tuple(canonical(r[c]) for c in cols) for r in df.collect())
+    cur = con.execute(q.sql)
+    names = [d[0] for d in cur.description]
+    assert got == sorted(tuple(canonical(r[names.index(c)]) for c in cols) for r in cur.fetchall())
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = load()["bars_range_scan"].build(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "l_tax" not in plan.split("ReadSchema")[1][:400]

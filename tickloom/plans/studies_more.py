@@ -377,7 +377,10 @@ CUTS = (0, 5, 10, 20, 30, 40, 50, 75, 100)
 SELECT CAST(x AS INTEGER) AS x, R6(sum(CASE WHEN i < n - n * x // 100 THEN overlay ELSE 0 END)) AS kept_top, count(*) FILTER (WHERE CASE WHEN i < n - n * x // 100 THEN combined ELSE combined - overlay END <= {BREACH}) AS breaches_top,
  R6(sum(CASE WHEN i >= n * x // 100 THEN overlay ELSE 0 END)) AS kept_bottom, count(*) FILTER (WHERE CASE WHEN i >= n * x // 100 THEN combined ELSE combined - overlay END <= {BREACH}) AS breaches_bottom FROM h, x GROUP BY x"""))
 def overlay_shrink_curve(spark, sf_dir):
-    """What is kept when the overlay is switched off on the top or bottom share by volatility."""
+    """What is kept when the overlay is switched off on the top or bottom share by volatility.
+
+    No trigger days, no rows.
+    """
     h = overlay_book(spark, sf_dir).where("hit and trail_vol is not null")
     h = h.withColumns({"i": F.row_number().over(W.orderBy("trail_vol", "day")) - 1, "n": F.count(F.lit(1)).over(W.partitionBy())})
     aggs = []
@@ -395,7 +398,7 @@ def overlay_shrink_curve(spark, sf_dir):
         )
         for x in CUTS
     ]
-    return h.agg(*aggs).select(F.inline(F.array(*rows)))
+    return h.agg(F.count(F.lit(1)).alias("days"), *aggs).where("days > 0").select(F.inline(F.array(*rows)))
 
 
 @query("tail_dependence", "G11 J11", over("walk_1d", _OVER + """,
