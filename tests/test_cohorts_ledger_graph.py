@@ -222,6 +222,26 @@ def test_independent_support_is_greedy_in_order(spark):
 
 
 
+def test_dense_support_is_chosen_in_blocks_not_from_all_collisions(spark, monkeypatch):
+    """90 supporters with half of all pairs correlated: no list of collisions, ties in order, the same choice."""
+    rng = random.Random(12)
+    names = [f"n{i}" for i in range(90)]
+    high = {frozenset((a, b)) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.5}
+    corr = spark.createDataFrame([(*sorted(p), 0.9) for p in high], "a string, b string, r double")
+    sup = [(c, n, i // 2) for c in "cd" for i, n in enumerate(names if c == "c" else names[::-1])]
+    want = set()
+    for c in "cd":
+        kept = []
+        for _, n, i in (s for s in sup if s[0] == c):
+            apart = not any(frozenset((n, k)) in high and o < i for k, o in kept)
+            kept += [(n, i)] * apart
+            want.add((c, n, i, apart))
+    monkeypatch.setattr(G, "_discounted", lambda *_: pytest.fail("all collisions were listed"))
+    frame = spark.createDataFrame(sup, "claim string, node string, ord int")
+    assert {tuple(r) for r in G.independent_support(frame, corr, sparse=0.0).collect()} == want
+    assert {tuple(r) for r in G.independent_support(frame, corr).collect()} == want
+
+
 def test_exact_percentiles_match_a_sort(spark):
     rng = random.Random(6)
     xs = [rng.choice([0.0, 0.0, rng.gauss(0, 3), rng.gauss(50, 1)]) for _ in range(777)]

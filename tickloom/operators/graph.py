@@ -8,13 +8,20 @@ lost executor costs one round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.session import cut_lineage, shared
 
 #: Rounds that follow single edges before paths are doubled.
 PLAIN_ROUNDS = 6
+#: Walks are doubled while that joins at most this many rows an edge.
+DOUBLED = 64
+#: Supporters of a claim that are chosen at a time.
+BLOCK = 64
 
 
 def squared(paths: DataFrame) -> DataFrame:
@@ -90,17 +97,13 @@ def cyclic_edges(edges: DataFrame, plain: int = PLAIN_ROUNDS) -> DataFrame:
     return left.join(into, "dst", "left_semi").select("src", "dst")
 
 
-def independent_support(supports: DataFrame, correlated: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(claim, node, ord, kept): whether a supporter stands apart from the kept ones before it.
-
-    ``supports`` is (claim, node, ord); ``correlated`` is (a, b, r), undirected. A supporter is
-    discounted if an earlier kept one of its claim correlates with it. The ordered choice is made
-    in rounds over collisions (claim, early, late): supporters that no undecided one precedes are
-    kept, those they collide with are discounted, and collisions of both are settled. Rows of one
-    claim spread over the cluster; rounds grow with the longest chain of undecided collisions.
-    """
+def _undirected(correlated: DataFrame, threshold: float) -> DataFrame:
     both = correlated.where(F.abs("r") >= threshold).select("a", "b")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    return both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+
+
+def _discounted(supports: DataFrame, both: DataFrame) -> DataFrame | None:
+    """(claim, node) of the discounted, from all collisions of ``supports``; None if nothing collides."""
     late = supports.select("claim", F.col("node").alias("late"), "ord")
     early = supports.select("claim", F.col("node").alias("early"), F.col("ord").alias("before"))
     hits = late.join(both.select(F.col("a").alias("late"), F.col("b").alias("early")), "late").join(early, ["claim", "early"])
@@ -114,9 +117,62 @@ def independent_support(supports: DataFrame, correlated: DataFrame, threshold: f
         # Whoever is free has settled all its collisions: its partners are gone.
         rest = open_.join(gone, ["claim", "late"], "left_anti").join(gone.withColumnRenamed("late", "early"), ["claim", "early"], "left_anti")
         open_ = cut_lineage(rest.select("claim", "early", "late"))
-    if dropped is None:
+    return None if dropped is None else dropped.withColumnRenamed("late", "node")
+
+
+def _kept_of(block: DataFrame, both: DataFrame) -> DataFrame:
+    """(claim, early, before): the kept among a block's supporters, at most ``BLOCK`` a claim, in order."""
+    late = block.select("claim", F.col("node").alias("late"), "ord")
+    early = block.select("claim", F.col("node").alias("early"), F.col("ord").alias("before"))
+    pairs = late.join(early, "claim").where("before < ord").join(both, (F.col("late") == F.col("a")) & (F.col("early") == F.col("b")), "left_semi")
+    hits = pairs.groupBy("claim", F.col("late").alias("node")).agg(F.collect_list("early").alias("hits"))
+    row = F.struct("ord", "node", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
+    claims = block.join(hits, ["claim", "node"], "left").groupBy("claim").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    none = F.filter("rows", lambda x: F.lit(False))
+    apart = lambda kept, x: F.arrays_overlap(F.transform(kept, lambda k: k["node"]), x["hits"])
+    kept = F.aggregate("rows", none, lambda kept, x: F.when(apart(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    return claims.select("claim", F.explode(kept).alias("k")).select("claim", F.col("k.node").alias("early"), F.col("k.ord").alias("before"))
+
+
+def independent_support(supports: DataFrame, correlated: DataFrame, threshold: float = 0.7, sparse: float | None = None) -> DataFrame:
+    """(claim, node, ord, kept): whether a supporter stands apart from the kept ones before it.
+
+    ``supports`` is (claim, node, ord); ``correlated`` is (a, b, r), undirected. A supporter is
+    discounted if an earlier kept one of its claim correlates with it. Where nodes have many
+    correlates, listing all collisions would take a row for every triangle. There a claim's first
+    undecided supporters (8, 16, ... up to ``BLOCK``) are chosen in order, and all that correlate
+    with the newly kept leave before the next block: a supporter is compared with few kept ones
+    until it is discounted. Once an undecided supporter has ``sparse`` correlates or fewer on
+    average (by default the root of the number of nodes), the collisions (claim, early, late) left
+    are settled in rounds: supporters that no undecided one precedes are kept, those they collide
+    with are discounted. Rows of one claim spread over the cluster.
+    """
+    both = cut_lineage(_undirected(correlated, threshold))
+    degrees = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")))
+    sparse = max(16.0, degrees.count() ** 0.5) if sparse is None else sparse
+    rest, size, gone = cut_lineage(supports.groupBy("claim", "node").agg(F.min("ord").alias("ord"))), 8, []
+    while True:
+        # Who correlates with nobody stays.
+        rows, met = rest.join(degrees, "node").agg(F.count(F.lit(1)), F.sum("n")).first()
+        if not rows:
+            break
+        if met <= sparse * rows:
+            last = _discounted(rest, both)
+            gone += [] if last is None else [last]
+            break
+        first = F.row_number().over(W.partitionBy("claim").orderBy("ord", "node"))
+        block = cut_lineage(rest.withColumn("__k", first).where(F.col("__k") <= size).drop("__k"))
+        kept = cut_lineage(_kept_of(block, both))
+        gone.append(block.join(kept.select("claim", F.col("early").alias("node")), ["claim", "node"], "left_anti").select("claim", "node"))
+        later = rest.join(block.select("claim", "node"), ["claim", "node"], "left_anti")
+        met = later.join(kept, "claim").where("before < ord").join(both, (F.col("node") == F.col("a")) & (F.col("early") == F.col("b")), "left_semi")
+        out = cut_lineage(met.select("claim", "node").distinct())
+        gone.append(out)
+        rest = cut_lineage(later.join(out, ["claim", "node"], "left_anti"))
+        size = min(2 * size, BLOCK)
+    if not gone:
         return supports.select("claim", "node", "ord", F.lit(True).alias("kept"))
-    out = dropped.select("claim", F.col("late").alias("node"), F.lit(False).alias("kept"))
+    out = reduce(DataFrame.unionByName, gone).withColumn("kept", F.lit(False))
     return supports.join(out, ["claim", "node"], "left").select("claim", "node", "ord", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
