@@ -242,6 +242,16 @@ def test_dense_support_is_chosen_in_blocks_not_from_all_collisions(spark, monkey
     assert {tuple(r) for r in G.independent_support(frame, corr).collect()} == want
 
 
+def test_dense_graphs_with_cycles_are_never_squared(spark, monkeypatch):
+    """Two dense parts, one acyclic, and a chain longer than the plain rounds that ends beside them."""
+    pairs = [(f"a{i:02}", f"a{j:02}") for i in range(30) for j in range(i + 1, 30)] + [("a29", "a03")]
+    dead = [(f"d{i:02}", f"d{j:02}") for i in range(25) for j in range(i + 1, 25)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(9)] + [("c9", "a07"), ("c4", "d00"), ("a29", "d03")]
+    monkeypatch.setattr(G, "DOUBLED", 1)
+    monkeypatch.setattr(G, "squared", lambda *_: pytest.fail("a dense graph was squared"))
+    assert {tuple(r) for r in G.cyclic_edges(edges(spark, pairs + dead + chain)).collect()} == set(pairs) | {e for e in chain if not e[1].startswith("d")}
+
+
 def test_exact_percentiles_match_a_sort(spark):
     rng = random.Random(6)
     xs = [rng.choice([0.0, 0.0, rng.gauss(0, 3), rng.gauss(50, 1)]) for _ in range(777)]

@@ -72,29 +72,72 @@ def impact(depends: DataFrame, supports: DataFrame, starts: DataFrame) -> DataFr
     return back.unionByName(ahead).distinct()
 
 
+def _surely_cyclic(edges: DataFrame, nodes: int) -> DataFrame:
+    """(node): nodes whose walk along one chosen edge a node never ends; these reach a cycle.
+
+    One row a node: the walk of every node is doubled, twice a round, until it is longer than there are nodes.
+    """
+
+    def doubled(walk):
+        return walk.join(walk.select(F.col("a").alias("b"), F.col("b").alias("to")), "b").select("a", F.col("to").alias("b"))
+
+    walk, length = cut_lineage(edges.groupBy(F.col("src").alias("a")).agg(F.min("dst").alias("b"))), 1
+    while length <= nodes:
+        walk, length = cut_lineage(doubled(doubled(walk))), 4 * length
+    return walk.select(F.col("a").alias("node"))
+
+
+def _squaring(paths: DataFrame) -> int:
+    """Rows that :func:`squared` joins before it drops repeats."""
+    into = paths.groupBy(F.col("b").alias("via")).agg(F.count(F.lit(1)).alias("x"))
+    outof = paths.groupBy(F.col("a").alias("via")).agg(F.count(F.lit(1)).alias("y"))
+    return into.join(outof, "via").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+
+
 def cyclic_edges(edges: DataFrame, plain: int = PLAIN_ROUNDS) -> DataFrame:
     """(src, dst): edges from whose end a cycle can be reached; none exactly if the graph is acyclic.
 
-    The first rounds drop edges into nodes without outgoing edges, a link off the end of every
-    chain. If chains are longer than that, walks over what is left are doubled until they have as
-    many edges as there are nodes: only a node that reaches a cycle begins so long a walk.
+    Walks along one edge a node settle most nodes of a graph with many cycles; only edges out of
+    the others stay open. Rounds then settle nodes with an edge into a settled one and drop edges
+    into nodes without outgoing edges. If chains are longer than ``plain`` rounds, walks over what
+    is left are doubled until they have as many edges as there are nodes: only a node that reaches
+    a cycle begins so long a walk. Walks are doubled only while that joins at most ``DOUBLED``
+    times as many rows as there are edges; where graphs are denser, rounds go on.
     """
-    left = cut_lineage(edges.select("src", "dst").distinct())
-    n = left.count()
-    for _ in range(plain):
+    whole = cut_lineage(edges.select("src", "dst").distinct())
+    sure = _surely_cyclic(whole, whole.select("src").distinct().count())
+    left = cut_lineage(whole.join(sure.select(F.col("node").alias("src")), "src", "left_anti"))
+    n, rounds, dense = left.count(), 0, False
+    while n:
+        led = cut_lineage(left.join(sure.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct())
+        sure = sure.unionByName(led)
+        rest = left.join(led.select(F.col("node").alias("src")), "src", "left_anti")
         alive = left.select(F.col("src").alias("dst")).distinct()
-        left = cut_lineage(left.join(alive, "dst", "left_semi").select("src", "dst"))
-        before, n = n, left.count()
+        left = cut_lineage(rest.join(alive, "dst", "left_semi").select("src", "dst"))
+        before, n, rounds = n, left.count(), rounds + 1
         if n == before:
-            return left
+            sure = sure.unionByName(left.select(F.col("src").alias("node")))
+            break
+        if n and rounds >= plain and not dense:
+            if (long := _long_walks(left, sure, DOUBLED * n)) is None:
+                dense = True
+            else:
+                sure = sure.unionByName(long)
+                break
+    return whole.join(sure.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+def _long_walks(left: DataFrame, sure: DataFrame, limit: int) -> DataFrame | None:
+    """(node): where walks of ``left`` begin that are longer than it has nodes or end in ``sure``; None beyond ``limit``."""
+    ends = left.select("dst").distinct().join(sure.select(F.col("node").alias("dst")), "dst", "left_semi")
     nodes = left.select("src").distinct().count()
-    paths, length = left.select(F.col("src").alias("a"), F.col("dst").alias("b")), 1
+    stays = ends.select(F.col("dst").alias("a"), F.col("dst").alias("b"))
+    paths, length = left.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(stays), 1
     while length <= nodes:
+        if _squaring(paths) > limit:
+            return None
         paths, length = squared(paths), 2 * length
-        if paths.isEmpty():
-            break
-    into = paths.select(F.col("a").alias("dst")).distinct()
-    return left.join(into, "dst", "left_semi").select("src", "dst")
+    return paths.select(F.col("a").alias("node")).distinct()
 
 
 def _undirected(correlated: DataFrame, threshold: float) -> DataFrame:
