@@ -252,6 +252,21 @@ def test_dense_graphs_with_cycles_are_never_squared(spark, monkeypatch):
     assert {tuple(r) for r in G.cyclic_edges(edges(spark, pairs + dead + chain)).collect()} == set(pairs) | {e for e in chain if not e[1].startswith("d")}
 
 
+def test_impact_makes_its_edges_once(spark, monkeypatch):
+    from tickloom.plans import ledger
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    made = edges(spark, [(f"N{i}", f"N{i + 1}") for i in range(38, 44)]).select("src", F.udf(counted, "string")("dst").alias("dst"))
+    monkeypatch.setattr(ledger.market, "edges", lambda *_: made)
+    got = {r["node"] for r in ledger.graph_impact(spark, "").where("start = 'N40'").collect()}
+    assert got == {"N38", "N39", "N41", "N42", "N43", "N44"} and read.value == 6
+
+
 def test_exact_percentiles_match_a_sort(spark):
     rng = random.Random(6)
     xs = [rng.choice([0.0, 0.0, rng.gauss(0, 3), rng.gauss(50, 1)]) for _ in range(777)]

@@ -207,6 +207,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         a.join(b, ["l_orderkey", "l_linenumber"])
         .select(*pair)
         .where("a < b")
+        .distinct()  # while they are numbers
         .select(F.concat(F.lit("N"), "a").alias("src"), F.concat(F.lit("N"), "b").alias("dst"))
-        .distinct()
     )
