@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from conftest import DAY0
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
@@ -83,6 +84,27 @@ def test_lag_in_buckets_equals_a_plain_lag(spark):
     assert [r["prev"] for r in out] == [None] + [r["v"] for r in out[:-1]]
 
 
+def test_rows_behind_the_stamps_are_read_once(spark):
+    """The medians are refined in several jobs; each used to aggregate the raw rows anew."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = spark.range(400).select(F.concat(F.lit("S"), F.col("id") % 2).alias("symbol"), F.udf(counted, "bigint")("id").alias("id"))
+    price = 100.0 + F.col("id") * 37 % 101
+    stamped = rows.select("symbol", F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("id") / 2).cast("int")).alias("ts"), "id", *[price.alias(c) for c in ("open", "high", "low", "close", "volume")])
+    found = Q.findings(Q.by_stamp(stamped, "id"), 86_400).collect()
+    assert {r["check"] for r in found} == {"outliers"} and read.value == 400
+
+
+def test_unsorted_rows_equal_a_plain_lag(spark):
+    df = spark.range(300).select(F.concat(F.lit("S"), F.col("id") % 3).alias("symbol"), "id", (F.col("id") * 37 % 101).alias("ts"))
+    plain = df.withColumn("p", F.lag("ts").over(W.partitionBy("symbol").orderBy("id"))).groupBy("symbol").agg(F.count_if(F.col("ts") < F.col("p")).alias("unsorted"))
+    assert set(Q.unsorted_rows(df, F.col("id"), F.floor(F.col("id") / 17)).collect()) == set(plain.collect())
+
+
 def lake_rows(spark, days, close):
     rows = [("A", "1d", dt.datetime(2023, 12, 30) + dt.timedelta(days=d), 1.0, 2.0, 0.5, close, 9.0) for d in days]
     return spark.createDataFrame(rows, "symbol string, interval string, timestamp timestamp, open double, high double, low double, close double, volume double")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tickloom.operators.skew import exact_percentiles
+from tickloom.session import shared
 
 # Outlier threshold, its scale, and the number of example stamps.
 MAD_Z = 10.0
@@ -87,10 +88,18 @@ def lag_in_buckets(df: DataFrame, key: str, order: Column, bucket: Column, value
 
 
 def unsorted_rows(rows: DataFrame, order: Column, bucket: Column, ts: str = "ts") -> DataFrame:
-    """(symbol, unsorted): rows whose stamp is before that of the row ingested just before."""
-    prev = lag_in_buckets(rows.select("symbol", ts, order.alias("__seq"), bucket.alias("__bkt")),
-                          "symbol", F.col("__seq"), F.col("__bkt"), ts, "__prev")
-    return prev.groupBy("symbol").agg(F.count_if(F.col(ts) < F.col("__prev")).alias("unsorted"))
+    """(symbol, unsorted): rows whose stamp is before that of the row ingested just before.
+
+    Each (symbol, bucket) is sorted alone and leaves one row, its count and its first and last
+    stamps; these meet their neighbours. Buckets must follow ``order``.
+    """
+    rows = rows.select("symbol", F.col(ts).alias("__ts"), order.alias("__o"), bucket.alias("__b"))
+    prev = F.lag("__ts").over(W.partitionBy("symbol", "__b").orderBy("__o"))
+    per_bucket = rows.withColumn("__prev", prev).groupBy("symbol", "__b").agg(
+        F.count_if(F.col("__ts") < F.col("__prev")).alias("n"), F.min_by("__ts", "__o").alias("first"), F.max_by("__ts", "__o").alias("last")
+    )
+    joint = per_bucket.withColumn("carry", F.lag("last").over(W.partitionBy("symbol").orderBy("__b")))
+    return joint.groupBy("symbol").agg((F.sum("n") + F.count_if(F.col("first") < F.col("carry"))).alias("unsorted"))
 
 
 def by_stamp(rows: DataFrame, last_by: Column | str, ts: str = "ts") -> DataFrame:
@@ -108,7 +117,11 @@ def by_stamp(rows: DataFrame, last_by: Column | str, ts: str = "ts") -> DataFram
 def findings(
     stamps: DataFrame, step_seconds: int, unsorted: DataFrame | None = None
 ) -> DataFrame:
-    """(symbol, check, severity, count, missing, examples) from :func:`by_stamp` records."""
+    """(symbol, check, severity, count, missing, examples) from :func:`by_stamp` records.
+
+    The records are read by every refinement of the medians; the rows behind them are read once.
+    """
+    stamps = shared(stamps)
     w = W.partitionBy("symbol").orderBy("ts")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     grid = stamps.withColumns(

@@ -9,6 +9,7 @@ from tickloom.operators import bars as B
 from tickloom.operators import quality as Q
 from tickloom.plans.oracle import over
 from tickloom.registry import query
+from tickloom.session import shared
 from tickloom.sources import landing, lake, market
 
 SYMBOLS = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -170,9 +171,10 @@ WITH raw AS (SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS D
 _RAW_SQL = _RAW_SQL.replace("arg_max_null(close, seq)", "max_by({'c': close}, seq).c")
 
 
-def _found(spark, sf_dir):
+def _found(spark, sf_dir, stamps=None):
     raw = raw_rows(spark, sf_dir)
-    return Q.findings(Q.by_stamp(raw, "seq"), 86_400, Q.unsorted_rows(raw, F.col("seq"), F.col("bucket")))
+    stamps = Q.by_stamp(raw, "seq") if stamps is None else stamps
+    return Q.findings(stamps, 86_400, Q.unsorted_rows(raw, F.col("seq"), F.col("bucket")))
 
 
 @query("quality_findings", "Q3 Q4 Q5 Q6 Q7 Q8 Q9 T6", over("ticks_1d", _RAW_SQL + """
@@ -222,9 +224,10 @@ SELECT sp.symbol, '1d' AS "interval", sp.rows, CAST(sp.s AS VARCHAR) AS start, C
  R6(date_diff('day', sp.e, DATE '2003-01-01')) AS stale_days FROM spans sp"""))
 def lake_catalog(spark, sf_dir):
     """One row per symbol and interval: rows, span, findings, staleness."""
-    raw = raw_rows(spark, sf_dir).withColumns({"timestamp": F.col("ts"), "interval": F.lit("1d")})
-    cat = lake.catalog(raw, Q.report(_found(spark, sf_dir)))
-    return cat.join(lake.staleness_days(raw, "2003-01-01", "ts").select("symbol", "stale_days"), "symbol")
+    stamps = shared(Q.by_stamp(raw_rows(spark, sf_dir), "seq"))
+    days = stamps.withColumns({"timestamp": F.col("ts"), "interval": F.lit("1d")})
+    cat = lake.catalog(days, Q.report(_found(spark, sf_dir, stamps)), F.sum("rows"))
+    return cat.join(lake.staleness_days(days, "2003-01-01", "ts").select("symbol", "stale_days"), "symbol")
 
 
 _CONTENT = ["open", "close", "volume"]

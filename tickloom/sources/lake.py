@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,10 +99,13 @@ def _has_data(spark: SparkSession, path: str) -> bool:
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
-def catalog(bars: DataFrame, findings_report: DataFrame) -> DataFrame:
-    """One row per (symbol, interval): rows, span, error and warning counts."""
+def catalog(bars: DataFrame, findings_report: DataFrame, rows: Column | None = None) -> DataFrame:
+    """One row per (symbol, interval): rows, span, error and warning counts.
+
+    ``rows`` is the aggregate that counts rows where ``bars`` holds them summed already.
+    """
     spans = bars.groupBy("symbol", "interval").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end")
+        (F.count(F.lit(1)) if rows is None else rows).alias("rows"), F.min("timestamp").alias("start"), F.max("timestamp").alias("end")
     )
     return spans.join(findings_report.select("symbol", "errors", "warnings"), "symbol", "left").fillna(
         0, ["errors", "warnings"]
