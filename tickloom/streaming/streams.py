@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.operators import bars as B
 from tickloom.operators import quality as Q
-from tickloom.session import shared_folder
+from tickloom.session import cut_lineage, shared_folder
 from tickloom.sources import lake
 
 MEMORY = "3 days"  # fixed value: how long a first sighting is remembered
@@ -150,7 +150,7 @@ def gate(good: str, bad: str, step_seconds: int) -> Callable[[DataFrame, int], N
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            found = Q.findings(Q.by_stamp(rows, "seq"), step_seconds)
+            found = cut_lineage(Q.findings(Q.by_stamp(rows, "seq"), step_seconds))
             refused = Q.report(found).where("not storable").select("symbol")
             rows.join(refused, "symbol", "left_anti").write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
             rows.join(refused, "symbol", "left_semi").write.mode("overwrite").parquet(f"{bad}/batch={batch_id}/rows")
