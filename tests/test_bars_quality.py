@@ -161,3 +161,32 @@ def test_calendar_flags(spark):
     assert got == [(True, False), (False, True), (False, False), (True, False), (True, False)]
 
 
+
+
+def test_ends_of_bars_are_found_without_sorting_ticks(spark, tmp_path):
+    """Ticks that share stamp and order, at either end, are told apart by the rest of their key; raw ticks are not sorted."""
+    import random
+
+    from tickloom.sources import market
+
+    draw, rows = random.Random(4), []
+    for _ in range(600):
+        at = dt.datetime(2024, 1, 1 + draw.randrange(3), draw.choice([0, 0, 9]))
+        rows.append((draw.randrange(4), draw.randrange(3), draw.randrange(8), draw.randrange(2), float(draw.randrange(1, 50)), draw.random() * 100, 0.01, draw.choice([None, 0.02, 0.04]), draw.choice("ANR"), "O", at))
+    rows.append((None, 1, 5, 1, 2.0, 7.0, 0.0, 0.0, "A", "O", dt.datetime(2024, 1, 1)))
+    rows.append((9, 1, 5, 1, 2.0, 7.0, 0.0, 0.0, "A", "O", None))
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    ticks = market.ticks(spark, str(tmp_path))
+    plain = ticks.groupBy("symbol", "day").agg(
+        F.min_by("price", "seq"), F.max("price"), F.min("price"), F.max_by("price", "seq"), F.round(F.sum("qty"), 6), F.round(F.sum("notional"), 6)
+    )
+    found = market.bars_1d(spark, str(tmp_path))
+    rounded = found.withColumns({c: F.round(c, 6) for c in ("volume", "quote_volume")})
+    assert sorted(map(tuple, rounded.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    legs = ticks.groupBy("symbol", "day").agg(F.max_by("price", "seq").alias("c"), F.avg("l_tax").alias("t")).selectExpr("symbol", "day", "c", "round(c * (1 + (t - 0.04) / 10), 9)")
+    perp = market.spot_perp_1d(spark, str(tmp_path)).withColumn("perp_close", F.round("perp_close", 9))
+    assert sorted(map(tuple, perp.collect()), key=str) == sorted(map(tuple, legs.collect()), key=str)
+    for made in (market.bars_1d, market.bars_wk, market.venue_1d, market.spot_perp_1d):
+        plan = made(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

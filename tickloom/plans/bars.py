@@ -20,10 +20,8 @@ SELECT symbol, CAST(day AS VARCHAR) AS day, R6(open) AS open, R6(high) AS high,
 FROM bars_1d WHERE day >= DATE '1996-01-01' AND day < DATE '1997-01-01'"""))
 def bars_range_scan(spark, sf_dir):
     """Half-open range read; the bound reaches the parquet scan through the ship date."""
-    bars = market.bars_1d(spark, sf_dir)
-    return bars.where("day >= date'1996-01-01' and day < date'1997-01-01'").select(
-        "symbol", "day", "open", "high", "low", "close", "volume"
-    )
+    bars = market.bars_1d(spark, sf_dir, "day >= date'1996-01-01' and day < date'1997-01-01'")
+    return bars.select("symbol", "day", "open", "high", "low", "close", "volume")
 
 
 @query("bars_upsert", "A2 G13 K8", over("bars_1d perp_1d", """

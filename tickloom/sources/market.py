@@ -1,17 +1,21 @@
 """The given tables recast as market data: ticks, bars, legs, funding, sightings, trials, edges.
 
 Every frame is a plain projection or a map-side-combined aggregate of the source table.
-First/last prices come from ``min_by``/``max_by`` over the tick's sort key, so a symbol
-holding a third of all ticks is reduced before anything is shuffled and no global
-ordering is needed.
+First/last prices of ticks come from the ticks at the ends of each bar, found by aggregates
+over numbers (:func:`_barred`), so a symbol holding a third of all ticks is reduced before
+anything is shuffled and raw ticks are never sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.session import settled, sided
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,19 +44,33 @@ def _week(c: str):
     return F.date_trunc("week", c).cast("date")
 
 
-def _ohlcv(grouped) -> DataFrame:
-    return grouped.agg(
-        F.min_by("price", "seq").alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.max_by("price", "seq").alias("close"),
-        F.sum("qty").alias("volume"),
-        F.sum("notional").alias("quote_volume"),
-    )
+def _barred(rows: DataFrame, by: Sequence[str], made: dict[str, tuple[Callable, Column | str]]) -> DataFrame:
+    """``by``, ``open``, ``close`` and what ``made`` names of every bar: sums, least and largest values.
+
+    An aggregate that compares structs sorts all the rows it reads. So the stamp and order of the
+    ends of a bar are found first, by aggregates over numbers, and ``seq`` is compared only between
+    the ticks that share them. The ticks are read twice; what is looked up is one row a bar.
+    """
+    at = F.coalesce(F.col("seq.l_shipdate").cast("timestamp_ntz"), F.expr("timestamp_ntz'0001-01-01 00:00:00'"))
+    rows = rows.withColumns({"__at": at, "__order": F.coalesce("seq.l_orderkey", F.lit(-(2**63)))})
+    stamps = rows.groupBy(*by, "__at").agg(F.min("__order").alias("lo"), F.max("__order").alias("hi"), *[f(c).alias(k) for k, (f, c) in made.items()])
+    ends = [F.min("__at").alias("first"), F.min_by("lo", "__at").alias("lo"), F.max("__at").alias("last"), F.max_by("hi", "__at").alias("hi")]
+    bars, n = settled(stamps.groupBy(*by).agg(*ends, *[f(k).alias(k) for k, (f, _) in made.items()]))
+    bars = bars.withColumnsRenamed({c: f"__{c}" for c in by})
+    ticked = rows.select(*by, "price", "seq", "__at", "__order")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    tips = ticked.join(sided(bars, n), same).where("(__at = first AND __order = lo) OR (__at = last AND __order = hi)")
+    return tips.groupBy(*by).agg(F.min_by("price", "seq").alias("open"), F.max_by("price", "seq").alias("close"), *[F.first(k).alias(k) for k in made])
+
+
+def _ohlcv(rows: DataFrame) -> DataFrame:
+    made = {"high": (F.max, "price"), "low": (F.min, "price"), "volume": (F.sum, "qty"), "quote_volume": (F.sum, "notional")}
+    return _barred(rows, ["symbol", "day"], made).select("symbol", "day", "open", "high", "low", "close", "volume", "quote_volume")
 
 
-def bars_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ohlcv(ticks(spark, sf_dir).groupBy("symbol", "day"))
+def bars_1d(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """Daily bars of the ticks that ``where`` keeps; it reaches the scan."""
+    return _ohlcv(ticks(spark, sf_dir).where(where))
 
 
 def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +80,7 @@ def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_wk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ohlcv(_weekly(spark, sf_dir).groupBy("symbol", "day"))
+    return _ohlcv(_weekly(spark, sf_dir))
 
 
 def _props_number():
@@ -136,26 +154,17 @@ def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spot_perp_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spot close and perpetual close per symbol-day, from one pass over the ticks."""
-    return (
-        ticks(spark, sf_dir)
-        .groupBy("symbol", "day")
-        .agg(F.max_by("price", "seq").alias("close"), F.avg("l_tax").alias("tax"))
-        .select(
-            "symbol",
-            "day",
-            "close",
-            (F.col("close") * (1 + (F.col("tax") - 0.04) / 10)).alias("perp_close"),
-        )
+    """Spot close and perpetual close per symbol-day."""
+    made = {"taxes": (F.sum, "l_tax"), "taxed": (F.sum, F.col("l_tax").isNotNull().cast("long"))}
+    tax = F.try_divide("taxes", "taxed")
+    return _barred(ticks(spark, sf_dir), ["symbol", "day"], made).select(
+        "symbol", "day", "close", (F.col("close") * (1 + (tax - 0.04) / 10)).alias("perp_close")
     )
 
 
 def venue_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        ticks(spark, sf_dir)
-        .groupBy("venue", F.concat(F.lit("S"), F.col("l_suppkey") % 4).alias("symbol"), "day")
-        .agg(F.max_by("price", "seq").alias("close"), F.sum("notional").alias("quote_volume"))
-    )
+    rows = ticks(spark, sf_dir).withColumn("symbol", F.concat(F.lit("S"), F.col("l_suppkey") % 4))
+    return _barred(rows, ["venue", "symbol", "day"], {"quote_volume": (F.sum, "notional")}).drop("open")
 
 
 def peg_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
