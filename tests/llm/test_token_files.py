@@ -51,3 +51,14 @@ def test_unknown_keys_and_empty_tables(spark, docs, empty):
     nothing = folder()
     assert token_files.write(empty, nothing, PATH, end_id=2).collect() == []
     assert token_files.read(spark, nothing, PATH, asked).collect() == []
+
+
+def test_units_over_line_ends_are_put_together_from_their_words():
+    """Units seldom repeat over line ends: their words are remembered, they are not."""
+    import array
+
+    encode = token_files.Encoder(PATH)
+    texts = ["one stop.\nAnother, word one.\nAnother", "a.\nb é.,\nÉa.. b ça,\n,a b", "I'm we'll.\nThey're x\n\ny x \ny\nA\n"]
+    for t in texts:
+        assert list(array.array(encode.code, encode(t))) == encode.tokenizer.encode(t, add_special_tokens=False).ids
+    assert "stop." in encode.rest and "stop.\nAnother," not in encode.rest

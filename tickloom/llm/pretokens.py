@@ -51,6 +51,15 @@ def pieces(unit: str) -> Iterator[str] | None:
     return filter(None, found.groups()) if found else None
 
 
+def parted(unit: str) -> tuple[str, str, str, str] | None:
+    """Word, stops, line end and what follows it, of a unit that :func:`pieces` parts; None for any other."""
+    found = _PLAIN.fullmatch(unit)
+    if found is None:
+        return None
+    word, stops, line, *after = found.groups("")
+    return word, stops, line, "".join(after)
+
+
 def segments(text: str, specials: list[str]) -> list[tuple[bool, str]]:
     """The text parted at special strings, as the library parts it before anything else."""
     if not any(s in text for s in specials):

@@ -10,6 +10,7 @@ Shards are written as they come and read slice by slice, so neither is ever held
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import uuid
@@ -26,31 +27,57 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import cut, whole
 from tickloom.llm.ordered import cuts, key_of, range_of, ranges
-from tickloom.llm.pretokens import MEMO, Memo, pieces, segments, spelled, units
+from tickloom.llm.pretokens import MEMO, Memo, parted, segments, spelled, units
 
 KEYS_A_PART = 100_000
 
 
+class Units(dict):
+    """Ids of units that stand behind ``lead``, remembered within a bound; a full memo starts again.
+
+    A unit of letters is one pre-token. Stops behind it are another, and a unit that goes over a
+    line end is put together from what is before and behind it: such units seldom repeat, so they
+    are not kept themselves.
+    """
+
+    def __init__(self, encoder: Encoder, lead: str, limit: int):
+        super().__init__()
+        self.encoder, self.lead, self.letters, self.limit = encoder, lead, spelled(lead), limit
+
+    def __missing__(self, unit: str) -> bytes:
+        if unit.isascii() and unit.isalpha():
+            value = self.encoder.ids(self.letters + unit)
+        elif found := parted(unit):
+            word, stops, line, after = found
+            if line:
+                return self[word + stops] + self.encoder.stops[line] + self.encoder.first[after]
+            value = self[word] + self.encoder.stops[stops] if stops else self.encoder.ids(self.letters + spelled(word))
+        else:
+            value = self.encoder.packed(*self.encoder.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids)
+        if len(self) >= self.limit:
+            self.clear()
+        self[unit] = value
+        return value
+
+
 class Encoder:
     """Ids of a text as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, memo: int = 2 * MEMO):
+    def __init__(self, path: str, memo: int = 3 * MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        self.piece = Memo(lambda p: array(self.code, [t.id for t in self.tokenizer.model.tokenize(spelled(p))]).tobytes(), memo)
-        self.first = Memo(self._unit, memo // 8)
-        self.rest = Memo(lambda unit: self._unit(" " + unit), memo)
-
-    def _unit(self, unit: str) -> bytes:
-        plain = pieces(unit.removeprefix(" "))
-        if plain is None:
-            return array(self.code, self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
-        first, *others = plain
-        return b"".join([self.piece[" " * unit.startswith(" ") + first], *map(self.piece.__getitem__, others)])
+        self.tokenize = self.tokenizer.model.tokenize  # the property makes a new model each time
+        self.stops = Memo(lambda p: self.ids(spelled(p)), memo // 8)
+        self.first, self.rest = Units(self, "", memo // 8), Units(self, " ", memo)
+        gc.freeze()  # the memos live as long as the worker; no collection walks through them
+
+    def ids(self, letters: str) -> bytes:
+        """Packed ids of one pre-token in the byte alphabet."""
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
     def packed(self, *ids: int) -> bytes:
         return array(self.code, ids).tobytes()
