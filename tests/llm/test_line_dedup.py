@@ -57,3 +57,11 @@ def test_nulls_repeated_rows_blank_lines_and_clashing_names(spark, empty):
 def test_no_python_on_the_main_path(docs):
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_line_is_hashed_once_and_not_once_a_word(docs):
+    """Hashes of whole lines stand below the rows of words."""
+    slim = docs.selectExpr("doc_id AS doc", "xxhash64(text) AS print", "text")
+    plan = line_dedup._nodes(line_dedup._lines(slim))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    assert "xxhash64(words" not in above and "xxhash64(words" in below

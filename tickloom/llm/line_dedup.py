@@ -76,10 +76,10 @@ def _bound(a: str, b: str, similarity: float) -> str:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line that has a letter or digit: its place, its words, and a hash of them."""
+    """Every line that has a letter or digit: its place and its words."""
     split = docs.select("doc", "print", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    named = split.select("doc", "print", "pos", F.inline(F.array(F.struct(normalised(F.col("line")).alias("words")))))
-    return named.where("words != ''")
+    words = F.array_remove(F.split(F.lower("line"), NOT_LETTERS), "")
+    return split.select("doc", "print", "pos", F.inline(F.array(F.struct(words.alias("words"))))).where(F.size("words") > 0)
 
 
 def _nodes(lines: DataFrame) -> DataFrame:
@@ -88,8 +88,10 @@ def _nodes(lines: DataFrame) -> DataFrame:
     Bits are counted line by line where the lines are read: words are rows, and a line leaves its
     task as 32 sums. A word counts once a line, so that one which prevails does not decide alone.
     """
+    # Rows of their own, so that a line is hashed once and not once a word.
     hashes = F.xxhash64("words").alias("node"), F.xxhash64(F.lit("again"), "words").alias("other")
-    word = lines.select(*hashes, "doc", "print", "pos", F.explode(F.array_distinct(F.split("words", " "))).alias("word"))
+    hashed = lines.select("doc", "print", "pos", F.inline(F.array(F.struct(*hashes, F.array_distinct("words").alias("distinct")))))
+    word = hashed.select("node", "other", "doc", "print", "pos", F.explode("distinct").alias("word"))
     counted = word.withColumn("h", F.xxhash64("word")).groupBy("node", "other", "doc", "print", "pos").agg(F.count("h").alias("n"), *bit_sums(F.col("h")))
     at = F.struct("doc", "print", "pos", majority(F.col("n")).alias("sim"))
     first = counted.select("node", "other", at.alias("first")).groupBy("node", "other").agg(F.min("first").alias("first"))
