@@ -140,6 +140,23 @@ def test_tables_without_a_fall_or_a_trade_agree_with_sql(spark, tmp_path, name):
     assert got == sorted(tuple(canonical(r[names.index(c)]) for c in cols) for r in cur.fetchall())
 
 
+def test_trading_scores_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    """Equal rows in another order are the same table, though doubles add up otherwise."""
+    extremes = [(d, x) for d in range(30) for x in (1e9, 0.01 * (d % 11), -1e9, 0.1, 0.07, 0.03 * (d % 2))]
+    found = []
+    for i, order in enumerate([extremes, sorted(extremes), extremes[::-1]]):
+        rows = ", ".join(f"({n}, {d}, CAST({x!r} AS DOUBLE))" for n, (d, x) in enumerate(order))
+        con = duckdb.connect()
+        con.execute(f"""CREATE TABLE lineitem AS SELECT CAST(n AS BIGINT) AS l_orderkey, CAST(1 AS BIGINT) AS l_partkey, CAST(1 AS BIGINT) AS l_suppkey, 1 AS l_linenumber, 1e0 AS l_quantity,
+            1e0 AS l_extendedprice, x AS l_discount, 0e0 AS l_tax, 'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '1995-01-02' + to_days(CAST(d AS INT)) AS l_shipdate FROM (VALUES {rows}) v(n, d, x)""")
+        (tmp_path / str(i)).mkdir()
+        con.execute(f"COPY lineitem TO '{tmp_path}/{i}/lineitem.parquet' (FORMAT parquet)")
+        q = load()["score_trading"]
+        got = q.build(spark, f"{tmp_path}/{i}").select("symbol", "trades", "mean_net_permille", "t_stat", "hit_rate").collect()
+        found += [tuple(map(canonical, got[0])), tuple(map(canonical, con.execute(q.sql).fetchone()))]
+    assert int(found[0][1]) > 1 and set(found) == {found[0]}
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = load()["bars_range_scan"].build(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "l_tax" not in plan.split("ReadSchema")[1][:400]

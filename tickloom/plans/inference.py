@@ -228,9 +228,9 @@ _SCORED = """WITH a AS (SELECT symbol, day, close / lag(close, 7) OVER w - 1 AS
  sc AS (SELECT symbol, CAST(year(day) AS INTEGER) AS fold, round(1 / (1 + exp(-20 * r7)), 2) AS score, CASE WHEN fwd > 0 THEN 1 ELSE 0 END AS label, outcome FROM a WHERE r7 IS NOT NULL AND fwd IS NOT NULL AND outcome IS NOT NULL)"""
 
 
-def scored_rows(spark, sf_dir):
+def scored_rows(spark, sf_dir, bars=market.walk_1d):
     """(symbol, fold, score, label, outcome): a momentum score against what came next."""
-    d = market.walk_1d(spark, sf_dir).select(
+    d = bars(spark, sf_dir).select(
         "symbol", F.year("day").alias("fold"), X.momentum(7).expr.alias("r7"), X.forward_return(5).expr.alias("fwd"),
         F.log(F.try_divide(X.lead("open", 6), X.lead("open", 1))).alias("outcome"),
     ).dropna()
@@ -255,10 +255,10 @@ def score_classification(spark, sf_dir):
 _TRADE = """ t AS (SELECT *, CASE WHEN score >= 0.55 THEN outcome - 0.001 WHEN score <= 1 - CAST(0.55 AS DOUBLE) THEN -outcome - 0.001 END AS net FROM sc)"""
 
 
-@query("score_trading", "R18", over("walk_1d", _SCORED + "," + _TRADE + """
+@query("score_trading", "R18", over("exact_walk_1d", _SCORED.replace("walk_1d", "exact_walk_1d") + "," + _TRADE + """
 SELECT symbol, count(net) AS trades, R6(avg(net) * 1000) AS mean_net_permille, R6(avg(net) / stddev_samp(net) * sqrt(count(net))) AS t_stat, R6(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE net IS NOT NULL)) AS hit_rate FROM t GROUP BY symbol"""))
 def score_trading(spark, sf_dir):
-    s = I.trading_score(scored_rows(spark, sf_dir), ["symbol"])
+    s = I.trading_score(scored_rows(spark, sf_dir, market.exact_walk_1d), ["symbol"])
     return s.select("symbol", "trades", (F.col("mean_net") * 1000).alias("mean_net_permille"), "t_stat", "hit_rate")
 
 
