@@ -37,6 +37,30 @@ def test_dense_groups_of_near_lines(spark, monkeypatch, bucket):
     hold(spark, rows)
 
 
+def test_edits_are_counted_with_the_spaces_of_words_put_in(spark):
+    """Four edits in 23 would be similar; a word of four letters and its space are five."""
+    rows = [(0, "one two three four"), (1, "one two three four four"), (2, "five six seven eight"), (3, "five six seven eight six")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == dict(rows) | {3: ""}
+
+
+def test_long_and_short_lines_have_the_majority_of_their_bits(spark):
+    """Lines are counted in parts, equal rows apart; SimHashes are those of all their distinct words."""
+    texts = [" ".join(f"w{i}" for i in range(n)) + " w0" for n in (1, 2, 126, 127, 128, 254, 255, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)) * 3, "doc bigint, text string").selectExpr("doc", "xxhash64(text) AS print", "text")
+    found = {r["at"]["doc"]: r["sim"] & (2**64 - 1) for r in line_dedup._nodes(line_dedup._lines(docs)).collect()}
+    hashes = {r["w"]: r["h"] & (2**64 - 1) for r in spark.range(900).selectExpr("concat('w', id) AS w", "xxhash64(concat('w', id)) AS h").collect()}
+    assert found == {i: brute.majority([hashes[w] for w in set(t.split())]) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("a", "b"), [("x one two", "y one two"), ("one", "one two"), ("one two", "two"), ("one three", "one two three"), ("a b c d", "a x c y"), ("a b c", "b c a"), ("ab cd", "ab ce"), ("one two two", "one two")])
+def test_bounded_edits_equal_the_distance_or_suffice(spark, a, b):
+    rows = spark.range(1, 12).selectExpr("cast(id AS int) AS k", f"'{a}' AS a", f"'{b}' AS b", f"levenshtein('{a}', '{b}') AS d")
+    for r in rows.select("k", "d", line_dedup._edits("a", "b", "k").alias("most"), line_dedup._edits("a", "b", "k", "-1").alias("exact")).collect():
+        assert r["exact"] == (r["d"] if r["d"] <= r["k"] else -1)
+        assert r["most"] == -1 if r["d"] > r["k"] else r["d"] <= r["most"] <= r["k"]
+
+
 def test_same_words_in_another_order_are_no_copy(spark):
     words = prose(8, 30).replace("\n", " ").split()
     rows = [(0, " ".join(words)), (1, " ".join(reversed(words))), (2, " ".join(words).upper() + " !!"), (3, " ".join(reversed(words)) + ".")]

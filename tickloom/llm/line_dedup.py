@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.llm.blocks import bit_sums, block_keys, distance, majority
+from tickloom.llm.blocks import FULL, bit_sums, block_keys, byte_majority, byte_sums, distance, majority
 from tickloom.llm.common import cut, freed_shuffles, let, whole
 from tickloom.llm.components import components
 
 NOT_LETTERS = r"[^\p{L}\p{N}]+"
+# The runs between those; the first two ranges only make it quick.
+LETTERS = r"[a-z0-9\p{L}\p{N}]+"
 # Buckets of up to this many SimHashes are paired; larger ones are keyed more finely. The last
 # level leaves three blocks of four bits open, so no bucket can hold more than 4096.
 BUCKET = 256
@@ -30,13 +32,22 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), NOT_LETTERS, " "))
 
 
-def _edits(a: str, b: str, bound: str) -> Column:
-    """Edit distance of two columns of words, -1 above the bound.
+def _edits(a: str, b: str, bound: str, enough: str | None = None) -> Column:
+    """Edit distance of two columns of words, -1 above the bound; or as many edits as are ``enough``.
+
+    Most near copies have other words in some places. To replace these is no more than their
+    longer lengths, and if that is ``enough`` (the bound, if not given) or fewer, it is the result:
+    at least the distance, and no pair is lost or won by it.
 
     What both begin and end with costs no edits, so whole words of it are stripped first: the
     cost of the rest grows with the square of its length, and near copies leave little.
     """
 
+    def replaced(x: Column, y: Column) -> Column:
+        """Edits that put the words of one in the places of the other; null if they are not as many."""
+        costs = F.zip_with(x, y, lambda v, w: F.when(v == w, 0).otherwise(F.greatest(F.length(v), F.length(w))))
+        return F.when(F.size(x) == F.size(y), F.aggregate(costs, F.lit(0), lambda n, c: n + c))
+
     def shared(x: Column, y: Column) -> Column:
         """How many words both arrays begin with."""
         n = F.least(F.size(x), F.size(y))
@@ -53,10 +64,13 @@ def _edits(a: str, b: str, bound: str) -> Column:
         left = lambda z: F.reverse(F.slice(z, head + 1, F.size(z) - head))
         return let(shared(left(x), left(y)), less)
 
-    words = F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"), F.expr(bound).alias("k"))
-    stripped = let(words, lambda w: let(shared(w["x"], w["y"]), lambda head: F.struct(rest(w["x"], w["y"], head).alias("r"), w["k"].alias("k"))))
-    distance_ = let(stripped, lambda s: _levenshtein(s["r"]["x"], s["r"]["y"], s["k"]))
-    return F.when(F.col(a) == F.col(b), 0).otherwise(distance_)
+    def least(w: Column) -> Column:
+        stripped = let(shared(w["x"], w["y"]), lambda head: rest(w["x"], w["y"], head))
+        return let(stripped, lambda r: _levenshtein(r["x"], r["y"], w["k"]))
+
+    words = F.struct(F.split(a, " ").alias("x"), F.split(b, " ").alias("y"), F.expr(bound).alias("k"), F.expr(enough or bound).alias("e"))
+    found = let(words, lambda w: let(replaced(w["x"], w["y"]), lambda n: F.when(n <= w["e"], n).otherwise(least(w))))
+    return F.when(F.col(a) == F.col(b), 0).when(F.expr(f"abs(length({a}) - length({b})) > {bound}"), -1).otherwise(found)
 
 
 # Edits tried first: the cost of a comparison grows with its bound, and most near copies are nearer than this.
@@ -64,10 +78,14 @@ FEW = 16
 
 
 def _levenshtein(x: Column, y: Column, bound: Column) -> Column:
-    """Edit distance up to a bound that is a column; -1 above it."""
+    """Edit distance of what is left of two texts, up to a bound that is a column; -1 above it.
+
+    If nothing is left of one, the words of the other are put in with a space of theirs.
+    """
+    put = F.length(x) + F.length(y) + 1
     far = F.when(bound <= FEW, -1).otherwise(F.call_function("levenshtein", x, y, bound))
     near = let(F.call_function("levenshtein", x, y, F.least(bound, F.lit(FEW))), lambda d: F.when(d >= 0, d).otherwise(far))
-    return F.when(F.abs(F.length(x) - F.length(y)) > bound, -1).otherwise(near)
+    return F.when((x == "") | (y == ""), F.when(put <= bound, put).otherwise(-1)).otherwise(near)
 
 
 def _bound(a: str, b: str, similarity: float) -> str:
@@ -76,25 +94,35 @@ def _bound(a: str, b: str, similarity: float) -> str:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line that has a letter or digit: its place and its words."""
-    split = docs.select("doc", "print", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = F.array_remove(F.split(F.lower("line"), NOT_LETTERS), "")
-    return split.select("doc", "print", "pos", F.inline(F.array(F.struct(words.alias("words"))))).where(F.size("words") > 0)
+    """Every line that has a letter or digit: its place and its words.
+
+    ``row`` tells apart rows that are equal in key and text.
+    """
+    split = docs.withColumn("row", F.monotonically_increasing_id()).select("doc", "print", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    words = F.regexp_extract_all(F.lower("line"), F.lit(LETTERS), F.lit(0))
+    return split.select("doc", "print", "row", "pos", F.inline(F.array(F.struct(words.alias("words"))))).where(F.size("words") > 0)
 
 
 def _nodes(lines: DataFrame) -> DataFrame:
     """Distinct lines: two independent hashes of the words, SimHash of the distinct words, first place.
 
-    Bits are counted line by line where the lines are read: words are rows, and a line leaves its
-    task as 32 sums. A word counts once a line, so that one which prevails does not decide alone.
+    Bits are counted line by line where the lines are read: words are rows, and up to ``FULL`` of
+    a line leave their task as eight sums. Only longer lines are put together from several rows.
+    A word counts once a line, so that one which prevails does not decide alone.
     """
     # Rows of their own, so that a line is hashed once and not once a word.
     hashes = F.xxhash64("words").alias("node"), F.xxhash64(F.lit("again"), "words").alias("other")
-    hashed = lines.select("doc", "print", "pos", F.inline(F.array(F.struct(*hashes, F.array_distinct("words").alias("distinct")))))
-    word = hashed.select("node", "other", "doc", "print", "pos", F.explode("distinct").alias("word"))
-    counted = word.withColumn("h", F.xxhash64("word")).groupBy("node", "other", "doc", "print", "pos").agg(F.count("h").alias("n"), *bit_sums(F.col("h")))
-    at = F.struct("doc", "print", "pos", majority(F.col("n")).alias("sim"))
-    first = counted.select("node", "other", at.alias("first")).groupBy("node", "other").agg(F.min("first").alias("first"))
+    hashed = lines.select("doc", "print", "row", "pos", F.inline(F.array(F.struct(*hashes, F.array_distinct("words").alias("distinct")))))
+    line = ["node", "other", "doc", "print", "row", "pos"]
+    size = F.size("distinct")
+    slices = F.transform(F.sequence(F.lit(1), size, F.lit(FULL)), lambda i: F.slice("distinct", i, FULL))
+    parts = hashed.select(*line, size.alias("size"), F.posexplode(F.when(size <= FULL, F.array("distinct")).otherwise(slices)).alias("part", "distinct"))
+    word = parts.select(*line, "size", "part", F.explode("distinct").alias("word")).withColumn("h", F.xxhash64("word"))
+    counted = word.groupBy(*line, "part").agg(F.count("h").alias("n"), F.max("size").alias("size"), *byte_sums(F.col("h")))
+    at = lambda sim: F.struct("doc", "print", "pos", sim.alias("sim")).alias("first")
+    short = counted.where("n = size").select("node", "other", at(byte_majority(F.col("n"))))
+    long_ = counted.where("n < size").groupBy(*line).agg(F.max("size").alias("size"), *bit_sums()).select("node", "other", at(majority(F.col("size"))))
+    first = short.unionByName(long_).groupBy("node", "other").agg(F.min("first").alias("first"))
     return first.select("node", "other", "first.sim", F.struct("first.doc", "first.print", "first.pos").alias("at"))
 
 
@@ -134,7 +162,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _led(members: DataFrame, similarity: float) -> DataFrame:
-    """Every node with a leader of the same SimHash: ``node, leader, d`` (their edit distance).
+    """Every node with a leader of the same SimHash: ``node, leader, d`` (edits that suffice between them).
 
     The first line of a SimHash leads those similar to it; of the others the first leads next,
     and so on until all are led. Nothing is paired within a group.
@@ -174,7 +202,8 @@ def _edges(led: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
         bound = F.floor((1 - similarity) * F.greatest("a_longest", "b_longest") + 1e-9)
         near = some.join(one, "a").join(two, "b").withColumn("limit", (F.col("a_reach") + F.col("b_reach") + bound).cast("int"))
         near = near.where("abs(length(a_words) - length(b_words)) <= limit")
-        found = near.select("a", "b", _edits("a_words", "b_words", "limit").alias("d"), F.expr(_bound("a_words", "b_words", similarity)).alias("own"))
+        own = _bound("a_words", "b_words", similarity)
+        found = near.select("a", "b", _edits("a_words", "b_words", "limit", own).alias("d"), F.expr(own).alias("own"))
         return cut(found).where("d >= 0")
 
     star = met.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
