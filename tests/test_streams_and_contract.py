@@ -157,6 +157,21 @@ def test_trading_scores_do_not_hang_on_the_order_of_rows(spark, tmp_path):
     assert int(found[0][1]) > 1 and set(found) == {found[0]}
 
 
+def test_trading_scores_of_steady_walks_agree_with_sql(spark, tmp_path):
+    """Nets that nearly agree, prices beyond a long and down to nothing, rows without a symbol or a day."""
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE lineitem AS SELECT CAST(d AS BIGINT) AS l_orderkey, CAST(1 AS BIGINT) AS l_partkey, CAST(1 AS BIGINT) AS l_suppkey, 1 AS l_linenumber, 1e0 AS l_quantity, 1e0 AS l_extendedprice,
+        coalesce(x, d * d % 11 / 100e0) AS l_discount, 0e0 AS l_tax, s AS l_returnflag, 'F' AS l_linestatus, CASE WHEN s = 'N' AND d = 50 THEN NULL ELSE TIMESTAMP '1995-01-02' + to_days(CAST(d AS INT)) END AS l_shipdate
+        FROM (VALUES ('U', 0.06, 90), ('D', 0.04, 90), ('H', 0.1, 700), ('Z', 0.0, 500), ('N', NULL, 90), (NULL, NULL, 90)) v(s, x, n), range(700) t(d) WHERE d < n""")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    q = load()["score_trading"]
+    cols = ["symbol", "trades", "mean_net_permille", "t_stat", "hit_rate"]
+    got = sorted(tuple(map(canonical, r)) for r in q.build(spark, str(tmp_path)).select(cols).collect())
+    assert len(got) == 6 and got == sorted(tuple(map(canonical, r)) for r in con.execute(q.sql).fetchall())
+    high, fallen = (next(r for r in got if r[0] == s) for s in ("HF", "ZF"))
+    assert int(high[1]) == 687 and float(high[2]) == pytest.approx(249) and 300 < int(fallen[1]) < 487
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = load()["bars_range_scan"].build(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "l_tax" not in plan.split("ReadSchema")[1][:400]

@@ -233,7 +233,7 @@ def scored_rows(spark, sf_dir, bars=market.walk_1d):
     d = bars(spark, sf_dir).select(
         "symbol", F.year("day").alias("fold"), X.momentum(7).expr.alias("r7"), X.forward_return(5).expr.alias("fwd"),
         F.log(F.try_divide(X.lead("open", 6), X.lead("open", 1))).alias("outcome"),
-    ).dropna()
+    ).dropna(subset=["r7", "fwd", "outcome"])
     return d.select("symbol", "fold", F.round(1 / (1 + F.exp(-20 * F.col("r7"))), 2).alias("score"), (F.col("fwd") > 0).cast("int").alias("label"), "outcome")
 
 
@@ -255,8 +255,15 @@ def score_classification(spark, sf_dir):
 _TRADE = """ t AS (SELECT *, CASE WHEN score >= 0.55 THEN outcome - 0.001 WHEN score <= 1 - CAST(0.55 AS DOUBLE) THEN -outcome - 0.001 END AS net FROM sc)"""
 
 
-@query("score_trading", "R18", over("exact_walk_1d", _SCORED.replace("walk_1d", "exact_walk_1d") + "," + _TRADE + """
-SELECT symbol, count(net) AS trades, R6(avg(net) * 1000) AS mean_net_permille, R6(avg(net) / stddev_samp(net) * sqrt(count(net))) AS t_stat, R6(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE net IS NOT NULL)) AS hit_rate FROM t GROUP BY symbol"""))
+# Prices of nothing give no return, bars without a day come first, and t-statistics are exact sums of nets in whole 10^-12.
+_EXACT_SCORED = """WITH a AS (SELECT symbol, day, close / NULLIF(lag(close, 7) OVER w, 0) - 1 AS r7, lead(close, 5) OVER w / NULLIF(close, 0) - 1 AS fwd, ln(NULLIF(lead(open, 6) OVER w / NULLIF(lead(open, 1) OVER w, 0), 0)) AS outcome FROM exact_walk_1d WINDOW w AS (PARTITION BY symbol ORDER BY day NULLS FIRST)),
+ sc AS (SELECT symbol, round(1 / (1 + exp(-20 * r7)), 2) AS score, outcome FROM a WHERE r7 IS NOT NULL AND fwd IS NOT NULL AND outcome IS NOT NULL)"""
+
+
+@query("score_trading", "R18", over("exact_walk_1d", _EXACT_SCORED + "," + _TRADE + """,
+ u AS (SELECT *, CAST(floor(net * 1e12 + 0.5) AS HUGEINT) AS units FROM t),
+ g AS (SELECT symbol, count(net) AS trades, avg(net) AS mean_net, sum(units) AS total, count(net) * sum(units * units) - sum(units) * sum(units) AS spread, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE net IS NOT NULL) AS hit_rate FROM u GROUP BY symbol)
+SELECT symbol, trades, R6(mean_net * 1000) AS mean_net_permille, R6(CASE WHEN spread > 0 THEN CAST(total AS DOUBLE) * sqrt(trades - 1) / sqrt(CAST(spread AS DOUBLE)) END) AS t_stat, R6(hit_rate) AS hit_rate FROM g"""))
 def score_trading(spark, sf_dir):
     s = I.trading_score(scored_rows(spark, sf_dir, market.exact_walk_1d), ["symbol"])
     return s.select("symbol", "trades", (F.col("mean_net") * 1000).alias("mean_net_permille"), "t_stat", "hit_rate")

@@ -54,7 +54,7 @@ VIEWS["walk_wk"] = (("ticks_1d",), _WALK.format(
 # The opens and closes of walk_1d from sums of whole numbers: no price hangs on the order in which rows are added up.
 VIEWS["exact_walk_1d"] = (("ticks_1d",), """
 SELECT symbol, day, floor(100 * exp(lv - 0.7 * r) * 1e6 + 0.5) / 1e6 AS open, floor(100 * exp(lv) * 1e6 + 0.5) / 1e6 AS close FROM
- (SELECT symbol, day, r, CAST(sum(CAST(floor(r * 1e15 + 0.5) AS BIGINT)) OVER (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1e15 AS lv FROM
+ (SELECT symbol, day, r, CAST(sum(CAST(floor(r * 1e15 + 0.5) AS BIGINT)) OVER (PARTITION BY symbol ORDER BY day NULLS FIRST ROWS UNBOUNDED PRECEDING) AS DOUBLE) / 1e15 AS lv FROM
   (SELECT symbol, day, CAST(sum(CAST(floor(l_discount * 1e9 + 0.5) AS BIGINT)) AS DOUBLE) / count(l_discount) / 1e9 - 0.05 AS r FROM ticks_1d GROUP BY symbol, day) r0) c0""")
 
 

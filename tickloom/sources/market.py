@@ -146,12 +146,13 @@ def exact_walk_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     by a whole step. Discounts are added up as whole billionths here and daily returns as 10^-15.
     """
     whole = lambda c, unit: F.floor(c * unit + 0.5)
+    # A double beyond 2^53 is whole already, and floor() would end at the largest long.
+    price = lambda p: F.when(p < 9e9, whole(p, 1e6).cast("double")).otherwise(p * 1e6) / 1e6
     w = W.partitionBy("symbol").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     mean = F.try_divide(F.sum(whole(F.col("l_discount"), 1e9)).cast("double"), F.count("l_discount")) / 1e9
     daily = ticks(spark, sf_dir).groupBy("symbol", "day").agg((mean - 0.05).alias("r"))
     priced = daily.withColumn("lv", F.sum(whole(F.col("r"), 1e15)).over(w).cast("double") / 1e15)
-    price = lambda lv: whole(100 * F.exp(lv), 1e6) / 1e6
-    return priced.select("symbol", "day", price(F.col("lv") - 0.7 * F.col("r")).alias("open"), price(F.col("lv")).alias("close"))
+    return priced.select("symbol", "day", price(100 * F.exp(F.col("lv") - 0.7 * F.col("r"))).alias("open"), price(100 * F.exp("lv")).alias("close"))
 
 
 def walk_wk(spark: SparkSession, sf_dir: str) -> DataFrame:
