@@ -1,4 +1,5 @@
 import datetime as dt
+import pathlib
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from tickloom.operators import episodes as N
 from tickloom.operators import graph as G
 from tickloom.operators import ledger as L
 from tickloom.operators import skew
+from tickloom.session import shared_folder
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -242,6 +244,34 @@ def test_dense_support_is_chosen_in_blocks_not_from_all_collisions(spark, monkey
     assert {tuple(r) for r in G.independent_support(frame, corr).collect()} == want
 
 
+@pytest.mark.parametrize("share", [0.04, 0.3])
+def test_support_over_parts_equals_the_greedy_choice_and_leaves_no_files(spark, monkeypatch, share):
+    """Thin and dense graphs over several parts and shares of claims; ties, repeated rows, nulls; scratch frames are deleted."""
+    rng = random.Random(14)
+    names = [f"n{i}" for i in range(90)]
+    high = {frozenset((a, b)) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < share}
+    corr = [(*rng.sample(sorted(p), 2), rng.choice([0.9, -0.7])) for p in high] + [("n0", "n0", 1.0), ("n1", "n2", 0.1), ("n3", None, 0.9)]
+    sup = [(c, n, rng.randrange(60)) for c in "cdef" for n in rng.sample(names, 70)]
+    sup += [(c, n, i + 3) for c, n, i in sup[:5]] + [(None, "n4", 1), (None, "n5", 2), ("c", "solo", 0), ("g", "n6", None), ("g", "n7", 1)]
+    want = []
+    for c, n, i in sup:
+        least = {}
+        for d, m, j in sup:
+            if d == c and c is not None and j is not None:
+                least[m] = min(j, least.get(m, j))
+        kept = {}
+        for m in sorted(least, key=lambda m: least[m]):
+            kept[m] = not any(kept[k] and least[k] < least[m] and frozenset((k, m)) in high for k in kept)
+        want.append((c, n, i, kept.get(n, True)))
+    monkeypatch.setattr(G, "TILE", 400, raising=False)
+    monkeypatch.setattr(G, "LISTS", 60, raising=False)
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.parent for p in folder.rglob("part-*")}
+    got = G.independent_support(spark.createDataFrame(sup, "claim string, node string, ord int"), spark.createDataFrame(corr, "a string, b string, r double"))
+    assert len({p.parent for p in folder.rglob("part-*")} - before) <= 1
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_dense_graphs_with_cycles_are_never_squared(spark, monkeypatch):
     """Two dense parts, one acyclic, and a chain longer than the plain rounds that ends beside them."""
     pairs = [(f"a{i:02}", f"a{j:02}") for i in range(30) for j in range(i + 1, 30)] + [("a29", "a03")]

@@ -8,7 +8,7 @@ from tickloom.operators import graph as G
 from tickloom.operators import ledger as L
 from tickloom.plans.oracle import over
 from tickloom.registry import query
-from tickloom.session import cut_lineage
+from tickloom.session import cut_lineage, freed_shuffles
 from tickloom.sources import market
 
 
@@ -230,7 +230,8 @@ WITH RECURSIVE sup AS (SELECT dst AS claim, src AS node, CAST(substr(src, 2) AS
 
 
 def _chosen_support(spark, sf_dir):
-    e = cut_lineage(market.edges(spark, sf_dir))
+    with freed_shuffles(spark):
+        e = cut_lineage(market.edges(spark, sf_dir))
     num = lambda c: F.substring(c, 2, 20).cast("int")
     supports = e.select(F.col("dst").alias("claim"), F.col("src").alias("node"), num(F.col("src")).alias("ord"))
     corr = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), (1 - (num(F.col("dst")) - num(F.col("src"))) / 200).alias("r"))
